@@ -19,14 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the folder that the cluster names in ``spark.checkpoint.dir``.
+    """Cut the lineage of ``df`` by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
-    Only a session without that setting (tests, a laptop) gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; one of its own only where a session names none."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="seqloom-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
 
 
 def held_out(doc_id: Column) -> Column:

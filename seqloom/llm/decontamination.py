@@ -44,19 +44,28 @@ def shingles(words: Column) -> Column:
 def simhash(grams: Column) -> Column:
     """A bit is set where more than half the shingles' hashes have it.  Counts add up in lanes of 16 bits."""
     hashes, n = F.transform(grams, lambda g: F.xxhash64(g)), F.size(grams)
-    sums = [F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h, k=k: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_MASK))) for k in range(_LANES)]
-    total = F.array(*sums)
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.expr("0") + 2 * _lane(total, b) > n, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    zero = F.lit(0).cast("long")
 
+    def lanes(k: int) -> Column:
+        return F.aggregate(hashes, zero, lambda a, h: a + _right(h, F.lit(k)).bitwiseAND(F.lit(_MASK)))
 
-def _lane(total: Column, bit: Column) -> Column:
-    return F.call_function("shiftrightunsigned", F.element_at(total, (bit % _LANES) + 1), (bit / _LANES).cast("int") * 16).bitwiseAND(F.lit(0xFFFF))
+    def bit(count: Column, b: Column) -> Column:
+        one = _right(F.element_at(count, b % _LANES + 1), F.floor(b / _LANES).cast("int") * 16).bitwiseAND(F.lit(0xFFFF))
+        return F.when(one * 2 > n, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(zero)
+
+    # the sums are bound to a lambda's variable, so that they are worked out once
+    counts = F.array(F.array(*map(lanes, range(_LANES))))
+    prints = F.transform(counts, lambda c: F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, lambda a, b: a.bitwiseOR(bit(c, b))))
+    return F.element_at(prints, 1)
+
+
+def _right(value: Column, by: Column) -> Column:
+    return F.call_function("shiftrightunsigned", value, by)
 
 
 def _block(fingerprint: Column, i: Column | int) -> Column:
     shift = i * (64 // BLOCKS) if isinstance(i, Column) else F.lit(i * (64 // BLOCKS))
-    return F.call_function("shiftrightunsigned", fingerprint, shift).bitwiseAND(F.lit((1 << 64 // BLOCKS) - 1)).cast("int")
+    return _right(fingerprint, shift).bitwiseAND(F.lit((1 << 64 // BLOCKS) - 1)).cast("int")
 
 
 def similarity(a: Column, b: Column) -> Column:

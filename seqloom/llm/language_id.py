@@ -14,11 +14,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.llm.common import held_out, rows_of
 from seqloom.llm.toxicity import fold_words, subwords
@@ -57,16 +59,16 @@ class Mixtures:
         self.model, self.most, self.known, self.rows = model, most, {}, np.empty((0, len(model.languages)), np.float32)
 
     def word_rows(self, docs: list[list[bytes]]) -> np.ndarray:
-        new = list({w for d in docs for w in d if w not in self.known})
+        new = list(set(chain.from_iterable(docs)).difference(self.known))
         if len(self.known) + len(new) > self.most:
             self.known, self.rows = {}, self.rows[:0]
-            new = list({w for d in docs for w in d})
+            new = list(set(chain.from_iterable(docs)))
         if new:
             grams, at = subwords(new, len(self.model.log_p), SIZES)
             # n-grams of three sizes overlap: each letter is counted by about three of them
             self.rows = np.concatenate((self.rows, (np.add.reduceat(self.model.log_p[grams], at, axis=0) / len(SIZES)).astype(np.float32)))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        return self.rows[np.fromiter((self.known[w] for d in docs for w in d), np.int64, sum(map(len, docs)))]
+        return self.rows[np.fromiter(map(self.known.__getitem__, chain.from_iterable(docs)), np.int64, sum(map(len, docs)))]
 
     def infer(self, texts: list[str | None]) -> list[tuple[str, float, dict[str, float]]]:
         names, out = self.model.languages, [("und", 0.0, {})] * len(texts)
@@ -119,6 +121,21 @@ def fit_language_model(docs: DataFrame, per_language: int = 400, most_languages:
     return LanguageModel.fit(sample["text"].tolist(), sample["lang"].tolist())
 
 
+def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """``docs`` with ``_lang_pred, _lang_score, _languages``; all other columns stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixtures = Mixtures(model)
+        for batch in rows_of(batches, 128):
+            found = mixtures.infer(batch.column("text").to_pylist())
+            new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "_lang_pred", "_lang_score", "_languages"])
+
+    docs = docs.drop("_lang_pred", "_lang_score", "_languages")
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("_lang_pred string, _lang_score double, _languages map<string,double>").fields])
+    return docs.mapInArrow(run, schema)
+
+
 def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, languages`` for every document.
 
@@ -126,15 +143,5 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     without a letter gives ``und`` with score 0, and so does every text if nothing could be learnt.  Repeated rows
     are judged alike; a null doc_id stays null; an empty table gives no rows; other columns are not looked at.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixtures = Mixtures(model)
-        for batch in rows_of(batches, 128):
-            found = mixtures.infer(batch.column("text").to_pylist())
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.float64()))],
-                ["doc_id", "lang_pred", "score", "languages"],
-            )
-
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, languages map<string,double>").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages")
+    return with_language(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"), F.col("_languages").alias("languages"))

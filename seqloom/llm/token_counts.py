@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import cut, rows_of
+from seqloom.llm.common import cut, rows_of, shared_folder
 
 #: Fixed value: the pattern that splits text before the merges of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -103,9 +102,8 @@ class Rollup:
     """Totals by source, language and tokenizer version in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        sc = spark.sparkContext
         self.spark = spark
-        self.path = path or f"{sc.getCheckpointDir() or sc.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='seqloom-')}/rollup-{uuid.uuid4()}"
+        self.path = path or f"{shared_folder(spark)}/rollup-{uuid.uuid4()}"
 
     def _files(self, below: str):
         jvm = self.spark._jvm

@@ -12,7 +12,6 @@ import base64
 import hashlib
 import json
 import struct
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import rows_of
+from seqloom.llm.common import rows_of, shared_folder
 
 # Fixed values of the Zstandard seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -177,10 +176,8 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
 
 
 def archive_folder(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints, which all executors share; of its own only where a session names none."""
-    sc = spark.sparkContext
-    top = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="seqloom-")
-    return f"{top}/warc-{uuid.uuid4()}"
+    """A new folder beside the checkpoints."""
+    return f"{shared_folder(spark)}/warc-{uuid.uuid4()}"
 
 
 def warc_round_trip(pages: DataFrame, path: str | None = None, least_revisit: int = 0) -> DataFrame:
