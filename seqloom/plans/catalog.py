@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from seqloom.plans import query_counts, query_kmers, query_tables, query_taxonomy  # noqa: F401
+from seqloom.plans import query_assembly, query_counts, query_kmers, query_tables, query_taxonomy  # noqa: F401
 from seqloom.plans.registry import ORACLES, QUERIES, Query
+from seqloom.plans.views import with_views
 
 
 def queries() -> dict[str, Query]:
@@ -11,4 +12,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {name: with_views(*parts) for name, parts in ORACLES.items()}

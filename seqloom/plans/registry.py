@@ -8,19 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, tuple[str, str]] = {}
 
 
 def query(name: str, needs: str = "", sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query; ``sql`` may use the views that ``needs`` names."""
-    from seqloom.plans.views import with_views
-
     def add(f: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = f
         if sql is not None:
-            ORACLES[name] = with_views(needs, sql)
+            ORACLES[name] = needs, sql
         return f
 
     return add
