@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +21,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by a checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of ``df`` by writing it as a table in the shared folder.
+
+    A table that is read again has the size of its files.  ``DataFrame.checkpoint`` would carry the estimate of its plan
+    along, and over rounds of joins such estimates grow to numbers with millions of digits.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4()}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables that ``cut`` has written and that nothing reads any more.
+
+    Spark deletes the shuffle files behind them when the driver collects its garbage, so that is asked for as well.
+    """
+    for df in tables:
+        if path := getattr(df, "_cut_path", None):
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import U64, WordCache, ascii_words, cut, mix, rows_of, windows
+from seqloom.llm.common import U64, WordCache, ascii_words, cut, forget, mix, rows_of, windows
 from seqloom.llm.components import components
 
 GROUPS = 256
@@ -190,7 +190,7 @@ def _sets(size: int):
         words = WordCache()
         for batch in rows_of(batches):
             grams = pa.array([gram_set(t, size, words).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.record_batch([*(batch.column(c) for c in ("leaf", "cluster", "doc_id", "copies")), grams], ["leaf", "cluster", "doc_id", "copies", "grams"])
+            yield pa.record_batch([*(batch.column(c) for c in ("leaf", "cluster", "many", "doc_id", "copies")), grams], ["leaf", "cluster", "many", "doc_id", "copies", "grams"])
 
     return run
 
@@ -199,18 +199,6 @@ def points(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.bincount((g & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for g in sets]).astype(np.int32)
 
 
-def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bounding box of each leaf: the largest count of each group and the smallest and largest set."""
-    for batch in rows_of(batches, 16):
-        box, least, most = [], [], []
-        for members in batch.column("members").to_pylist():
-            sets = [np.frombuffer(m["grams"], U64) for m in members]
-            box.append(points(sets).max(axis=0).tobytes())
-            least.append(min(map(len, sets)))
-            most.append(max(map(len, sets)))
-        yield pa.record_batch([*(batch.column(c) for c in ("leaf", "cluster", "members")), pa.array(box, pa.binary()), pa.array(least, pa.int64()), pa.array(most, pa.int64())], ["leaf", "cluster", "members", "box", "least", "most"])
-
-
 def _near_boxes(percent: int):
     """Keep pairs of leaves whose boxes let an overlap be large enough."""
 
@@ -225,53 +213,86 @@ def _near_boxes(percent: int):
     return run
 
 
-def _verify(percent: int):
-    """Links of two leaves: for each set the copies it links with, and a forest that joins what is linked."""
-
-    def linked(one: list[dict], two: list[dict] | None) -> Iterator[tuple[int, int, int]]:
-        rows = one + (two or [])
-        sets = [np.frombuffer(r["grams"], U64) for r in rows]
-        ids, copies, n = [r["doc_id"] for r in rows], np.array([r["copies"] for r in rows]), np.array([len(s) for s in sets])
-        if len(rows) < 2:
-            return
-        _, number = np.unique(np.concatenate(sets), return_inverse=True)
-        sets = np.split(number, np.cumsum(n)[:-1])
-        at, mark = points_of(sets, rows), np.zeros(int(number.max()) + 1, bool)
-        links, root = np.zeros(len(rows), np.int64), list(range(len(rows)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for x in range(len(one)):
-            start = x + 1 if two is None else len(one)
-            if start >= len(rows):
-                continue
-            need = percent * (n[x] + n[start:])
-            near = np.flatnonzero((100 + percent) * np.minimum(at[x], at[start:]).sum(axis=1) >= need)
-            if not len(near):
-                continue
-            mark[sets[x]] = True
-            for y in near + start:
-                if (100 + percent) * int(np.count_nonzero(mark[sets[y]])) >= percent * int(n[x] + n[y]):
-                    links[x] += copies[y]
-                    links[y] += copies[x]
-                    if (p := find(x)) != (q := find(y)):
-                        root[q] = p
-                        yield ids[x], ids[y], 0
-            mark[sets[x]] = False
-        for x in np.flatnonzero(links):
-            yield ids[x], ids[x], int(links[x])
-
-    def points_of(_: list[np.ndarray], rows: list[dict]) -> np.ndarray:
-        return points([np.frombuffer(r["grams"], U64) for r in rows])
+def linked(rows: list[dict], first: int, percent: int) -> Iterator[tuple[int, int, int]]:
+    """Links between the first ``first`` sets and the others, or among all if these are all.
+
+    Gives ids of a forest that joins what is linked, with 0, and each linked id with the copies that it links with.
+    """
+    if len(rows) < 2:
+        return
+    sets = [np.frombuffer(r["grams"], U64) for r in rows]
+    ids, copies, n = [r["doc_id"] for r in rows], np.array([r["copies"] for r in rows]), np.array([len(s) for s in sets])
+    at = points(sets)
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    sets, mark = np.split(number, np.cumsum(n)[:-1]), np.zeros(int(number.max()) + 1, bool)
+    links, root = np.zeros(len(rows), np.int64), list(range(len(rows)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for x in range(first):
+        start = x + 1 if first == len(rows) else first
+        if start >= len(rows):
+            continue
+        bound = np.minimum(at[x], at[start:]).sum(axis=1)
+        near = np.flatnonzero((100 + percent) * bound >= percent * (n[x] + n[start:]))
+        if not len(near):
+            continue
+        mark[sets[x]] = True
+        for y in near + start:
+            if (100 + percent) * int(np.count_nonzero(mark[sets[y]])) >= percent * int(n[x] + n[y]):
+                links[x] += copies[y]
+                links[y] += copies[x]
+                if (p := find(x)) != (q := find(y)):
+                    root[q] = p
+                    yield ids[x], ids[y], 0
+        mark[sets[x]] = False
+    for x in np.flatnonzero(links):
+        yield ids[x], ids[x], int(links[x])
+
+
+LEAF_PASS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("leaf", pa.int64()), ("cluster", pa.int64()), ("copies", pa.int64()), ("grams", pa.binary()), ("box", pa.binary()), ("least", pa.int64()), ("most", pa.int64())])
+
+
+def _within(percent: int):
+    """Links inside leaves, which come one after another.  Leaves of clusters with several also give their members (``grams``)
+    and their bounding box (``box``): the largest count of each group and the smallest and largest set."""
+
+    def leaf_rows(rows: list[dict]) -> list[dict]:
+        out = [{"a": a, "b": b, "links": n} for a, b, n in linked(rows, len(rows), percent)]
+        if rows[0]["many"]:
+            leaf, sets = {"leaf": rows[0]["leaf"], "cluster": rows[0]["cluster"]}, [np.frombuffer(r["grams"], U64) for r in rows]
+            out += [leaf | {"a": r["doc_id"], "copies": r["copies"], "grams": r["grams"]} for r in rows]
+            out.append(leaf | {"box": points(sets).max(axis=0).tobytes(), "least": min(map(len, sets)), "most": max(map(len, sets))})
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, 4):
-            for one, two in zip(batch.column("members").to_pylist(), batch.column("members2").to_pylist(), strict=True):
-                if found := list(linked(one, two)):
-                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b", "links"])
+        held: list[dict] = []
+        for batch in rows_of(batches, 64):
+            out = []
+            for row in batch.to_pylist():
+                if held and held[0]["leaf"] != row["leaf"]:
+                    out += leaf_rows(held)
+                    held = []
+                held.append(row)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, LEAF_PASS)
+        if held and (out := leaf_rows(held)):
+            yield pa.RecordBatch.from_pylist(out, LEAF_PASS)
+
+    return run
+
+
+def _across(percent: int):
+    """Links between two leaves."""
+
+    def run(members: pa.Table) -> pa.Table:
+        rows = members.to_pylist()
+        rows.sort(key=lambda r: (r["side"], r["doc_id"]))
+        found = list(linked(rows, sum(r["side"] == 0 for r in rows), percent))
+        return pa.table({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(("a", "b", "links"))})
 
     return run
 
@@ -289,12 +310,13 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     An empty table gives no rows.  Columns beyond doc_id and text are not looked at.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    facts = cut(docs.mapInArrow(_describe(size, percent), "doc_id long, n long, hi long, lo long, z binary, keys array<long>"))
+    described = cut(docs.mapInArrow(_describe(size, percent), "doc_id long, n long, hi long, lo long, z binary, keys array<long>"))
+    facts = cut(described.drop("keys"))
     classes = cut(
         facts.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("z").alias("z"))
     )
     ties = (
-        facts.where("keys IS NOT NULL AND doc_id IS NOT NULL")
+        described.where("keys IS NOT NULL AND doc_id IS NOT NULL")
         .select("hi", "keys")
         .mapInArrow(_ties(True), "a long, b long, tie boolean")
         .repartition("a")
@@ -302,26 +324,28 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
         .mapInArrow(_ties(False), "a long, b long, tie boolean")
     )
     clusters = components(ties.select("a", "b"))
+    forget(described)
     members = cut(
         classes.join(clusters.withColumnsRenamed({"node": "hi", "label": "cluster"}), "hi").select(F.col("first").alias("doc_id"), "cluster", "copies", "n", "z")
     )
-    leaf_of = members.repartitionByRange("cluster", "n", "z", "doc_id").sortWithinPartitions("cluster", "n", "z", "doc_id").mapInArrow(_leaves, "doc_id long, cluster long, copies long, leaf long")
-    leaves = cut(
-        docs.join(cut(leaf_of), "doc_id")
-        .mapInArrow(_sets(size), "leaf long, cluster long, doc_id long, copies long, grams binary")
-        .groupBy("leaf", "cluster")
-        .agg(F.collect_set(F.struct("doc_id", "copies", "grams")).alias("members"))
-        .mapInArrow(_boxes, "leaf long, cluster long, members array<struct<doc_id:long,copies:long,grams:binary>>, box binary, least long, most long")
+    leaf_of = cut(members.repartitionByRange("cluster", "n", "z", "doc_id").sortWithinPartitions("cluster", "n", "z", "doc_id").mapInArrow(_leaves, "doc_id long, cluster long, copies long, leaf long"))
+    many = leaf_of.groupBy("cluster").agg((F.min("leaf") < F.max("leaf")).alias("many"))
+    passed = cut(
+        docs.join(leaf_of.join(many, "cluster"), "doc_id")
+        .mapInArrow(_sets(size), "leaf long, cluster long, many boolean, doc_id long, copies long, grams binary")
+        .repartition("leaf")
+        .sortWithinPartitions("leaf", "doc_id")
+        .mapInArrow(_within(percent), "a long, b long, links long, leaf long, cluster long, copies long, grams binary, box binary, least long, most long")
     )
-    box = leaves.select("leaf", "cluster", "box", "least", "most")
+    box = passed.where("box IS NOT NULL").select("leaf", "cluster", "box", "least", "most")
     more = box.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     other = box.select(*(F.col(c).alias(c if c == "cluster" else c + "2") for c in box.columns), F.pmod(F.hash("leaf"), F.lit(SALTS)).alias("salt"))
     pairs = more.join(other, ["cluster", "salt"]).where(f"leaf < leaf2 AND 100 * most >= {percent} * least2 AND 100 * most2 >= {percent} * least").mapInArrow(_near_boxes(percent), "leaf long, leaf2 long")
-    members_of = leaves.select("leaf", "members")
-    schema = "a long, b long, links long"
-    within = leaves.where(F.size("members") > 1).select("members", F.lit(None).cast(members_of.schema["members"].dataType).alias("members2")).mapInArrow(_verify(percent), schema)
-    across = pairs.join(members_of, "leaf").join(members_of.select(F.col("leaf").alias("leaf2"), F.col("members").alias("members2")), "leaf2").select("members", "members2").mapInArrow(_verify(percent), schema)
-    found = cut(within.union(across))
+    sides = pairs.select("leaf", "leaf2", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("leaf").alias("of")), F.struct(F.lit(1).alias("side"), F.col("leaf2").alias("of")))).alias("s")).select("leaf", "leaf2", "s.*")
+    members_of = passed.where("grams IS NOT NULL").select(F.col("leaf").alias("of"), F.col("a").alias("doc_id"), "copies", "grams")
+    across = sides.join(members_of, "of").select("leaf", "leaf2", "side", "doc_id", "copies", "grams").groupBy("leaf", "leaf2").applyInArrow(_across(percent), "a long, b long, links long")
+    found = cut(passed.where("links IS NOT NULL").select("a", "b", "links").union(across))
+    forget(members, leaf_of, passed)
     label = components(found.where("links = 0").select("a", "b")).withColumnsRenamed({"node": "first", "label": "component"})
     links = found.where("links > 0").groupBy(F.col("a").alias("first")).agg(F.sum("links").alias("links"))
     classes = classes.join(label, "first", "left").join(links, "first", "left").select(
