@@ -5,8 +5,8 @@ has as many words as the item.  The similarity is that of the bags weighted by h
 smaller counts over the sum of larger counts.
 
 1.  A window that is similar enough lacks at most a ninth (for 0.8) of the item's shingles.  So of any so many shingles
-    and one more, it has one.  Those with the longest words are taken, and the longest word of each is an anchor: windows
-    that hold no anchor of an item at its place cannot match it, and only the others get fingerprints.
+    and one more, it has one.  Those with the longest words are taken, and the longest word of each is an anchor.  Only
+    windows in which an anchor is found, and its whole shingle around it, get fingerprints; the others cannot match.
 2.  A window's fingerprint has 64 bits, each the sign of a sum over shingle hashes.  A fingerprint is cut into 8 blocks.
     Two fingerprints within ``RADIUS`` bits have a block in which they differ in at most ``RADIUS // 8`` bits; the index of items
     holds all block values so near, so an equi-join on blocks misses none.
@@ -15,6 +15,7 @@ smaller counts over the sum of larger counts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -36,27 +37,34 @@ def words_of(text: Column) -> Column:
 
 def shingles(words: Column) -> Column:
     """The five-word shingles, in order and with repeats; all words if there are fewer."""
-    n = F.size(words)
-    some = F.transform(F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(SHINGLE)), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(some)
+
+    def of(w: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(SHINGLE)), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(some)
+
+    return let(words, of)
 
 
 def simhash(grams: Column) -> Column:
     """A bit is set where more than half the shingles' hashes have it.  Counts add up in lanes of 16 bits."""
-    hashes, n = F.transform(grams, lambda g: F.xxhash64(g)), F.size(grams)
     zero = F.lit(0).cast("long")
 
-    def lanes(k: int) -> Column:
+    def lanes(hashes: Column, k: int) -> Column:
         return F.aggregate(hashes, zero, lambda a, h: a + _right(h, F.lit(k)).bitwiseAND(F.lit(_MASK)))
 
-    def bit(count: Column, b: Column) -> Column:
-        one = _right(F.element_at(count, b % _LANES + 1), F.floor(b / _LANES).cast("int") * 16).bitwiseAND(F.lit(0xFFFF))
+    def bit(counts: Column, n: Column, b: Column) -> Column:
+        one = _right(F.element_at(counts, b % _LANES + 1), F.floor(b / _LANES).cast("int") * 16).bitwiseAND(F.lit(0xFFFF))
         return F.when(one * 2 > n, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(zero)
 
-    # the sums are bound to a lambda's variable, so that they are worked out once
-    counts = F.array(F.array(*map(lanes, range(_LANES))))
-    prints = F.transform(counts, lambda c: F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, lambda a, b: a.bitwiseOR(bit(c, b))))
-    return F.element_at(prints, 1)
+    def of(hashes: Column) -> Column:
+        return let(F.array(*(lanes(hashes, k) for k in range(_LANES))), lambda counts: F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, lambda a, b: a.bitwiseOR(bit(counts, F.size(hashes), b))))
+
+    return let(F.transform(grams, lambda g: F.xxhash64(g)), of)
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def _right(value: Column, by: Column) -> Column:
@@ -79,31 +87,34 @@ def describe_items(benchmark: DataFrame, threshold: float) -> DataFrame:
     """``item_id, item_len, item_grams, item_print, anchors`` (word and place) of items with a word."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0).select("item_id", "w", F.size("w").alias("item_len"), shingles(F.col("w")).alias("item_grams"))
     needed = F.floor(F.size("item_grams") * F.lit((1 - threshold) / (1 + threshold) + 1e-9)).cast("int") + 1
-    longest = lambda i: F.array_max(F.transform(F.sequence(i, F.least(i + (SHINGLE - 1), F.col("item_len"))), lambda p: F.struct(F.length(F.element_at("w", p)).alias("n"), F.element_at("w", p).alias("word"), p.alias("place"))))
-    ranked = F.reverse(F.array_sort(F.transform(F.sequence(F.lit(1), F.size("item_grams")), longest)))
-    anchors = F.array_distinct(F.transform(F.slice(ranked, F.lit(1), needed), lambda x: F.struct(x["word"].alias("word"), x["place"].alias("place"))))
+    place = lambda i: F.array_max(F.transform(F.sequence(i, F.least(i + (SHINGLE - 1), F.col("item_len"))), lambda p: F.struct(F.length(F.element_at("w", p)).alias("n"), F.element_at("w", p).alias("word"), p.alias("place"))))
+    ranked = F.reverse(F.array_sort(F.transform(F.sequence(F.lit(1), F.size("item_grams")), lambda i: F.struct(place(i).alias("best"), i.alias("at"), F.element_at("item_grams", i).alias("gram")))))
+    anchors = F.transform(F.slice(ranked, F.lit(1), needed), lambda x: F.struct(x["best"]["word"].alias("word"), x["best"]["place"].alias("place"), x["at"].alias("at"), x["gram"].alias("gram")))
     return items.select("item_id", "item_len", "item_grams", simhash(F.col("item_grams")).alias("item_print"), anchors.alias("anchors"))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``doc_id, item_id, start, similarity`` for each pair of a document and an item that it holds.
 
-    ``start`` is the place, counted from 0, of the first word of the most similar window (the first such).  Null and empty
+    ``start`` is the place, counted from 0, of the first word of the most similar window (the first such) among those that lie
+    so that one of the item's rarest-looking shingles is at its place in them.  Null and empty
     texts hold nothing and are held by nothing; documents shorter than an item do not hold it; rows with a null doc_id or
     item_id are left out; repeated rows give one pair; empty tables give no rows; other columns are not looked at.
     """
     items = describe_items(benchmark.where("item_id IS NOT NULL").select("item_id", "text").distinct(), threshold)
-    anchors = items.select("item_id", "item_len", F.explode("anchors").alias("a")).select("item_len", "a.word", "a.place").distinct()
+    anchors = items.select("item_id", "item_len", F.explode("anchors").alias("a")).select("item_len", "a.word", "a.place", "a.at", "a.gram").distinct()
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", words_of(F.col("text")).alias("w"))
     some = [r["word"] for r in anchors.select("word").distinct().limit(LITERAL_ANCHORS + 1).collect()]  # at most LITERAL_ANCHORS words
     small = len(some) <= LITERAL_ANCHORS
     if small:
         texts = texts.where(F.arrays_overlap("w", F.array(*map(F.lit, some)).cast("array<string>")))
         anchors = F.broadcast(anchors)  # few words, each at few places of the items
-    hits = texts.select("doc_id", F.posexplode("w").alias("at", "word")).join(anchors, "word").select("doc_id", (F.col("at") - F.col("place") + 1).alias("start"), "item_len").where("start >= 0")
-    places = hits.groupBy("doc_id").agg(F.collect_set(F.struct("start", "item_len")).alias("places"))
-    cut_out = F.transform(F.filter("places", lambda p: p["start"] + p["item_len"] <= F.size("w")), lambda p: F.struct(p["start"].alias("start"), p["item_len"].alias("item_len"), F.slice(F.col("w"), p["start"] + 1, p["item_len"]).alias("words")))
-    found = texts.join(places, "doc_id").select("doc_id", F.explode(cut_out).alias("x")).select("doc_id", "x.start", "x.item_len", shingles(F.col("x.words")).alias("grams")).withColumn("print", simhash(F.col("grams")))
+    hits = texts.select("doc_id", F.posexplode("w").alias("pos", "word")).join(anchors, "word").select("doc_id", (F.col("pos") - F.col("place") + 1).alias("start"), "item_len", "at", "gram").where("start >= 0")
+    places = hits.groupBy("doc_id").agg(F.collect_set(F.struct("start", "item_len", "at", "gram")).alias("places"))
+    whole = lambda p: (p["start"] + p["item_len"] <= F.size("w")) & (F.array_join(F.slice(F.col("w"), p["start"] + p["at"], F.least(F.lit(SHINGLE), p["item_len"])), " ") == p["gram"])
+    windows = F.array_distinct(F.transform(F.filter("places", whole), lambda p: F.struct(p["start"].alias("start"), p["item_len"].alias("item_len"))))
+    cut_out = F.transform(windows, lambda p: let(shingles(F.slice(F.col("w"), p["start"] + 1, p["item_len"])), lambda g: F.struct(p["start"].alias("start"), p["item_len"].alias("item_len"), g.alias("grams"), simhash(g).alias("print"))))
+    found = texts.join(places, "doc_id").select("doc_id", F.explode(cut_out).alias("x")).select("doc_id", "x.*")
     block = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
     near = items.withColumn("block", block).withColumn("near", F.explode(F.array(*map(F.lit, _NEAR)))).select("item_id", "item_len", "item_print", "block", _block(F.col("item_print"), F.col("block")).bitwiseXOR(F.col("near")).alias("value"))
     probe = found.select("doc_id", "start", "item_len", "print", "grams", F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: F.struct(i.alias("block"), _block(F.col("print"), i).alias("value"))).alias("blocks")).select("doc_id", "start", "item_len", "print", "grams", F.inline("blocks"))
