@@ -87,8 +87,8 @@ def describe_items(benchmark: DataFrame, threshold: float) -> DataFrame:
     """``item_id, item_len, item_grams, item_print, anchors`` (word and place) of items with a word."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0).select("item_id", "w", F.size("w").alias("item_len"), shingles(F.col("w")).alias("item_grams"))
     needed = F.floor(F.size("item_grams") * F.lit((1 - threshold) / (1 + threshold) + 1e-9)).cast("int") + 1
-    place = lambda i: F.array_max(F.transform(F.sequence(i, F.least(i + (SHINGLE - 1), F.col("item_len"))), lambda p: F.struct(F.length(F.element_at("w", p)).alias("n"), F.element_at("w", p).alias("word"), p.alias("place"))))
-    ranked = F.reverse(F.array_sort(F.transform(F.sequence(F.lit(1), F.size("item_grams")), lambda i: F.struct(place(i).alias("best"), i.alias("at"), F.element_at("item_grams", i).alias("gram")))))
+    place = lambda i: F.array_max(F.transform(F.sequence(i, F.least(i + (SHINGLE - 1), F.greatest(F.col("item_len"), i))), lambda p: F.struct(F.length(F.try_element_at("w", p)).alias("n"), F.try_element_at("w", p).alias("word"), p.alias("place"))))
+    ranked = F.reverse(F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(F.size("item_grams"), F.lit(1))), lambda i: F.struct(place(i).alias("best"), i.alias("at"), F.try_element_at("item_grams", i).alias("gram")))))
     anchors = F.transform(F.slice(ranked, F.lit(1), needed), lambda x: F.struct(x["best"]["word"].alias("word"), x["best"]["place"].alias("place"), x["at"].alias("at"), x["gram"].alias("gram")))
     return items.select("item_id", "item_len", "item_grams", simhash(F.col("item_grams")).alias("item_print"), anchors.alias("anchors"))
 
