@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
+from seqloom.operators.store import cut
 
 # The bacterial start codons and the stop codons.
 STARTS = ["ATG", "GTG", "TTG", "CTG", "ATT", "ATC", "ATA"]
@@ -68,12 +69,13 @@ def length_statistic(contigs: DataFrame, length: str = "len", part: float = 0.5)
     return hit.select(F.col("len").cast("long").alias("nxx"), (F.col("count") + F.ceil((F.col("half") - F.col("before")) / F.col("len"))).cast("long").alias("lxx"))
 
 
-def unitigs(edges: DataFrame, cut=lambda df: df, most: int = 40) -> DataFrame:
+def unitigs(edges: DataFrame, most: int = 40) -> DataFrame:
     """``node, head, steps``: the end of the unbranched chain that each node lies on, found by doubling pointers.
 
-    ``edges``: ``a, b``: b is the only next node of a, and a the only one before b.  ``cut`` stores a round's table.
+    ``edges``: ``a, b``: b is the only next node of a, and a the only one before b.  Each round is stored as a table.
     A circle ends at its smallest node.  Rounds grow with the logarithm of the longest chain.
     """
+    edges = cut(edges.select("a", "b"))
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     state = cut(nodes.join(edges.withColumnsRenamed({"b": "node", "a": "up"}), "node", "left").select("node", F.coalesce("up", "node").alias("head"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.coalesce("up", "node").alias("low")))
     for _ in range(most):

@@ -189,3 +189,27 @@ def _(spark, d):
 def _(spark, d):
     r = AG.remap(_agp(spark, d, False), _agp(spark, d, True))
     return r.groupBy("seqid", "reversed").agg(F.sum("length").alias("bases"))
+
+
+@query("d17_histogram_shape")
+def _(spark, d):
+    shape = AS.histogram_shape([tuple(r) for r in AS.histogram(KD.count_kmers(V.reads(spark, d), K)).orderBy(F.desc("kmers")).limit(100_000).collect()])  # distinct counts, at most 100,000
+    return spark.createDataFrame([tuple(float(x) for x in shape.values())], ", ".join(f"{k} double" for k in shape))
+
+
+@query("d33_unitigs", "edges", """WITH one AS (SELECT kmer, min(next) AS next FROM edges WHERE side = 'R' AND n > 0 GROUP BY kmer HAVING count(DISTINCT next) = 1), mutual AS (SELECT a.kmer, a.next FROM one a WHERE (SELECT count(DISTINCT kmer) FROM one b WHERE b.next = a.next) = 1)
+  SELECT count(*) AS links, count(DISTINCT next) AS targets FROM mutual""")
+def _(spark, d):
+    e = AS.successors(_nodes(spark, d)).where("side = 'R'").groupBy("kmer").agg(F.count_distinct("next").alias("c"), F.min("next").alias("next")).where("c = 1").select("kmer", "next")
+    single = e.groupBy("next").agg(F.count_distinct("kmer").alias("c")).where("c = 1").select("next")
+    links = e.join(single, "next", "left_semi")
+    return links.agg(F.count("*").alias("links"), F.count_distinct("next").alias("targets"))
+
+
+@query("d33_unitig_chains")
+def _(spark, d):
+    n = _nodes(spark, d)
+    e = AS.successors(n).where("side = 'R'").groupBy("kmer").agg(F.count_distinct("next").alias("c"), F.min("next").alias("next")).where("c = 1").select("kmer", "next")
+    single = e.groupBy("next").agg(F.count_distinct("kmer").alias("c")).where("c = 1").select("next")
+    links = e.join(single, "next", "left_semi").select(S.encode("kmer").alias("a"), S.encode("next").alias("b"))
+    return AS.unitigs(links).groupBy("head").agg(F.count("*").alias("nodes"), F.max("steps").alias("steps"))

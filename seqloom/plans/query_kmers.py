@@ -412,3 +412,30 @@ def _(spark, d):
 def _(spark, d):
     e = V.table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x > 0).alias("profile"))
     return PR.nearest(e.where("vec_id % 50 = 0"), e, "vec_id", 3)
+
+
+@query("c69_reach", "", "SELECT contig, pos, CAST(greatest(max(pos + len) OVER (PARTITION BY contig ORDER BY pos ROWS UNBOUNDED PRECEDING) - pos, 0) AS BIGINT) AS reach FROM (SELECT user_id AS contig, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS pos, max(CAST(trunc(value) AS BIGINT)) AS len FROM events GROUP BY 1, 2)")
+def _(spark, d):
+    e = V.table(spark, d, "events").select(F.col("user_id").alias("contig"), F.unix_timestamp("ts").alias("pos"), F.col("value").cast("long").alias("len"))
+    return KD.coverage_reach(e)
+
+
+@query("c41_connectivity")
+def _(spark, d):
+    b = V.table(spark, d, "benchmark").select(F.col("item_id").alias("contig"), V.bases_of("text").alias("bases"))
+    parts = b.where(F.length("bases") >= 60).select(F.col("contig").alias("spotid"), F.substring("bases", 5, 50).alias("bases"))
+    return KD.connectivity(b, parts.union(V.reads(spark, d).select("spotid", "bases")), 20)
+
+
+@query("c70_effective_window", "win_kmers coded", "SELECT lang, count(*) AS kmers, count(DISTINCT kmer) AS different FROM coded WHERE pos % 16 = 1 GROUP BY lang")
+def _(spark, d):
+    k = KD.explode_positions(V.reads(spark, d), K, "lang").where("pos % 16 = 0")
+    return k.groupBy("lang").agg(F.count("*").alias("kmers"), F.count_distinct("kmer").alias("different"))
+
+
+@query("c61_contig_statistics", "coded", "SELECT source, CAST(sum(n) AS BIGINT) AS coverage, round(avg(n), 6) AS average, round(100.0 * sum(n) / (SELECT count(*) FROM coded), 6) AS percent FROM (SELECT source, kmer, count(*) AS n FROM coded GROUP BY 1, 2) GROUP BY source")
+def _(spark, d):
+    k = KD.explode_kmers(V.reads(spark, d), K, "source")
+    whole = k.agg(F.count("*").alias("whole"))
+    s = k.groupBy("source", "kmer").agg(F.count("*").alias("n")).groupBy("source").agg(F.sum("n").alias("coverage"), F.round(F.avg("n"), 6).alias("average"))
+    return s.crossJoin(F.broadcast(whole)).select("source", "coverage", "average", F.round(100 * F.col("coverage") / F.col("whole"), 6).alias("percent"))  # one row: the total
