@@ -146,8 +146,12 @@ def _(spark, d):
     return numbered(V.reads(spark, d), "spotid").where("(row + 1) % 8 = 0").select("spotid", "bases")
 
 
-@query("c25_low_complexity", "coded", f"""SELECT kmer, CAST(len(list_filter(range(5, {K+1}), lambda i: (substr(kmer,CAST(i AS BIGINT),1) = substr(kmer,CAST(i-1 AS BIGINT),1) AND substr(kmer,CAST(i-1 AS BIGINT),1) = substr(kmer,CAST(i-2 AS BIGINT),1) AND substr(kmer,CAST(i-2 AS BIGINT),1) = substr(kmer,CAST(i-3 AS BIGINT),1) AND substr(kmer,CAST(i-3 AS BIGINT),1) = substr(kmer,CAST(i-4 AS BIGINT),1))
-  OR (i > 8 AND substr(kmer,CAST(i AS BIGINT),1) = substr(kmer,CAST(i-2 AS BIGINT),1) AND substr(kmer,CAST(i-2 AS BIGINT),1) = substr(kmer,CAST(i-4 AS BIGINT),1) AND substr(kmer,CAST(i-4 AS BIGINT),1) = substr(kmer,CAST(i-6 AS BIGINT),1) AND substr(kmer,CAST(i-6 AS BIGINT),1) = substr(kmer,CAST(i-8 AS BIGINT),1)))) AS INTEGER) AS predicted FROM (SELECT DISTINCT kmer FROM coded)""")
+_AT = "substr(kmer, CAST(i - {0} AS BIGINT), 1)"
+_SAME = lambda p: " AND ".join(f"{_AT.format(0)} = {_AT.format(j * p)}" for j in range(1, 5))
+_PREDICTED = f"len(list_filter(range(5, {K + 1}), lambda i: ({_SAME(1)}) OR (i > 8 AND {_SAME(2)})))"
+
+
+@query("c25_low_complexity", "coded", f"SELECT kmer, CAST({_PREDICTED} AS INTEGER) AS predicted FROM (SELECT DISTINCT kmer FROM coded)")
 def _(spark, d):
     k = _text(KD.explode_kmers(V.reads(spark, d), K).distinct())
     return k.select("kmer", S.predicted("kmer").alias("predicted"))
@@ -221,10 +225,9 @@ def _(spark, d):
     return KD.annotation(_index(spark, d))
 
 
-@query("c26_filter_db", "kmer_db", "SELECT kmer, tax_id FROM kmer_db WHERE tax_id = 110 AND NOT regexp_matches(kmer, 'A{8}|C{8}|G{8}|T{8}')")
+@query("c26_filter_db", "kmer_db", f"SELECT kmer, tax_id FROM kmer_db WHERE tax_id = 110 AND NOT {_PREDICTED} >= {13 * K // 32}")
 def _(spark, d):
-    db = KD.filter_db(_index(spark, d), K, 110)
-    return _text(db, "tax_id").where("NOT kmer RLIKE 'A{8}|C{8}|G{8}|T{8}'")
+    return _text(KD.filter_db(_index(spark, d), K, 110), "tax_id")
 
 
 @query("c27_filter_root", "kmer_db", "SELECT kmer, tax_id FROM kmer_db WHERE tax_id NOT IN (0, 1)")
