@@ -32,6 +32,7 @@ GROUPS = 256
 LEAF_ROWS = 128
 LEAF_GRAMS = 250_000
 SALTS = 16
+BITS = 1 << 22
 
 
 def gram_set(text: str | None, size: int, words: WordCache) -> np.ndarray:
@@ -297,6 +298,16 @@ def _across(percent: int):
     return run
 
 
+def _having(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` joined with ``ids`` by doc_id.  A bitmap of BITS hashed ids, which is broadcast and whose size is fixed, first
+    drops most texts whose id is not asked for; the join then decides."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    at = lambda df: df.withColumn("_word", F.floor(bit / 64)).withColumn("_bit", (bit % 64).cast("int"))
+    bitmap = at(ids.select("doc_id")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    some = at(docs).join(F.broadcast(bitmap), "_word").where("getbit(_bits, _bit) = 1").drop("_word", "_bit", "_bits")
+    return some.join(ids, "doc_id")
+
+
 def ngram_jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, n_links``.
 
@@ -331,7 +342,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     leaf_of = cut(members.repartitionByRange("cluster", "n", "z", "doc_id").sortWithinPartitions("cluster", "n", "z", "doc_id").mapInArrow(_leaves, "doc_id long, cluster long, copies long, leaf long"))
     many = leaf_of.groupBy("cluster").agg((F.min("leaf") < F.max("leaf")).alias("many"))
     passed = cut(
-        docs.join(leaf_of.join(many, "cluster"), "doc_id")
+        _having(docs, leaf_of.join(many, "cluster"))
         .mapInArrow(_sets(size), "leaf long, cluster long, many boolean, doc_id long, copies long, grams binary")
         .repartition("leaf")
         .sortWithinPartitions("leaf", "doc_id")
