@@ -12,8 +12,8 @@
     belongs to one of GROUPS groups by its hash; the numbers of a set's elements in the groups are its point.
     A leaf's bounding box is the largest count of each group.
 4.  Summed coordinate minima bound an overlap from above: first between boxes of leaves, then between points.
-    Pairs that survive are verified on the sets.  The work for two leaves is one row, so a large cluster
-    spreads over all tasks.
+    Sets with a pair that survives are brought together and verified.  The work for two leaves is a group of bounded
+    size, so a large cluster spreads over all tasks, and only sets that may link travel.
 """
 
 from __future__ import annotations
@@ -171,19 +171,23 @@ def _ties(combine: bool):
     return map_side if combine else reduce_side
 
 
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _leaves(most: int):
     """Number the leaves: rows come in order of cluster and point; a leaf ends with its cluster or when it is full."""
-    from pyspark import TaskContext
 
-    leaf, rows, grams, last = (TaskContext.get().partitionId() << 40) - 1, 0, 0, None
-    for batch in batches:
-        number = []
-        for cluster, n in zip(batch.column("cluster").to_pylist(), batch.column("n").to_pylist(), strict=True):
-            if cluster != last or rows >= LEAF_ROWS or grams + n > LEAF_GRAMS:
-                leaf, rows, grams, last = leaf + 1, 0, 0, cluster
-            rows, grams = rows + 1, grams + n
-            number.append(leaf)
-        yield pa.record_batch([batch.column("doc_id"), batch.column("cluster"), batch.column("copies"), pa.array(number, pa.int64())], ["doc_id", "cluster", "copies", "leaf"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        leaf, rows, grams, last = (TaskContext.get().partitionId() << 40) - 1, 0, 0, None
+        for batch in batches:
+            number = []
+            for cluster, n in zip(batch.column("cluster").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                if cluster != last or rows >= most or grams + n > LEAF_GRAMS:
+                    leaf, rows, grams, last = leaf + 1, 0, 0, cluster
+                rows, grams = rows + 1, grams + n
+                number.append(leaf)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("cluster"), batch.column("copies"), pa.array(number, pa.int64())], ["doc_id", "cluster", "copies", "leaf"])
+
+    return run
 
 
 def _sets(size: int):
@@ -254,7 +258,18 @@ def linked(rows: list[dict], first: int, percent: int) -> Iterator[tuple[int, in
         yield ids[x], ids[x], int(links[x])
 
 
-LEAF_PASS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("leaf", pa.int64()), ("cluster", pa.int64()), ("copies", pa.int64()), ("grams", pa.binary()), ("box", pa.binary()), ("least", pa.int64()), ("most", pa.int64())])
+def short(point: np.ndarray) -> bytes:
+    """A point in two bytes a coordinate; what does not fit counts as unlimited, so bounds stay bounds."""
+    return np.minimum(point, 0xFFFF).astype(np.uint16).tobytes()
+
+
+def long(data: bytes) -> np.ndarray:
+    at = np.frombuffer(data, np.uint16).astype(np.int64)
+    at[at == 0xFFFF] = 1 << 40
+    return at
+
+
+LEAF_PASS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("leaf", pa.int64()), ("cluster", pa.int64()), ("copies", pa.int64()), ("grams", pa.binary()), ("point", pa.binary()), ("box", pa.binary()), ("least", pa.int64()), ("most", pa.int64())])
 
 
 def _within(percent: int):
@@ -265,8 +280,9 @@ def _within(percent: int):
         out = [{"a": a, "b": b, "links": n} for a, b, n in linked(rows, len(rows), percent)]
         if rows[0]["many"]:
             leaf, sets = {"leaf": rows[0]["leaf"], "cluster": rows[0]["cluster"]}, [np.frombuffer(r["grams"], U64) for r in rows]
-            out += [leaf | {"a": r["doc_id"], "copies": r["copies"], "grams": r["grams"]} for r in rows]
-            out.append(leaf | {"box": points(sets).max(axis=0).tobytes(), "least": min(map(len, sets)), "most": max(map(len, sets))})
+            at = points(sets)
+            out += [leaf | {"a": r["doc_id"], "copies": r["copies"], "grams": r["grams"], "point": short(p), "least": len(g)} for r, p, g in zip(rows, at, sets, strict=True)]
+            out.append(leaf | {"box": at.max(axis=0).tobytes(), "least": min(map(len, sets)), "most": max(map(len, sets))})
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,6 +302,26 @@ def _within(percent: int):
     return run
 
 
+def _near_points(percent: int):
+    """Of two leaves' points, those whose bound lets them link with a point of the other leaf."""
+
+    def run(members: pa.Table) -> pa.Table:
+        rows = members.to_pylist()
+        one, two = ([r for r in rows if r["side"] == side] for side in (0, 1))
+        keep = []
+        if one and two:
+            other, n, near = np.stack([long(r["point"]) for r in two]), np.array([r["n"] for r in two]), np.zeros(len(two), bool)
+            for r in one:
+                found = (100 + percent) * np.minimum(long(r["point"]), other).sum(axis=1) >= percent * (r["n"] + n)
+                if found.any():
+                    keep.append(r)
+                    near |= found
+            keep += [r for r, x in zip(two, near, strict=True) if x]
+        return pa.table({c: pa.array([r[c] for r in keep], pa.int64()) for c in ("leaf", "leaf2", "side", "doc_id")})
+
+    return run
+
+
 def _across(percent: int):
     """Links between two leaves."""
 
@@ -308,7 +344,7 @@ def _having(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return some.join(ids, "doc_id")
 
 
-def ngram_jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, n_links``.
 
     Words are runs of other than ASCII white space, A-Z lower-cased.  A document's set holds its distinct
@@ -339,22 +375,24 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     members = cut(
         classes.join(clusters.withColumnsRenamed({"node": "hi", "label": "cluster"}), "hi").select(F.col("first").alias("doc_id"), "cluster", "copies", "n", "z")
     )
-    leaf_of = cut(members.repartitionByRange("cluster", "n", "z", "doc_id").sortWithinPartitions("cluster", "n", "z", "doc_id").mapInArrow(_leaves, "doc_id long, cluster long, copies long, leaf long"))
+    leaf_of = cut(members.repartitionByRange("cluster", "n", "z", "doc_id").sortWithinPartitions("cluster", "n", "z", "doc_id").mapInArrow(_leaves(leaf_rows), "doc_id long, cluster long, copies long, leaf long"))
     many = leaf_of.groupBy("cluster").agg((F.min("leaf") < F.max("leaf")).alias("many"))
     passed = cut(
         _having(docs, leaf_of.join(many, "cluster"))
         .mapInArrow(_sets(size), "leaf long, cluster long, many boolean, doc_id long, copies long, grams binary")
         .repartition("leaf")
         .sortWithinPartitions("leaf", "doc_id")
-        .mapInArrow(_within(percent), "a long, b long, links long, leaf long, cluster long, copies long, grams binary, box binary, least long, most long")
+        .mapInArrow(_within(percent), "a long, b long, links long, leaf long, cluster long, copies long, grams binary, point binary, box binary, least long, most long")
     )
     box = passed.where("box IS NOT NULL").select("leaf", "cluster", "box", "least", "most")
     more = box.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     other = box.select(*(F.col(c).alias(c if c == "cluster" else c + "2") for c in box.columns), F.pmod(F.hash("leaf"), F.lit(SALTS)).alias("salt"))
     pairs = more.join(other, ["cluster", "salt"]).where(f"leaf < leaf2 AND 100 * most >= {percent} * least2 AND 100 * most2 >= {percent} * least").mapInArrow(_near_boxes(percent), "leaf long, leaf2 long")
     sides = pairs.select("leaf", "leaf2", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("leaf").alias("of")), F.struct(F.lit(1).alias("side"), F.col("leaf2").alias("of")))).alias("s")).select("leaf", "leaf2", "s.*")
-    members_of = passed.where("grams IS NOT NULL").select(F.col("leaf").alias("of"), F.col("a").alias("doc_id"), "copies", "grams")
-    across = sides.join(members_of, "of").select("leaf", "leaf2", "side", "doc_id", "copies", "grams").groupBy("leaf", "leaf2").applyInArrow(_across(percent), "a long, b long, links long")
+    points_of = passed.where("grams IS NOT NULL").select(F.col("leaf").alias("of"), F.col("a").alias("doc_id"), F.col("least").alias("n"), "point")
+    near = sides.join(points_of, "of").select(F.col("side").cast("long").alias("side"), "leaf", "leaf2", "doc_id", "n", "point").groupBy("leaf", "leaf2").applyInArrow(_near_points(percent), "leaf long, leaf2 long, side long, doc_id long")
+    sets_of = passed.where("grams IS NOT NULL").select(F.col("a").alias("doc_id"), "copies", "grams")
+    across = near.join(sets_of, "doc_id").select("leaf", "leaf2", "side", "doc_id", "copies", "grams").groupBy("leaf", "leaf2").applyInArrow(_across(percent), "a long, b long, links long")
     found = cut(passed.where("links IS NOT NULL").select("a", "b", "links").union(across))
     forget(members, leaf_of, passed)
     label = components(found.where("links = 0").select("a", "b")).withColumnsRenamed({"node": "first", "label": "component"})

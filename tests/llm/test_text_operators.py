@@ -66,6 +66,10 @@ def test_ngram_join(spark, docs, texts, n, percent):
     assert set(map(tuple, ngram_jaccard_join(docs, n, percent).collect())) == plain_join(texts, n, percent)
 
 
+def test_ngram_join_across_leaves(spark, docs, texts):
+    assert set(map(tuple, ngram_jaccard_join(docs, 4, 85, leaf_rows=2).collect())) == plain_join(texts, 4, 85)
+
+
 def test_ngram_join_of_nothing_and_nulls(spark, docs):
     assert ngram_jaccard_join(docs.where("false")).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e")], "doc_id long, text string")
