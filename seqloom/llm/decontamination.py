@@ -5,12 +5,14 @@ has as many words as the item.  The similarity is that of the bags weighted by h
 smaller counts over the sum of larger counts.
 
 1.  A window that is similar enough lacks at most a ninth (for 0.8) of the item's shingles.  So of any so many shingles
-    and one more, it has one.  Those with the longest words are taken, and the longest word of each is an anchor.  Only
-    windows in which an anchor is found, and its whole shingle around it, get fingerprints; the others cannot match.
+    and one more, it has one, though not always at its place in the item: words before it may be missing or moved.  Those
+    with the longest words are taken, and the longest word of each is an anchor.  All item-sized windows around an anchor
+    and its whole shingle, wherever the shingle lies in them, get fingerprints; the others cannot match.
 2.  A window's fingerprint has 64 bits, each the sign of a sum over shingle hashes.  A fingerprint is cut into 8 blocks.
     Two fingerprints within ``RADIUS`` bits have a block in which they differ in at most ``RADIUS // 8`` bits; the index of items
     holds all block values so near, so an equi-join on blocks misses none.
-3.  Pairs within the radius are verified by the exact similarity.
+3.  Pairs within the radius are verified by the exact similarity.  Only places travel to the index and back; the words
+    of a window are cut from the text where they are needed.
 """
 
 from __future__ import annotations
@@ -83,6 +85,12 @@ def similarity(a: Column, b: Column) -> Column:
     return low / (F.size(a) + F.size(b) - low)
 
 
+def _at_most(a: Column, b: Column) -> Column:
+    """A bound of the similarity from above that is quick to work out: every shingle of ``a`` that ``b`` has counts in full."""
+    low = F.size(a) - F.size(F.array_except(a, b))
+    return low / (F.size(a) + F.size(b) - low)
+
+
 def describe_items(benchmark: DataFrame, threshold: float) -> DataFrame:
     """``item_id, item_len, item_grams, item_print, anchors`` (word and place) of items with a word."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0).select("item_id", "w", F.size("w").alias("item_len"), shingles(F.col("w")).alias("item_grams"))
@@ -96,33 +104,37 @@ def describe_items(benchmark: DataFrame, threshold: float) -> DataFrame:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``doc_id, item_id, start, similarity`` for each pair of a document and an item that it holds.
 
-    ``start`` is the place, counted from 0, of the first word of the most similar window (the first such) among those that lie
-    so that one of the item's rarest-looking shingles is at its place in them.  Null and empty
+    ``start`` is the place, counted from 0, of the first word of the most similar window (the first such).  Null and empty
     texts hold nothing and are held by nothing; documents shorter than an item do not hold it; rows with a null doc_id or
     item_id are left out; repeated rows give one pair; empty tables give no rows; other columns are not looked at.
     """
     items = describe_items(benchmark.where("item_id IS NOT NULL").select("item_id", "text").distinct(), threshold)
-    anchors = items.select("item_id", "item_len", F.explode("anchors").alias("a")).select("item_len", "a.word", "a.place", "a.at", "a.gram").distinct()
+    anchors = items.select("item_len", F.explode("anchors").alias("a")).select("item_len", "a.word", (F.col("a.place") - F.col("a.at")).alias("before"), "a.gram").distinct()
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", words_of(F.col("text")).alias("w"))
     some = [r["word"] for r in anchors.select("word").distinct().limit(LITERAL_ANCHORS + 1).collect()]  # at most LITERAL_ANCHORS words
     small = len(some) <= LITERAL_ANCHORS
     if small:
         texts = texts.where(F.arrays_overlap("w", F.array(*map(F.lit, some)).cast("array<string>")))
-        anchors = F.broadcast(anchors)  # few words, each at few places of the items
-    hits = texts.select("doc_id", F.posexplode("w").alias("pos", "word")).join(anchors, "word").select("doc_id", (F.col("pos") - F.col("place") + 1).alias("start"), "item_len", "at", "gram").where("start >= 0")
-    places = hits.groupBy("doc_id").agg(F.collect_set(F.struct("start", "item_len", "at", "gram")).alias("places"))
-    whole = lambda p: (p["start"] + p["item_len"] <= F.size("w")) & (F.array_join(F.slice(F.col("w"), p["start"] + p["at"], F.least(F.lit(SHINGLE), p["item_len"])), " ") == p["gram"])
-    windows = F.array_distinct(F.transform(F.filter("places", whole), lambda p: F.struct(p["start"].alias("start"), p["item_len"].alias("item_len"))))
-    cut_out = F.transform(windows, lambda p: let(shingles(F.slice(F.col("w"), p["start"] + 1, p["item_len"])), lambda g: F.struct(p["start"].alias("start"), p["item_len"].alias("item_len"), g.alias("grams"), simhash(g).alias("print"))))
+        anchors = F.broadcast(anchors)  # few words, each in few shingles of the items
+    hits = texts.select("doc_id", F.posexplode("w").alias("pos", "word")).join(anchors, "word").select("doc_id", (F.col("pos") - F.col("before")).alias("at"), "item_len", "gram").where("at >= 0")
+    places = hits.groupBy("doc_id").agg(F.collect_set(F.struct("at", "item_len", "gram")).alias("places"))
+    width = lambda p: F.least(F.lit(SHINGLE), p["item_len"])
+    whole = lambda p: (p["item_len"] <= F.size("w")) & (p["at"] + width(p) <= F.size("w")) & (F.array_join(F.slice(F.col("w"), p["at"] + 1, width(p)), " ") == p["gram"])
+    around = lambda p: F.transform(F.sequence(F.greatest(p["at"] + width(p) - p["item_len"], F.lit(0)), F.least(p["at"], F.size("w") - p["item_len"])), lambda s: F.struct(s.alias("start"), p["item_len"].alias("item_len")))
+    windows = F.array_distinct(F.flatten(F.transform(F.filter("places", whole), around)))
+    window = lambda start, item_len: shingles(F.slice(F.col("w"), start + 1, item_len))
+    cut_out = F.transform(windows, lambda p: F.struct(p["start"].alias("start"), p["item_len"].alias("item_len"), let(window(p["start"], p["item_len"]), simhash).alias("print")))
     found = texts.join(places, "doc_id").select("doc_id", F.explode(cut_out).alias("x")).select("doc_id", "x.*")
     block = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
     near = items.withColumn("block", block).withColumn("near", F.explode(F.array(*map(F.lit, _NEAR)))).select("item_id", "item_len", "item_print", "block", _block(F.col("item_print"), F.col("block")).bitwiseXOR(F.col("near")).alias("value"))
-    probe = found.select("doc_id", "start", "item_len", "print", "grams", F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: F.struct(i.alias("block"), _block(F.col("print"), i).alias("value"))).alias("blocks")).select("doc_id", "start", "item_len", "print", "grams", F.inline("blocks"))
+    probe = found.select("doc_id", "start", "item_len", "print", F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: F.struct(i.alias("block"), _block(F.col("print"), i).alias("value"))).alias("blocks")).select("doc_id", "start", "item_len", "print", F.inline("blocks"))
     pairs = probe.join(near, ["item_len", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     first = F.expr(f"forall(sequence(0, {BLOCKS - 1}), i -> i >= block OR bit_count(shiftrightunsigned(print ^ item_print, i * {64 // BLOCKS}) & {(1 << 64 // BLOCKS) - 1}) > {RADIUS // BLOCKS})")
-    exact = pairs.where(first).select("doc_id", "start", "item_id", "grams").join(items.select("item_id", "item_grams"), "item_id").withColumn("similarity", similarity(F.col("grams"), F.col("item_grams"))).where(F.col("similarity") >= threshold)
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("before")))
-    return exact.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", (-F.col("b.before")).alias("start"), F.col("b.similarity").alias("similarity"))
+    starts = pairs.where(first).groupBy("doc_id", "item_id").agg(F.collect_set("start").alias("starts")).join(items.select("item_id", "item_len", "item_grams"), "item_id")
+    exact = lambda s: let(window(s, F.col("item_len")), lambda g: F.struct(F.when(_at_most(g, F.col("item_grams")) >= threshold, similarity(g, F.col("item_grams"))).otherwise(0.0).alias("similarity"), (-s).alias("before")))
+    inside = F.filter("starts", lambda s: s + F.col("item_len") <= F.size("w"))  # another text may have the same doc_id
+    best = texts.join(starts, "doc_id").select("doc_id", "item_id", F.array_max(F.transform(inside, exact)).alias("b")).where(F.col("b.similarity") >= threshold).groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
+    return best.select("doc_id", "item_id", (-F.col("b.before")).alias("start"), F.col("b.similarity").alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -268,6 +268,36 @@ def test_decontamination(spark):
     assert decontamination.find_contamination(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_of_moved_shingles(spark):
+    rng = random.Random(4)
+    long = prose(rng, 46).split()
+    long[40] = "thelongestwordofall"
+    items = [long, prose(rng, 46).split(), prose(rng, 60).split(), prose(rng, 14).split()]
+    rows = [long[:3] + long[4:] + prose(rng, 20).split()]  # 39 of 45 shingles at the text's start, all anchors one word early
+    for it in items:
+        n = len(it)
+        for at in (1, 3, n // 2, n - 4, n - 2):
+            gone, more = it[:at] + it[at + 1 :], [*it[:at], "extra", *it[at:]]
+            for w in (gone, more):
+                rows += [w + prose(rng, 9).split(), prose(rng, 9).split() + w, prose(rng, 9).split() + w + prose(rng, 9).split(), w]
+        rows += [it[n // 2 :] + it[: n // 2], prose(rng, 9).split() + it[n // 2 :] + it[: n // 2], it[5:] + it[:5] + it]
+    bag = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = {}
+    for d, w in enumerate(rows):
+        for i, it in enumerate(items):
+            for s in range(len(w) - len(it) + 1):
+                a, b = bag(w[s : s + len(it)]), bag(it)
+                like = sum((a & b).values()) / sum((a | b).values())
+                if like >= 0.8 and like > want.get((d, i), (0, 0))[1]:
+                    want[d, i] = (s, like)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontamination.find_contamination(docs, bench).collect()}
+    assert (0, 0) in want and len(want) > 40
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
 def test_pipeline_on_awkward_documents(spark, tmp_path, docs, texts):
     import corpus_pipeline as P
 
