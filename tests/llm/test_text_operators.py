@@ -298,6 +298,15 @@ def test_decontamination_of_moved_shingles(spark):
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
 
 
+def test_source_mix_keeps_all_rows(spark):
+    import corpus_pipeline as P
+
+    rows = [(i, f"text {i}", "one" if i == 0 else None if i == 1 else "ab"[i % 2]) for i in range(40_000)]
+    got = P.source_mix(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
+    assert sorted(map(tuple, got)) == rows
+    assert {r.source for r in got[:200]} >= {"a", "b"}
+
+
 def test_pipeline_on_awkward_documents(spark, tmp_path, docs, texts):
     import corpus_pipeline as P
 
