@@ -76,6 +76,26 @@ def test_ngram_join_of_nothing_and_nulls(spark, docs):
     assert sorted(map(str, (r.component_id for r in ngram_jaccard_join(rows).collect()))) in (["1", "1", "1"], ["1", "1", "None"])
 
 
+def test_ngram_join_null_id_before_the_same_text(spark):
+    base = prose(random.Random(6), 100)
+    rows = [(None, base), (7, base), (3, base + " more")]
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(None, 3), (7, 3), (3, 3)}
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(7)
+    a, b, c, d, e = (prose(rng, 100) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b + " more"), (None, c), (4, c + " more"), (5, d), (5, e), (5, e), (6, d), (2, a + " and more"), (None, None)]
+    got = P.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "").collect()
+    left = [(r.doc_id, r.text) for r in got]
+    one = [x for x in left if x[1] in (b, b + " more")]
+    assert len(one) == 1 and one[0][0] is None
+    assert sorted(map(str, (x for x in left if x not in one))) == sorted(map(str, [(2, a + " and more"), (4, c + " more"), (5, d), (5, e), (None, None)]))
+
+
 def test_slices_name_a_common_key():
     import numpy as np
 
