@@ -67,13 +67,31 @@ def test_ngram_join(spark, docs, texts, n, percent):
 
 
 def test_ngram_join_across_leaves(spark, docs, texts):
-    assert set(map(tuple, ngram_jaccard_join(docs, 4, 85, leaf_rows=2).collect())) == plain_join(texts, 4, 85)
+    assert set(map(tuple, ngram_jaccard_join(docs, 4, 85, block_rows=2).collect())) == plain_join(texts, 4, 85)
 
 
 def test_ngram_join_of_nothing_and_nulls(spark, docs):
     assert ngram_jaccard_join(docs.where("false")).count() == 0
-    rows = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e")], "doc_id long, text string")
-    assert sorted(map(str, (r.component_id for r in ngram_jaccard_join(rows).collect()))) in (["1", "1", "1"], ["1", "1", "None"])
+    rows = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (None, None), (None, "f g h i j")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id, r.n_links) for r in ngram_jaccard_join(rows).collect())
+    assert got == Counter({(None, 1, 2): 1, (1, 1, 2): 2, (None, None, 0): 2})
+
+
+@pytest.mark.parametrize("block_rows", [3, 2048])
+def test_ngram_join_of_repeated_ids_and_a_large_group(spark, block_rows):
+    rng = random.Random(11)
+    base = prose(rng, 60).split()
+    rows = []
+    for i in range(60):  # near copies of one text, some under one doc_id
+        words = list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(60)] = prose(rng, 1)
+        rows.append((i // 2, " ".join(words)))
+    rows += [(i, prose(rng, 40)) for i in range(20)] + [(7, base[0])] * 2
+    want = plain_join([(k, t) for k, (_, t) in enumerate(rows)], 4, 85)
+    smallest = {label: min(rows[k][0] for k, _, other, _ in want if other == label) for _, _, label, _ in want}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, ngram_jaccard_join(df, block_rows=block_rows).collect())) == Counter((rows[k][0], n, smallest[label], links) for k, n, label, links in want)
 
 
 def test_ngram_join_null_id_before_the_same_text(spark):
