@@ -336,6 +336,22 @@ def test_decontamination_of_moved_shingles(spark):
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
 
 
+def test_decontamination_of_long_items_and_awkward_ids(spark):
+    rng = random.Random(9)
+    vocabulary = prose(rng, 5000).split()
+    long = [rng.choice(vocabulary) for _ in range(40_000)]
+    item = " ".join(rng.choice(vocabulary) for _ in range(40))
+    same = "na " * 30
+    clean = prose(rng, 50)
+    rows = [(1, " ".join(["x", *long[:30_000], "y", *long[30_001:]])), (2, clean), (2, "so " + item), (None, item), (None, clean), (3, same), (3, same), (4, same + clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, item), (2, item), (3, same), (None, clean)], "item_id long, text string")
+    got = sorted(decontamination.find_contamination(docs, bench).collect(), key=str)
+    assert {(r.doc_id, r.item_id, r.start) for r in got} == {(1, 1, 1), (2, 2, 1), (None, 2, 0), (3, 3, 0), (4, 3, 0)} and len(got) == 5
+    left = decontamination.decontaminate(docs, bench).collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, [(2, clean), (None, clean)]))
+
+
 def test_source_mix_keeps_all_rows(spark):
     import corpus_pipeline as P
 
