@@ -26,12 +26,16 @@ _SPACE = b" \t\n\r\x0b\x0c"
 class Bands:
     """Limits of compressed over plain bytes.  A row is (bytes at least, ratio at least, ratio at most); the last row
     whose length a text reaches holds.  ``chunk`` is the length of the fixed chunks, and ``chunk_band`` their limits:
-    a text is rejected when more than ``chunk_share`` of its chunks lie outside."""
+    a text is rejected when more than ``chunk_share`` of its chunks lie outside.  The last chunk ends with the text and
+    may begin inside the one before, so every byte of a text that reaches one chunk's length is in a chunk; shorter
+    texts are one chunk themselves, judged by the limits of their length."""
 
-    whole: tuple[tuple[int, float, float], ...] = ((0, 0.0, 9.0), (200, 0.42, 0.90), (1_000, 0.39, 0.80), (4_000, 0.36, 0.72), (16_000, 0.33, 0.66), (64_000, 0.28, 0.62))
+    whole: tuple[tuple[int, float, float], ...] = (
+        (0, 0.45, 1.05), (200, 0.42, 0.90), (1_000, 0.39, 0.80), (4_000, 0.36, 0.72), (16_000, 0.33, 0.66), (64_000, 0.28, 0.62),
+    )
     chunk: int = 2_048
     chunk_band: tuple[float, float] = (0.34, 0.80)
-    chunk_share: float = 0.5
+    chunk_share: float = 0.25
     level: int = 3
 
     def limits(self, size: int) -> tuple[float, float]:
@@ -67,8 +71,10 @@ def measure(text: str | None, words: WordCache, bands: Bands, press: zstandard.Z
     n_symbols = len(data) - len(data.translate(None, SYMBOLS))
     repeat = repeated_words(hashes)
     ratio = len(press.compress(data)) / len(data) if data else None
-    chunks = [data[i : i + bands.chunk] for i in range(0, len(data) - bands.chunk + 1, bands.chunk)]
-    ratios = [len(press.compress(c)) / len(c) for c in chunks]
+    starts = [*range(0, len(data) - bands.chunk + 1, bands.chunk)]
+    if starts and len(data) % bands.chunk:
+        starts.append(len(data) - bands.chunk)
+    ratios = [len(press.compress(data[i : i + bands.chunk])) / bands.chunk for i in starts]
     low, high = bands.chunk_band
     outside = sum(not low <= r <= high for r in ratios)
     base_failed = len(found) < 20 or 100 * repeat > 30 * len(found)
