@@ -5,19 +5,20 @@ its n-grams; a document is a mixture whose proportions expectation-maximisation
 languages is chosen by penalised likelihood: another language must raise the log-likelihood by more than half the
 logarithm of the number of words, times ``penalty``.
 
-Frequencies are learnt from a bounded sample of rows with a language (``per_language``, from the ``most_languages`` most
-frequent languages); every whole text is judged.
+The sets that are tried hold the languages of the largest proportions: one, two and so on, until no text gains.
+
+Frequencies of every language are learnt from a bounded sample of its rows (``per_language``); every whole text is judged.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from seqloom.llm.common import held_out, rows_of
 from seqloom.llm.toxicity import fold_words, subwords
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 SIZES = (1, 2, 3)
 
 
@@ -95,12 +96,14 @@ class Mixtures:
         share, _ = climb(np.full((len(docs), len(names)), 1 / len(names)), 8)
         order = np.argsort(-share, axis=1, kind="stable")
         best, score = np.zeros_like(share), np.full(len(docs), -np.inf)
-        for k in range(1, min(len(names), 3) + 1):
+        for k in range(1, len(names) + 1):  # grow the sets while that pays for some text
             own = np.zeros_like(share)
             np.put_along_axis(own, order[:, :k], np.take_along_axis(share, order[:, :k], 1) + 1e-9, 1)
             own, value = climb(own / own.sum(axis=1, keepdims=True), 0 if k == 1 else 5)
             value = value - self.model.penalty * 0.5 * (k - 1) * np.log(n + 1)
             better = value > score
+            if not better.any():
+                break
             best[better], score[better] = own[better], value[better]
         for i, b in zip(at, best, strict=True):
             j = int(b.argmax())
@@ -108,11 +111,11 @@ class Mixtures:
         return out
 
 
-def fit_language_model(docs: DataFrame, per_language: int = 400, most_languages: int = 100) -> LanguageModel:
-    """Learn from rows with a language that are not held out: about ``per_language`` rows for each of the
-    ``most_languages`` most frequent languages, those whose hash of doc_id is smallest."""
+def fit_language_model(docs: DataFrame, per_language: int = 400) -> LanguageModel:
+    """Learn from rows with a language that are not held out: about ``per_language`` rows for each language, those whose
+    hash of doc_id is smallest.  A language has a row of counts on the driver, and the model a column of frequencies."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()  # a row a language
     if not counts:
         return LanguageModel([], np.zeros((1, 0)))
     part = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"])))), F.col("lang"))
