@@ -14,6 +14,7 @@ import json
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import zstandard
@@ -32,15 +33,20 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """A WARC 1.1 record: a response with the payload, or a revisit that names the response and keeps only headers."""
+def record(name: str, date: str, page_id: int | None, url: str | None, payload: bytes, first: dict | None) -> bytes:
+    """A WARC 1.1 record: a response with the payload, or a revisit of ``first`` (page_id and url) that keeps only headers.
+
+    The page_id is in a field of its own, since a record's id is unique and a page_id need not be."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Target-URI: " + "".join(c for c in url or "" if c >= " ")]
-    if revisit:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    head += [f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
+    block = http + payload if first is None else http
+    plain = lambda x: "".join(c for c in x or "" if c >= " ")
+    number = lambda x: "" if x is None else str(x)
+    head = {"WARC-Type": "response" if first is None else "revisit", "WARC-Record-ID": f"<urn:uuid:{name}>", "WARC-Date": date, "WARC-Target-URI": plain(url), "Page-ID": number(page_id)}
+    if first is not None:
+        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To-Target-URI": plain(first["url"]), "WARC-Refers-To-Date": date, "Refers-To-Page-ID": number(first["page_id"])}
+    head |= {"WARC-Payload-Digest": f"sha1:{sha1_base32(payload)}", "WARC-Block-Digest": f"sha1:{sha1_base32(block)}", "Content-Type": "application/http;msgtype=response", "Content-Length": str(len(block))}
+    lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in head.items())]
+    return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse_record(data: bytes) -> dict:
@@ -53,14 +59,14 @@ def parse_record(data: bytes) -> dict:
     block = rest[: int(headers["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(dict(line.split(b": ", 1) for line in http.split(b"\r\n")[1:])[b"Content-Length"])
-    number = lambda name: int(x) if (x := headers[name][len("<urn:page:") : -1]) else None
-    found = {"page_id": number("WARC-Record-ID"), "url": headers["WARC-Target-URI"], "record_type": headers["WARC-Type"], "payload_bytes": size}
+    number = lambda name: int(x) if (x := headers[name]) else None
+    found = {"page_id": number("Page-ID"), "url": headers["WARC-Target-URI"], "record_type": headers["WARC-Type"], "payload_bytes": size}
     if found["record_type"] == "response":
         digest = sha1_base32(payload)
         if len(payload) != size or f"sha1:{digest}" != headers["WARC-Payload-Digest"]:
-            raise ValueError(f"record {found['page_id']} is damaged")
+            raise ValueError(f"record {headers['WARC-Record-ID']} is damaged")
         return found | {"payload_digest": digest, "refers_to": None, "payload": payload}
-    return found | {"payload_digest": headers["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": number("WARC-Refers-To"), "payload": None}
+    return found | {"payload_digest": headers["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": number("Refers-To-Page-ID"), "payload": None}
 
 
 class BundleWriter:
@@ -96,7 +102,7 @@ class BundleReader:
         if magic != SEEKABLE_MAGIC or descriptor != 0:
             raise ValueError("no seek table")
         table = data[-9 - 8 * frames : -9]
-        self.data, self.frames, at = data, [], 0
+        self.data, self.frames, self.places, at = data, [], None, 0
         for i in range(frames):
             packed, plain = struct.unpack_from("<II", table, 8 * i)
             self.frames.append((at, packed, plain))
@@ -112,8 +118,12 @@ class BundleReader:
         return self.unpack.decompress(self.data[at : at + packed], max_output_size=plain)
 
     def get(self, name: int | None) -> list[bytes]:
-        """The records of this id; there are several only if the id was written several times."""
-        return [self.frame(f)[at : at + n] for i, f, at, n in self.index if i == name]
+        """The records of this page_id, each for the price of its frame; several only if the page was written several times."""
+        if self.places is None:
+            self.places = {}
+            for i, f, at, n in self.index:
+                self.places.setdefault(i, []).append((f, at, n))
+        return [self.frame(f)[at : at + n] for f, at, n in self.places.get(name, [])]
 
     def records(self) -> Iterator[bytes]:
         last, data = None, b""
@@ -123,23 +133,34 @@ class BundleReader:
             yield data[at : at + n]
 
 
-def bundle_pages(pages: DataFrame, least_revisit: int = 0, frame_bytes: int = 1 << 18, bundle_bytes: int = 4 << 20, level: int = 3) -> DataFrame:
+def bundle_pages(
+    pages: DataFrame, least_revisit: int = 0, frame_bytes: int = 1 << 18, bundle_bytes: int = 4 << 20, level: int = 3, date: str | None = None
+) -> DataFrame:
     """Bundles ``n_records, data`` of the pages: of equal payloads of at least ``least_revisit`` bytes, that with the
-    smallest page_id is a response and the others are revisits of it."""
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    smallest page_id is a response and the others are revisits of it.  ``date`` is what records say; now if none is given."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    html = F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html)
     payload = F.col("html").cast("binary")
-    keys = pages.select("page_id", F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("n"))
-    first = keys.where(F.col("n") >= least_revisit).groupBy("sha1", "n").agg(F.min("page_id").alias("first"))
-    key = F.coalesce("page_id", F.lit(-1)).alias("key")
-    later = keys.join(first, ["sha1", "n"]).where("page_id > first OR page_id IS NULL AND first IS NOT NULL").select(key, "sha1", "first").distinct()
-    rows = pages.select(key, F.sha1(payload).alias("sha1"), "page_id", "url", "html").join(later, ["key", "sha1"], "left").select("page_id", "url", "html", "first")
+    pages = pages.select("page_id", "url", "html", F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("n"))
+    keys = pages.select("page_id", "url", "sha1", "n")
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    first = keys.where(F.col("n") >= least_revisit).groupBy("sha1", "n").agg(least.alias("first"))
+    others = keys.join(first, ["sha1", "n"]).where("page_id > first.page_id OR page_id IS NULL AND first IS NOT NULL")
+    later = others.select(F.col("page_id").alias("_page_id"), F.col("sha1").alias("_sha1"), "first").distinct()
+    same = F.col("page_id").eqNullSafe(F.col("_page_id")) & (F.col("sha1") == F.col("_sha1"))
+    rows = pages.join(later, same, "left").select("page_id", "url", "html", "first")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = BundleWriter(frame_bytes, level)
+        from pyspark import TaskContext
+
+        writer, part, n = BundleWriter(frame_bytes, level), TaskContext.get().partitionId(), 0
         whole = lambda: pa.record_batch([pa.array([len(writer.index)], pa.int64()), pa.array([writer.finish()], pa.binary())], ["n_records", "data"])
         for batch in rows_of(batches, 64):
             for page_id, url, html, response in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first")), strict=True):
-                writer.add(page_id, record(page_id, url, html.encode("utf-8", "surrogatepass"), response, response is not None))
+                data, n = html.encode("utf-8", "surrogatepass"), n + 1
+                name = uuid.uuid5(uuid.NAMESPACE_URL, f"{date} {part} {n} {page_id} {sha1_base32(data)}")
+                writer.add(page_id, record(str(name), date, page_id, url, data, response))
                 if len(writer.out) >= bundle_bytes:
                     yield whole()
                     writer = BundleWriter(frame_bytes, level)
@@ -153,6 +174,28 @@ def store_bundles(bundles: DataFrame, path: str) -> None:
     bundles.write.mode("overwrite").parquet(path)
 
 
+def export_bundles(bundles: DataFrame, folder: str) -> DataFrame:
+    """Write each bundle as a ``.warc.zst`` file for other tools; returns ``file, n_records`` when it is run.
+
+    ``folder`` is a URI in a store that pyarrow reaches from all executors.  A file is named by what it holds, so a task
+    that runs again writes the same file.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in rows_of(batches, 1):
+            data = batch.column("data")[0].as_py()
+            name = f"{root}/{hashlib.sha1(data).hexdigest()}.warc.zst"
+            with store.open_output_stream(name, compression=None) as out:  # it would compress once more
+                out.write(data)
+            yield pa.record_batch([pa.array([name]), batch.column("n_records")], ["file", "n_records"])
+
+    return bundles.select("data", "n_records").mapInArrow(write, "file string, n_records long")
+
+
 def read_bundles(bundles: DataFrame) -> DataFrame:
     """``page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload`` of all records, read frame by frame."""
 
