@@ -25,19 +25,21 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
     return (F.greatest(*draws) if len(draws) > 1 else draws[0])["shard"]
 
 
-def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``slot``: gapless from 0 within ``group``.
+def numbered(rows: DataFrame, group: str, order: list[str], slot: str = "slot") -> DataFrame:
+    """``rows`` with ``slot``: gapless from 0 within ``group``.  Names that begin with ``_of_`` are kept for inner use.
 
     Rows are numbered within parts that a hash of the order columns makes, and parts are then lined up by their
     counts, so no task holds a group.  Repeated rows get numbers of their own; ``group`` has no nulls.
     """
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(PARTS)).cast("int"))
-    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(group, "part").agg(F.count("*").alias("n"))
-    offset = counts.select(F.col(group).alias("of_group"), F.col("part").alias("of_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy(group, "part").orderBy(*order)) - 1
-    on = (F.col(group) == F.col("of_group")) & (F.col("part") == F.col("of_part"))
-    return rows.withColumn("within", within).join(offset, on).withColumn("slot", F.col("within") + F.col("offset")).drop("part", "within", "offset", "of_group", "of_part")
+    rows = rows.withColumn("_of_part", F.pmod(F.xxhash64(*order), F.lit(PARTS)).cast("int"))
+    before = Window.partitionBy(group).orderBy("_of_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(group, "_of_part").agg(F.count("*").alias("n"))
+    offset = F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_of_offset")
+    offsets = counts.select(F.col(group).alias("_of_group"), F.col("_of_part").alias("_of_same"), offset)
+    within = F.row_number().over(Window.partitionBy(group, "_of_part").orderBy(*order)) - 1
+    on = (F.col(group) == F.col("_of_group")) & (F.col("_of_part") == F.col("_of_same"))
+    rows = rows.withColumn("_of_within", within).join(offsets, on).withColumn(slot, F.col("_of_within") + F.col("_of_offset"))
+    return rows.drop("_of_part", "_of_within", "_of_offset", "_of_group", "_of_same")
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, weights: list[float] | None = None) -> DataFrame:
