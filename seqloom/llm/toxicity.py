@@ -52,6 +52,15 @@ def subwords(words: list[bytes], buckets: int, sizes: tuple[int, ...] = (3, 4, 5
     return (gram[order] % U64(buckets)).astype(np.int64), np.searchsorted(owner[order], np.arange(len(words)))
 
 
+#: Digits and signs that are written for letters become these letters, so ``f00l`` shares its n-grams with ``fool``.
+_SPELT = bytes.maketrans(b"0134578@$", b"oieastbas")
+
+
+def spelt_words(text: str | None) -> list[bytes]:
+    """Words in which digits and signs count as the letters they stand for."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPELT).translate(_FOLD).split()
+
+
 @dataclass
 class SubwordSoftmax:
     """Embeddings of ``buckets`` n-grams and the two classes' weights."""
@@ -69,7 +78,7 @@ class SubwordSoftmax:
     @classmethod
     def fit(cls, texts: list[str], labels: np.ndarray, buckets: int = 1 << 16, dim: int = 8, epochs: int = 120, run: int = 3, seed: int = 7) -> SubwordSoftmax:
         number: dict[bytes, int] = {}
-        docs = [np.array([number.setdefault(w, len(number)) for w in fold_words(t)], np.int64) for t in texts]
+        docs = [np.array([number.setdefault(w, len(number)) for w in spelt_words(t)], np.int64) for t in texts]
         keep = [i for i, d in enumerate(docs) if len(d)]
         y = np.asarray(labels, float)[keep]
         docs = [docs[i] for i in keep]
@@ -119,7 +128,7 @@ class Scorer:
         self.margin, self.bias, self.run, self.most, self.known = margin, bias, run, most, {}
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        docs = [fold_words(t) for t in texts]
+        docs = [spelt_words(t) for t in texts]
         new = list({w for d in docs for w in d if w not in self.known})
         if new:
             if len(self.known) + len(new) > self.most:
