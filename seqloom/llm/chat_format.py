@@ -36,7 +36,8 @@ def message_log(conversations: DataFrame, piece: int = 600) -> DataFrame:
     """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     event = lambda k, kind, t: F.struct(F.lit(k).alias("seq"), F.lit(kind).alias("kind"), t.alias("text"))
-    pieces = F.transform(F.sequence(F.lit(0), (F.length(text) / piece).cast("int")), lambda i: F.struct((i + 3).alias("seq"), F.lit("delta").alias("kind"), F.substring(text, i * piece + 1, F.lit(piece)).alias("text")))
+    cuts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))  # one pass; substring would begin anew for each piece
+    pieces = F.transform(cuts, lambda t, i: F.struct((i + 3).alias("seq"), F.lit("delta").alias("kind"), t.alias("text")))
     begun = F.array(event(0, "start", F.lit("")), event(1, "delta", F.substring(text, 1, 24)))
     streamed = F.concat(begun, F.array(event(2, "regenerate", F.lit(""))), pieces)
     typed = F.concat(begun, F.array(event(2, "edit", text)))
