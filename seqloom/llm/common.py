@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,24 +34,25 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def forget(*tables: DataFrame | None) -> None:
-    """Delete tables that ``cut`` has written and that nothing reads any more.
-
-    Spark deletes the shuffle files behind them when the driver collects its garbage, so that is asked for as well.
-    """
+    """Delete tables that ``cut`` has written and that nothing reads any more."""
     for df in tables:
         if path := getattr(df, "_cut_path", None):
             spark = df.sparkSession
             path = spark._jvm.org.apache.hadoop.fs.Path(path)
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share; one of its own only where a session names none."""
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
+
+    A session that names none gets a temporary folder if it runs in one process, as tests do, and an error if not.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="seqloom-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="seqloom-"))
     return sc.getCheckpointDir()
 
 

@@ -3,10 +3,12 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from seqloom.llm import chat_format, components, decontamination, language_id, mixing, quality, sharding, token_counts, toxicity, warc
@@ -137,13 +139,15 @@ def test_components(spark):
 
 def test_toxicity(spark):
     rng = random.Random(5)
-    rows = [(i, prose(rng, 60) + (" you badword fool " if i % 3 == 0 else " ") + prose(rng, 60)) for i in range(240)] + [(900, "you badwords"), (901, ""), (902, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows = [(i, prose(rng, 60) + (" you badword fool " if i % 3 == 0 else " ") + prose(rng, 60)) for i in range(240)] + [(900, "you badwords"), (901, ""), (902, None), (903, "you b4dw0rd"), (904, prose(rng, 9000) + " you badword fool " + prose(rng, 9)), (None, "you badword fool"), (905, "x"), (905, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit(1), "toxic": F.lit(0), "predicted": F.lit(3)})
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(240)] + [(5, 1, None)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).collect()}
     held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert all(got[i].held_out == (i in held) for i in range(240))
     assert sum(got[i].predicted == (i % 3 == 0) for i in held) >= 0.9 * len(held)
+    assert got[903].predicted == got[904].predicted == got[None].predicted == 1 and got[None].held_out is None
+    assert toxicity.score_toxicity(docs.where("false"), toxicity.fit_toxicity(docs.where("false"), labels)).count() == 0
     assert got[900].predicted == 1 and got[901].score == got[902].score and 0 <= got[901].score <= 1
 
 
@@ -182,6 +186,34 @@ def test_mixing(spark):
     assert mixing.mix_sources(df.where("false")).count() == 0
 
 
+def plain_mix(rows, weights, slots, block):
+    """Each row's position by a schedule that is simulated slot by slot."""
+    share = mixing.whole_weights(weights, slots)
+    order, turn, out = mixing.period(share), Counter(), []
+    blocks = {s: -(-sum(x == s for x in rows) // block) for s in share}
+    for slot in range(slots * max(-(-blocks[s] // share[s]) for s in share)):
+        s = order[slot % slots]
+        if turn[s] < blocks[s]:
+            out += [(s, turn[s], slot)]
+        turn[s] += 1
+    return out
+
+
+def test_mixing_against_a_simulation_with_awkward_columns(spark):
+    rows = [(i // 2 if i % 7 else None, "abc"[min(2, i // 150)] if i % 11 else None) for i in range(500)]
+    names = ["part", "within", "offset", "at", "share", "i", "slot", "mix_key", "mix_number", "mix_slot", "n", "s", "count"]
+    df = spark.createDataFrame(rows, "doc_id long, source string").withColumns({c: F.lit(5) for c in names})
+    got = mixing.mix_sources(df, slots=50, block=4).collect()
+    sources = ["\u0000null" if s is None else s for _, s in rows]
+    counts = Counter(sources)
+    want = plain_mix(sources, {s: n**0.7 for s, n in counts.items()}, 50, 4)
+    assert {(r.mix_group, r.mix_block, r.mix_slot) for r in got} == set(want)
+    assert all(r[c] == 5 for r in got for c in names if c != "mix_slot") and len(got) == 500
+    assert len({r.mix_position for r in got}) == 500
+    many = spark.createDataFrame([(i, f"s{i % 40}") for i in range(400)], "doc_id long, source string")
+    assert Counter(r.mix_group for r in mixing.mix_sources(many, most_sources=30).collect())[mixing.OTHER] == 100
+
+
 def test_pfair_period():
     for weights in ({"a": 1, "b": 1}, {"a": 7, "b": 2, "c": 1}, {"a": 617, "b": 211, "c": 172}):
         seen = Counter()
@@ -195,12 +227,15 @@ def test_pfair_period():
 def test_language(spark):
     rng = random.Random(8)
     make = {"x": lambda: " ".join(rng.choice(["alpha", "beta", "gamal", "delat"]) for _ in range(40)), "y": lambda: " ".join(rng.choice(["zuzu", "ouizz", "wozu", "ziwo"]) for _ in range(40))}
-    rows = [(i, make["xy"[i % 2]](), "xy"[i % 2]) for i in range(120)] + [(500, None, "x"), (501, "12 .. 3", "x"), (502, make["x"]() + " " + " ".join([make["y"]()] * 3), None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rows = [(i, make["xy"[i % 2]](), "xy"[i % 2]) for i in range(120)] + [(500, None, "x"), (501, "12 .. 3 \u00bd \u00b2 \u2461", "x"), (None, make["x"](), None), (504, make["y"]() * 400, None), (505, make["y"](), None), (505, make["y"](), None), (502, make["x"]() + " " + " ".join([make["y"]()] * 3), None)]
+    four = ["".join(rng.choice(a) for _ in range(6)) for a in ["abcd", "efgh", "ijkl", "mnop"] for _ in range(60)]
+    rows += [(1000 + i, " ".join(four[i // 30 * 60 : i // 30 * 60 + 60]), "efgh"[i // 30]) for i in range(120)] + [(2000, " ".join(four), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit(1), "lang_pred": F.lit(2), "languages": F.lit(3)})
     got = {r.doc_id: r for r in language_id.identify_languages(df, language_id.fit_language_model(df)).collect()}
     assert all(got[i].lang_pred == "xy"[i % 2] for i in range(120))
     assert got[500].lang_pred == got[501].lang_pred == "und" and got[502].lang_pred == "y" and set(got[502].languages) == {"x", "y"}
     assert abs(got[502].languages["y"] - 0.75) < 0.1
+    assert (got[None].lang_pred, got[504].lang_pred, got[505].lang_pred) == ("x", "y", "y") and set(got[2000].languages) == set("efgh")
     empty = language_id.fit_language_model(df.where("false"))
     assert {r.lang_pred for r in language_id.identify_languages(df, empty).collect()} == {"und"}
 
@@ -231,7 +266,7 @@ def test_rollup_commits_once(spark, tmp_path):
 
 
 def test_warc(spark, tmp_path):
-    rows = [(3, "u", "<p>é</p>"), (1, "v\n", "<p>é</p>"), (2, "w", None), (5, None, ""), (7, "x", "z" * 300000), (None, "y", "<p>é</p>"), (7, "x", "z" * 300000)]
+    rows = [(-1, "m", "one"), (None, "n", "one"), (3, "u", "<p>é</p>"), (1, "v\n", "<p>é</p>"), (2, "w", None), (5, None, ""), (7, "x", "z" * 300000), (None, "y", "<p>é</p>"), (7, "x", "z" * 300000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     path = str(tmp_path / "w")
     got = warc.warc_round_trip(df, path).collect()
@@ -248,6 +283,13 @@ def test_warc(spark, tmp_path):
     bundle = warc.BundleReader(spark.read.parquet(path).where("n_records > 0").first().data)
     name = bundle.index[0][0]
     assert warc.parse_record(bundle.get(name)[0])["page_id"] == name
+    files = warc.export_bundles(spark.read.parquet(path), (tmp_path / "files").as_uri()).collect()
+    plain = b"".join(zstandard.ZstdDecompressor().stream_reader(open(f.file, "rb"), read_across_frames=True).read() for f in files)
+    heads = plain.count(b"WARC/1.1\r\n")
+    assert heads == plain.count(b"\r\nWARC-Date: ") == len(rows)
+    assert len(set(re.findall(rb"WARC-Record-ID: (\S+)", plain))) == len(rows)
+    extra = df.withColumns({"payload": F.lit("x"), "sha1": F.lit(1), "first": F.lit(2), "n": F.lit(3)})
+    assert sorted(str(tuple(r)) for r in warc.warc_round_trip(extra).collect()) == sorted(want)
     assert warc.warc_round_trip(df.where("false")).count() == 0
 
 
@@ -263,6 +305,14 @@ def test_sharding(spark, docs, texts):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     grown = {r.doc_id: r.shard for r in sharding.shard_documents(docs, 6).collect()}
     assert all(grown[i] == got[i].grown_shard for i in grown)
+    again = spark.createDataFrame([(None, "a"), (None, "a"), (3, None), (3, None), (3, "b"), (-1, "é" * 9000)], "doc_id long, text string")
+    rows = sharding.shard_documents(again.withColumns({"part": F.lit(1), "slot": F.lit(2), "size": F.lit(3)}), 4).collect()
+    assert len(rows) == 6 and len({r.shard for r in rows if r.doc_id is None}) == len({r.shard for r in rows if r.doc_id == 3}) == 1
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows))) for s in {r.shard for r in rows})
+    assert sharding.shard_documents(docs.where("false")).count() == 0
+    for i, _ in texts:  # the shard once more, in plain Python, from the draws
+        draws = spark.range(1).select(*(sharding.draw(F.lit(i).cast("long"), k).alias(f"d{k}") for k in range(6))).first() if i < 4 else None
+        assert draws is None or (max(range(5), key=lambda k: draws[k]), max(range(6), key=lambda k: draws[k])) == (got[i].shard, got[i].grown_shard)
     heavy = Counter(r.shard for r in sharding.shard_documents(spark.range(6000).selectExpr("id AS doc_id", "'' AS text"), 3, [1.0, 1.0, 4.0]).collect())
     assert abs(heavy[2] / 6000 - 2 / 3) < 0.03
 
@@ -281,6 +331,28 @@ def test_quality(spark, texts, docs):
     assert got[len(texts) - 4].n_words == 6000 and got[len(texts) - 4].kept
 
 
+def test_quality_bands(spark):
+    rng = random.Random(12)
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(4000))
+    words = prose(rng, 40).split()  # few words, so it compresses as prose does
+    text = " ".join(rng.choice(words) for _ in range(2000))
+    spaced = lambda x: " ".join(x[i : i + 60] for i in range(0, len(x), 60))
+    rows = [(1, text[:2048] + " " + spaced(noise)[:1500]), (2, text[:3500]), (3, spaced(noise)), (4, None), (5, ""), (None, text[:3500]), (2, text[:3500])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"ratio": F.lit(1), "kept": F.lit(2)})
+    bands = quality.Bands(whole=((0, 0.1, 1.05),), chunk_band=(0.1, 0.6))
+    got = quality.quality_rules(df, bands).collect()
+    press = zstandard.ZstdCompressor(level=3)
+    for r, (i, t) in zip(got, rows, strict=True):
+        data = (t or "").encode()
+        at = [k for k in range(0, len(data), 2048) if k + 2048 <= len(data)]
+        at += [len(data) - 2048] if at and at[-1] + 2048 < len(data) else []
+        outside = sum(not 0.1 <= len(press.compress(data[k : k + 2048])) / 2048 <= 0.6 for k in at)
+        kept = not r.base_failed and bool(data) and 0.1 <= len(press.compress(data)) / len(data) <= 1.05 and outside <= 0.25 * len(at)
+        assert (r.doc_id, r.n_chunks, r.n_chunks_outside, r.kept) == (i, len(at), outside, kept)
+    assert [r.kept for r in got] == [False, True, False, False, False, True, True]
+    assert quality.quality_rules(df.where("false")).count() == 0
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     items = [(i, prose(rng, rng.randint(12, 50))) for i in range(12)] + [(90, ""), (91, None), (92, "just four words here")]
