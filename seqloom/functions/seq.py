@@ -162,15 +162,35 @@ def low_complexity(bases: Column | str, k: int) -> Column:
 
 
 def fnv1(code: Column | str) -> Column:
-    """FNV-1 over the eight little-endian bytes of a code, starting from the usual offset 14695981039346656037, as DECIMAL(20,0).
+    """FNV-1 over the eight little-endian bytes of a code, starting from the usual offset 14695981039346656037, as DECIMAL(20,0)."""
+    h = fnv1_long(code)
+    return F.when(h < 0, h.cast("decimal(20,0)") + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(h.cast("decimal(20,0)")).cast("decimal(20,0)")
 
-    BIGINT products overflow; products here stay below 2**105 and fit DECIMAL(38,0).
+
+def fnv1_long(code: Column | str) -> Column:
+    """The same hash in the 64 bits of a BIGINT, which is negative from 2**63 on.
+
+    The prime is 2**40 + 435, so a product is a shift and a small product.  It is made in two halves of 32 bits, each of
+    which stays far below the limits of BIGINT.
     """
-    prime, full = F.lit(FNV_PRIME).cast("decimal(13,0)"), F.lit(str(1 << 64)).cast("decimal(20,0)")
-    signed = lambda d: F.when(d >= F.lit(str(1 << 63)).cast("decimal(20,0)"), d - full).otherwise(d).cast("long")
-    unsigned = lambda x: F.when(x < 0, x.cast("decimal(20,0)") + full).otherwise(x.cast("decimal(20,0)")).cast("decimal(20,0)")
-    step = lambda h, i: unsigned(signed(((h * prime) % full).cast("decimal(20,0)")).bitwiseXOR(F.call_function("shiftrightunsigned", _c(code), i * 8).bitwiseAND(F.lit(255))))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit("14695981039346656037").cast("decimal(20,0)"), step)
+    low, value = F.lit((1 << 32) - 1), _c(code)
+    right = lambda x, n: F.call_function("shiftrightunsigned", x, F.lit(n))
+    left = lambda x, n: F.call_function("shiftleft", x, F.lit(n))
+    rest = F.lit(FNV_PRIME - (1 << 40)).cast("long")
+
+    def times(h: Column) -> Column:
+        small = h.bitwiseAND(low) * rest
+        high = right(h, 32) * rest + right(small, 32) + left(h.bitwiseAND(F.lit((1 << 24) - 1)), 8)
+        return left(high, 32).bitwiseOR(small.bitwiseAND(low))
+
+    h = F.lit(14695981039346656037 - (1 << 64)).cast("long")
+    bytes_of = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.call_function("shiftrightunsigned", value, i * 8).bitwiseAND(F.lit(255)).cast("long"))
+    return F.aggregate(bytes_of, h, lambda acc, x: times(acc).bitwiseXOR(x))
+
+
+def fnv1_rank(code: Column | str) -> Column:
+    """A BIGINT that sorts as the unsigned hash does."""
+    return fnv1_long(code).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
 
 
 def parse_count(token: Column | str) -> tuple[Column, Column]:

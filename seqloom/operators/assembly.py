@@ -73,7 +73,8 @@ def unitigs(edges: DataFrame, most: int = 40) -> DataFrame:
     """``node, head, steps``: the end of the unbranched chain that each node lies on, found by doubling pointers.
 
     ``edges``: ``a, b``: b is the only next node of a, and a the only one before b.  Each round is stored as a table.
-    A circle ends at its smallest node.  Rounds grow with the logarithm of the longest chain.
+    A circle ends at its smallest node.  Rounds grow with the logarithm of the longest chain; ``most`` of them
+    reach the end of chains of 2**40 nodes, and only circles go round so often.
     """
     edges = cut(edges.select("a", "b"))
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -111,7 +112,7 @@ def resolve_overlaps(placed: DataFrame, most: int = 115) -> DataFrame:
 
     p = placed.groupBy("contig", "start", "end").agg(F.min("locus").alias("locus"))
     other = p.select("contig", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("locus").alias("r_locus"))
-    pairs = range_join(p, other, ["contig"], 10_000).where("locus <> r_locus")
+    pairs = range_join(p, other, ["contig"]).where("locus <> r_locus")
     shared = F.least("end", "r_end") - F.greatest("start", "r_start") + 1
     own, others = F.col("end") - F.col("start"), F.col("r_end") - F.col("r_start")
     loses = (own < others) | ((own == others) & (F.col("locus") > F.col("r_locus")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.intervals import cigar_segments, compare_segments, mark_ambiguous, merge_intervals, range_join
+from seqloom.operators.store import cut
 
 
 def build_features(gtf: DataFrame) -> DataFrame:
@@ -17,10 +18,10 @@ def build_features(gtf: DataFrame) -> DataFrame:
     strand = rows.groupBy("id", "ref").agg((F.min_by("strand", F.struct("start", "end", "strand")) == "-").alias("reverse"))
     segs = mark_ambiguous(merge_intervals(rows, ["id", "ref"]))
     packed = segs.groupBy("id", "ref").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(F.struct("start", "end", "amb"))).alias("segs"))
-    return packed.join(strand, ["id", "ref"])
+    return cut(packed.join(strand, ["id", "ref"]))  # small beside the alignments, and read more than once
 
 
-def dispositions(alignments: DataFrame, features: DataFrame, mode: str = "UNION", min_mapq: int = 0, ignore_strand: bool = False, bin_size: int = 500_000) -> DataFrame:
+def dispositions(alignments: DataFrame, features: DataFrame, mode: str = "UNION", min_mapq: int = 0, ignore_strand: bool = False) -> DataFrame:
     """``id, disposition``: LOW, AMB, NOFT, NC or the feature's id for every alignment.
 
     LOW has too little mapping quality; AMB touches a feature ambiguously; NOFT meets no feature; NC meets
@@ -31,7 +32,7 @@ def dispositions(alignments: DataFrame, features: DataFrame, mode: str = "UNION"
     a = a.withColumn("start", F.col("aligned")[0]["start"]).withColumn("end", F.try_element_at("aligned", F.lit(-1))["end"]).withColumn("low", low)
     good = a.where("NOT low AND start IS NOT NULL")
     f = features.select("ref", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("id").alias("feature"), "reverse", "segs")
-    met = range_join(good, f, ["ref"], bin_size)
+    met = range_join(good, f, ["ref"])
     if not ignore_strand:
         met = met.where(F.col("reversed") == F.col("reverse"))
     judged = met.select("id", "feature", compare_segments(F.col("aligned"), F.col("segs"), mode).alias("result"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN = 500_000
+from seqloom.operators.store import cut as cut_lineage
+
+#: Bases in the smallest bin, how much wider each level's bins are, and the number of levels.
+BIN, WIDER, LEVELS = 256, 16, 7
 #: CIGAR operations that cover reference bases, and those that move along the reference at all.
 _COVERS, _MOVES = ["M", "=", "X"], ["M", "=", "X", "D", "N"]
 
@@ -21,16 +24,41 @@ def overlap_len(a_start: Column, a_end: Column, b_start: Column, b_end: Column)
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], bin_size: int = BIN, how: str = "inner") -> DataFrame:
     """Pairs of rows with equal ``keys`` whose ``start..end`` and ``r_start..r_end`` overlap.
 
-    Both sides are put in every bin that they touch and meet by equality on keys and bin; a pair counts only in the bin in
-    which its overlap begins, so none is found twice and no distinct is needed.  With ``how='left'`` rows of the left
-    side without a partner stay.
+    An interval has the level whose bins are the smallest that are as long as it is, so it touches two bins at most.  Two
+    intervals meet by equality on keys and bin at the higher of their levels, so short ones never share a wide bin with
+    each other, and a pair counts only in the bin in which its overlap begins: none is found twice and no distinct is
+    needed.  Each side goes only to the levels that the other side has, which a first pass over lengths finds (a
+    handful of numbers).  With ``how='left'`` rows of the left side without a partner stay.
     """
-    bins = lambda a, b: F.explode(F.sequence(F.expr(f"{a} DIV {bin_size}"), F.expr(f"{b} DIV {bin_size}")))
-    one = left.withColumn("_bin", bins("start", "end"))
-    two = right.withColumn("_bin", bins("r_start", "r_end"))
-    first = F.expr(f"greatest(start, r_start) DIV {bin_size}") == F.col("_bin")
-    on = [*keys, "_bin"]
-    pairs = one.join(two, on).where((F.col("start") <= F.col("r_end")) & (F.col("end") >= F.col("r_start")) & first).drop("_bin")
+    widths = [bin_size * WIDER**k for k in range(LEVELS)]
+
+    def level(start: str, end: str) -> Column:
+        length = F.col(end) - F.col(start)
+        return sum((F.when(length >= w, 1).otherwise(0) for w in widths[:-1]), F.lit(0))
+
+    one, two = left.withColumn("_level", level("start", "end")), right.withColumn("_level", level("r_start", "r_end"))
+    sides = one.select(F.lit(0).alias("side"), "_level").union(two.select(F.lit(1).alias("side"), "_level")).distinct()
+    there = [(r["side"], r["_level"]) for r in sides.collect()]  # twice LEVELS rows at most
+    levels = [sorted(k for side, k in there if side == s and k is not None) for s in (0, 1)]
+
+    def binned(df: DataFrame, start: str, end: str, own: int) -> DataFrame:
+        def spots(k: int) -> Column:  # the side whose own level it is, with the left side first where both are
+            kind = F.when(F.col("_level") == k, own).otherwise(1 - own)
+            bins = F.sequence(F.expr(f"{start} DIV {widths[k]}"), F.expr(f"{end} DIV {widths[k]}"))
+            return F.transform(bins, lambda x: F.struct(F.lit(k).alias("_at"), kind.alias("_kind"), x.alias("_bin")))
+
+        none = F.array().cast("array<struct<_at:int,_kind:int,_bin:bigint>>")
+        mine, others = levels[own], levels[1 - own]
+        lowest = min(others, default=LEVELS)
+        parts = [F.when((F.col("_level") == k) & F.lit(lowest <= k if own == 0 else lowest < k), spots(k)).otherwise(none) for k in mine]
+        higher = (lambda k: F.col("_level") < k) if own == 0 else (lambda k: F.col("_level") <= k)
+        parts += [F.when(higher(k), F.transform(spots(k), lambda x: x.withField("_kind", F.lit(1 - own)))).otherwise(none) for k in others]
+        return df.select(*df.columns, F.inline(F.concat(none, *parts))).drop("_level")
+
+    first = sum((F.when(F.col("_at") == k, F.expr(f"greatest(start, r_start) DIV {w}")).otherwise(0) for k, w in enumerate(widths)), F.lit(0))
+    meet = binned(one, "start", "end", 0).join(binned(two, "r_start", "r_end", 1), [*keys, "_at", "_kind", "_bin"])
+    overlap = (F.col("start") <= F.col("r_end")) & (F.col("end") >= F.col("r_start")) & (first == F.col("_bin"))
+    pairs = meet.where(overlap).drop("_at", "_kind", "_bin")
     if how == "inner":
         return pairs
     missing = left.join(pairs.select(*left.columns).distinct(), left.columns, "left_anti")
@@ -68,6 +96,7 @@ def mark_ambiguous(segments: DataFrame, ref: str = "ref", feature: str = "id") -
 
     Strand does not matter.  Pieces of a feature that touch and agree are joined again.
     """
+    segments = cut_lineage(segments)
     ends = segments.select(ref, F.col("start").alias("pos"), F.lit(1).alias("step")).union(segments.select(ref, (F.col("end") + 1).alias("pos"), F.lit(-1).alias("step")))
     steps = ends.groupBy(ref, "pos").agg(F.sum("step").alias("step"))
     order = Window.partitionBy(ref).orderBy("pos")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
+from seqloom.operators.numbering import numbered
 from seqloom.operators.taxonomy import ROOT, consensus
 
 
@@ -52,7 +53,7 @@ def minimizers(seqs: DataFrame, k: int, window: int, *keep: str, hashed=None) ->
     Windows start every ``window`` bases and reach back k - 1 bases; what is left at the end of a sequence, and sequences
     shorter than a window, give nothing.  ``hashed`` maps the k-mer column to what is compared, FNV-1 by default.
     """
-    h = hashed or S.fnv1
+    h = hashed or S.fnv1_rank
     seqs = seqs.withColumn("_id", F.monotonically_increasing_id()).withColumn("_n", F.length("bases"))
     at = explode_positions(seqs.where(F.col("_n") >= window), k, *keep, "_id", "_n")
     first = F.floor(F.col("pos") / window)
@@ -64,7 +65,7 @@ def minimizers(seqs: DataFrame, k: int, window: int, *keep: str, hashed=None) ->
 
 def sampled_lookups(reads: DataFrame, k: int, most: int, *keep: str, hashed=None) -> DataFrame:
     """At most ``most`` k-mers of a read: from each of as many windows the one with the smallest hash."""
-    h = hashed or S.fnv1
+    h = hashed or S.fnv1_rank
     reads = reads.withColumn("_id", F.monotonically_increasing_id()).withColumn("_w", F.greatest(F.ceil((F.length("bases") - k + 1) / most), F.lit(1)))
     at = explode_positions(reads, k, *keep, "_id", "_w").withColumn("win", F.floor(F.col("pos") / F.col("_w")))
     return at.groupBy(*keep, "_id", "win").agg(F.min(F.struct(h(F.col("kmer")).alias("h"), "pos", "kmer")).alias("m")).select(*keep, "win", "m.kmer", "m.pos")
@@ -156,8 +157,9 @@ def contamination(reads: DataFrame, db: DataFrame, k: int, *keys: str) -> DataFr
 
 
 def begins(counted: DataFrame) -> DataFrame:
-    """Order in which contigs are begun: by falling count, then falling code."""
-    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.desc("kmer"))))
+    """Order in which contigs are begun, from 1: by falling count, then falling code."""
+    rows = counted.withColumn("_n", -F.col("n")).withColumn("_kmer", F.bitwise_not("kmer"))
+    return numbered(rows, "_n", "_kmer").withColumn("place", F.col("row") + 1).drop("_n", "_kmer", "row")
 
 
 def annotation(db: DataFrame) -> DataFrame:

@@ -96,9 +96,9 @@ def _(spark, d):
     return V.raw_reads(spark, d).select("spotid", F.md5(S.revcomp_iupac("bases").cast("binary")).alias("rc"))
 
 
-@query("d26_edit_distance", "reads", "SELECT a.spotid, CAST(levenshtein(substr(a.bases,1,40), substr(b.bases,1,40)) AS INTEGER) AS distance FROM reads a JOIN reads b ON b.spotid = a.spotid + 1")
+@query("d26_edit_distance", "reads", "SELECT a.spotid, CAST(levenshtein(a.bases, b.bases) AS INTEGER) AS distance FROM reads a JOIN reads b ON b.spotid = a.spotid + 1")
 def _(spark, d):
-    r = V.reads(spark, d).select("spotid", F.substring("bases", 1, 40).alias("a"))
+    r = V.reads(spark, d).select("spotid", F.col("bases").alias("a"))
     return r.join(r.select((F.col("spotid") - 1).alias("spotid"), F.col("a").alias("b")), "spotid").select("spotid", F.levenshtein("a", "b").alias("distance"))
 
 
@@ -113,9 +113,9 @@ def _(spark, d):
     return V.reads(spark, d).select("spotid", s.alias("starts"), e.alias("stops"))
 
 
-@query("d8_clean_alleles", "raw_reads", "SELECT spotid AS locus, bases AS seq FROM (SELECT spotid, substr(bases, 1, 60) AS bases FROM (SELECT spotid, replace(bases, 'N', '') AS bases FROM raw_reads)) WHERE length(bases) >= 42 AND NOT regexp_matches(bases, '[^ACGT]')")
+@query("d8_clean_alleles", "raw_reads", "SELECT spotid AS locus, bases AS seq FROM (SELECT spotid, replace(bases, 'N', '') AS bases FROM raw_reads) WHERE length(bases) >= 42 AND NOT regexp_matches(bases, '[^ACGT]')")
 def _(spark, d):
-    r = V.raw_reads(spark, d).select(F.col("spotid").alias("locus"), F.substring(F.replace("bases", F.lit("N"), F.lit("")), 1, 60).alias("seq"))
+    r = V.raw_reads(spark, d).select(F.col("spotid").alias("locus"), F.replace("bases", F.lit("N"), F.lit("")).alias("seq"))
     return AS.clean_alleles(r)
 
 
@@ -193,7 +193,8 @@ def _(spark, d):
 
 @query("d17_histogram_shape")
 def _(spark, d):
-    shape = AS.histogram_shape([tuple(r) for r in AS.histogram(KD.count_kmers(V.reads(spark, d), K)).orderBy(F.desc("kmers")).limit(100_000).collect()])  # distinct counts, at most 100,000
+    bins = AS.histogram(KD.count_kmers(V.reads(spark, d), K)).collect()  # of n windows at most the root of 2n differ in their counts
+    shape = AS.histogram_shape([tuple(r) for r in bins])
     return spark.createDataFrame([tuple(float(x) for x in shape.values())], ", ".join(f"{k} double" for k in shape))
 
 

@@ -110,6 +110,17 @@ def _(spark, d):
     return r.select("spotid", F.length("bases").cast("long").alias("n"), F.md5(S.complement("bases").cast("binary")).alias("complemented"), F.md5(F.repeat(F.lit("N"), F.length("bases")).cast("binary")).alias("masked"))
 
 
+@query("c82_kmer_text", "coded", "SELECT DISTINCT kmer, kmer AS again FROM coded")
+def _(spark, d):
+    k = KD.explode_kmers(V.reads(spark, d), K).distinct().select(S.decode("kmer", K).alias("kmer"))
+    return k.select("kmer", S.decode(S.encode("kmer"), K).alias("again"))
+
+
+@query("c93_spot_names", "", "SELECT doc_id AS spotid, md5(translate(text, chr(9) || chr(10), '  ')) AS name FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    return V.table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("spotid"), F.md5(S.clean_spot("text").cast("binary")).alias("name"))
+
+
 @query("c89_fnv_hash", "coded", """SELECT kmer, CAST(h AS DECIMAL(20,0)) AS fnv FROM (SELECT kmer, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(0, 8), lambda i: ((code >> (8*i)::INTEGER) & 255)::UHUGEINT)), lambda h, b: xor((h * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, b)) AS h
   FROM (SELECT kmer, list_sum(list_transform(range(1, 12), lambda p: (instr('ACTG', substr(kmer, CAST(p AS BIGINT), 1)) - 1) * (4 ** (11 - p))::BIGINT))::BIGINT AS code FROM (SELECT DISTINCT kmer FROM coded)))""")
 def _(spark, d):
@@ -272,10 +283,10 @@ def _(spark, d):
     return _db(K, d, spark).join(m, "kmer").select("spotid", F.explode("tax_ids").alias("tax_id")).groupBy("spotid", "tax_id").agg(F.count("*").alias("n"))
 
 
-@query("c35_two_step_classify", "coded kmer_db", """WITH s AS (SELECT DISTINCT tax_id FROM coded JOIN kmer_db USING (kmer) WHERE spotid % 50 = 3 AND tax_id >= 100) SELECT spotid, tax_id, count(*) AS n FROM coded JOIN kmer_db USING (kmer) WHERE tax_id IN (SELECT tax_id FROM s) GROUP BY 1, 2""")
+@query("c35_two_step_classify", "coded kmer_db", """WITH s AS (SELECT DISTINCT tax_id FROM coded JOIN kmer_db USING (kmer) WHERE tax_id >= 100) SELECT spotid, tax_id, count(*) AS n FROM coded JOIN kmer_db USING (kmer) WHERE tax_id IN (SELECT tax_id FROM s) GROUP BY 1, 2""")
 def _(spark, d):
     db = _index(spark, d)
-    taxa = KD.hits(_db(K, d, spark).where("spotid % 50 = 3"), db, "spotid").where("tax_id >= 100").select("tax_id").distinct()
+    taxa = KD.hits(_db(K, d, spark), db, "spotid").where("tax_id >= 100").select("tax_id").distinct()
     return KD.hits(_db(K, d, spark), db.join(taxa, "tax_id", "left_semi"), "spotid")
 
 
@@ -348,9 +359,11 @@ def _(spark, d):
     return _text(KD.minimizers(V.reads(spark, d), K, 64, "spotid", hashed=_md5), "spotid", F.col("win").cast("long").alias("win"))
 
 
-@query("c64_minimizers_fnv")
+@query("c64_minimizers_fnv", "win_kmers", """WITH h AS (SELECT dg, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(0, 8), lambda i: ((code >> (8*i)::INTEGER) & 255)::UHUGEINT)), lambda h, b: xor((h * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, b)) AS h
+  FROM (SELECT dg, list_sum(list_transform(range(1, 12), lambda p: (ascii(substr(dg, CAST(p AS BIGINT), 1)) - 48) * (4 ** (11 - p))::BIGINT))::BIGINT AS code FROM (SELECT DISTINCT dg FROM win_kmers)))
+  SELECT spotid, w AS win, translate(dg,'0123','ACTG') AS kmer FROM (SELECT *, row_number() OVER (PARTITION BY spotid, w ORDER BY h, pos) AS r FROM win_kmers JOIN h USING (dg)) WHERE r = 1""")
 def _(spark, d):
-    return _text(KD.minimizers(V.reads(spark, d), K, 64, "spotid"), "spotid", "win")
+    return _text(KD.minimizers(V.reads(spark, d), K, 64, "spotid"), "spotid", F.col("win").cast("long").alias("win"))
 
 
 @query("c65_variable_window", "reads", "SELECT spotid, CAST(CASE WHEN length(bases) // 64 < 3 THEN greatest(12, length(bases) // 3) ELSE 64 END AS INTEGER) AS win FROM reads")
@@ -383,9 +396,9 @@ def _(spark, d):
     return _text(db, "tax_id", "place")
 
 
-@query("c73_begin_order", "coded", f"SELECT kmer, n FROM (SELECT kmer, count(*) AS n FROM coded GROUP BY kmer) ORDER BY n DESC, {_DIGITS} DESC LIMIT 500")
+@query("c73_begin_order", "coded", f"SELECT kmer, n, row_number() OVER (ORDER BY n DESC, {_DIGITS} DESC) AS place FROM (SELECT kmer, count(*) AS n FROM coded GROUP BY kmer)")
 def _(spark, d):
-    return _text(KD.count_kmers(V.reads(spark, d), K).orderBy(F.desc("n"), F.desc("kmer")).limit(500), "n")
+    return _text(KD.begins(KD.count_kmers(V.reads(spark, d), K)), "n", "place")
 
 
 @query("c80_split_by_tax", "kmer_db", "SELECT tax_id, count(*) AS n, min(kmer) AS first FROM kmer_db WHERE tax_id IN (SELECT 100 + n_nationkey FROM nation WHERE n_regionkey = 2) GROUP BY tax_id")
@@ -410,10 +423,10 @@ def _(spark, d):
     return PR.closest(p, "source", 5)
 
 
-@query("c74_nearest_profiles", "", """SELECT vec_id, other, CAST(same AS DOUBLE) / 8 AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY same DESC, other) AS r FROM
-  (SELECT a.vec_id, b.vec_id AS other, len(list_filter(range(1, 9), lambda i: (a.embedding[i] > 0) = (b.embedding[i] > 0))) AS same FROM embeddings a JOIN embeddings b ON b.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0)) WHERE r <= 3""")
+@query("c74_nearest_profiles", "", """SELECT vec_id, other, CAST(same AS DOUBLE) / 64 AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY same DESC, other) AS r FROM
+  (SELECT a.vec_id, b.vec_id AS other, len(list_filter(range(1, 65), lambda i: (a.embedding[i] > 0) = (b.embedding[i] > 0))) AS same FROM embeddings a JOIN embeddings b ON b.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0)) WHERE r <= 3""")
 def _(spark, d):
-    e = V.table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x > 0).alias("profile"))
+    e = V.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x > 0).alias("profile"))
     return PR.nearest(e.where("vec_id % 50 = 0"), e, "vec_id", 3)
 
 
@@ -426,13 +439,13 @@ def _(spark, d):
 @query("c41_connectivity")
 def _(spark, d):
     b = V.table(spark, d, "benchmark").select(F.col("item_id").alias("contig"), V.bases_of("text").alias("bases"))
-    parts = b.where(F.length("bases") >= 60).select(F.col("contig").alias("spotid"), F.substring("bases", 5, 50).alias("bases"))
+    parts = b.where(F.length("bases") >= 60).select(F.col("contig").alias("spotid"), "bases")
     return KD.connectivity(b, parts.union(V.reads(spark, d).select("spotid", "bases")), 20)
 
 
-@query("c70_effective_window", "win_kmers coded", "SELECT lang, count(*) AS kmers, count(DISTINCT kmer) AS different FROM coded WHERE pos % 16 = 1 GROUP BY lang")
+@query("c70_effective_window", "win_kmers coded", "SELECT lang, count(*) AS kmers, count(DISTINCT kmer) AS different FROM coded GROUP BY lang")
 def _(spark, d):
-    k = KD.explode_positions(V.reads(spark, d), K, "lang").where("pos % 16 = 0")
+    k = KD.explode_positions(V.reads(spark, d), K, "lang")
     return k.groupBy("lang").agg(F.count("*").alias("kmers"), F.count_distinct("kmer").alias("different"))
 
 

@@ -12,7 +12,7 @@ from seqloom.plans.views import VIEWS
 
 VIEWS |= {
     "spots": ("fragments", "SELECT spotid AS id, string_agg(bases, '' ORDER BY frag) AS bases, string_agg(quals, '' ORDER BY frag) AS qualities, min(readgroup) AS readgroup, CAST(count(*) AS INTEGER) AS nfragments FROM fragments GROUP BY spotid"),
-    "per_base": ("alignments", "SELECT id, refspec, mapq, unnest(range(refpos, refpos + length)) AS refpos FROM alignments WHERE refpos < 2000"),
+    "per_base": ("alignments", "SELECT id, refspec, mapq, unnest(range(refpos, refpos + length)) AS refpos FROM alignments"),
 }
 
 
@@ -49,12 +49,12 @@ def _(spark, d):
 
 @query("a6_pileup_scan", "per_base", "SELECT refspec, refpos, count(*) AS depth FROM per_base GROUP BY refspec, refpos")
 def _(spark, d):
-    return TB.depth(V.alignments(spark, d).where("refpos < 2000"))
+    return TB.depth(V.alignments(spark, d))
 
 
 @query("a6_pileup_events", "per_base", "SELECT refspec, refpos, id, mapq, count(*) OVER (PARTITION BY refspec, refpos) AS depth FROM per_base")
 def _(spark, d):
-    return TB.pileup(V.alignments(spark, d).where("refpos < 2000")).select("refspec", "refpos", "id", "mapq", "depth")
+    return TB.pileup(V.alignments(spark, d)).select("refspec", "refpos", "id", "mapq", "depth")
 
 
 @query("a7_declared_table", "alignments", "SELECT refspec, count(*) AS n FROM alignments WHERE refspec IN ('chr1', 'chr3') GROUP BY refspec")

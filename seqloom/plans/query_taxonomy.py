@@ -11,7 +11,7 @@ from seqloom.plans.views import VIEWS
 
 #: Hits of spots: the customers that bought from a supplier, by order month, as taxa.
 VIEWS |= {
-    "tax_hits": ("", "SELECT l_suppkey AS spotid, CAST(o_custkey + 1000 AS INTEGER) AS tax_id, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey % 3 = 0 AND l_quantity > 49 GROUP BY 1, 2"),
+    "tax_hits": ("", "SELECT l_suppkey AS spotid, CAST(o_custkey + 1000 AS INTEGER) AS tax_id, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2"),
     "few_hits": ("tax_hits", "SELECT spotid * 7 + tax_id % 7 AS spotid, tax_id, n FROM tax_hits UNION ALL SELECT DISTINCT spotid * 7 + tax_id % 7, CAST(100 + tax_id % 2 AS INTEGER), 1 FROM tax_hits WHERE tax_id % 3 = 0"),
     "self_counts": ("", "SELECT CAST(o_custkey + 1000 AS INTEGER) AS tax_id, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT n_nationkey + 100, 3 FROM nation"),
     "lca": ("few_hits lineage", """SELECT spotid, x[len(x)] AS tax_id FROM (SELECT spotid, list_filter(list_transform(range(1, least(len(lo), len(hi))+1), lambda i: CASE WHEN lo[1:i] = hi[1:i] THEN lo[i] END), lambda v: v IS NOT NULL) AS x
@@ -23,7 +23,7 @@ VIEWS |= {
 
 def _hits(spark, d):
     l, o = V.table(spark, d, "lineitem"), V.table(spark, d, "orders")  # noqa: E741
-    h = l.where("l_suppkey % 3 = 0 AND l_quantity > 49").join(o, l.l_orderkey == o.o_orderkey).groupBy(F.col("l_suppkey").alias("spotid"), (F.col("o_custkey") + 1000).cast("int").alias("tax_id")).agg(F.count("*").alias("n"))
+    h = l.join(o, l.l_orderkey == o.o_orderkey).groupBy(F.col("l_suppkey").alias("spotid"), (F.col("o_custkey") + 1000).cast("int").alias("tax_id")).agg(F.count("*").alias("n"))
     spot = F.expr("spotid * 7 + tax_id % 7").alias("spotid")
     up = h.where("tax_id % 3 = 0").select(spot, (100 + F.col("tax_id") % 2).cast("int").alias("tax_id"), F.lit(1).cast("long").alias("n")).distinct()
     return h.select(spot, "tax_id", "n").union(up)
