@@ -91,3 +91,18 @@ def test_range_join_does_not_depend_on_bins(spark):
     sizes = [sorted(map(tuple, IV.range_join(left, right, ["ref"], b).collect())) for b in (1, 10, 1000)]
     assert sizes[0] == sizes[1] == sizes[2]
     assert len(sizes[0]) == sum(a * 7 <= b * 11 + 3 and a * 7 + 12 >= b * 11 for a in range(40) for b in range(30))
+
+
+def test_range_join_of_short_and_long_intervals(spark):
+    import random
+
+    rng = random.Random(1)
+    make = lambda n: [(rng.choice("ab"), s, s + rng.choice([0, 1, 3, 40, 300, 5_000, 90_000])) for s in (rng.randrange(100_000) for _ in range(n))]
+    one, two = make(120), make(150)
+    one.append(("a", None, 5))
+    left = spark.createDataFrame(one, "ref string, start long, end long")
+    right = spark.createDataFrame(two, "ref string, r_start long, r_end long")
+    want = sorted((r, s, e, s2, e2) for r, s, e in one if s is not None for r2, s2, e2 in two if r == r2 and s <= e2 and e >= s2)
+    assert sorted(map(tuple, IV.range_join(left, right, ["ref"]).select("ref", "start", "end", "r_start", "r_end").collect())) == want
+    assert IV.range_join(left.where("false"), right, ["ref"]).count() == 0
+    assert IV.range_join(left, right, ["ref"], how="left").where("r_start IS NULL").count() == len({x for x in one} - {w[:3] for w in want})
