@@ -8,6 +8,7 @@ from seqloom.operators import features as FT
 from seqloom.operators import intervals as IV
 from seqloom.plans import views as V
 from seqloom.plans.registry import query
+from seqloom.sources import formats as FM
 from seqloom.plans.views import VIEWS
 
 VIEWS |= {
@@ -194,3 +195,15 @@ def _(spark, d):
     a = V.alignments(spark, d).select(F.concat("refspec", F.when(F.col("mapq") > 5, "+").otherwise("*")).alias("r"))
     side = lambda x, y, name: x.subtract(y).agg(F.count("*").alias("n")).select(F.lit(name).alias("side"), "n")
     return side(g, a, "annotation").union(side(a, g, "run"))
+
+
+@query("b2_feature_file", "segs", "SELECT id, ref, s AS start, e AS \"end\", amb FROM segs")
+def _(spark, d):
+    lines = FM.format_features(FT.build_features(V.gtf(spark, d)))
+    return FM.parse_features(lines).select("id", "ref", F.explode("segs").alias("s")).select("id", "ref", "s.start", "s.end", "s.amb")
+
+
+@query("b3_reference_names", "", "SELECT n_name AS key, CAST(n_nationkey AS VARCHAR) AS value FROM nation")
+def _(spark, d):
+    line = F.concat("n_name", F.lit(" = "), F.col("n_nationkey").cast("string")).alias("line")
+    return FM.parse_pairs(V.table(spark, d, "nation").select(line).union(spark.sql("SELECT '# a = comment' AS line")))

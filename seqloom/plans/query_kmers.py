@@ -10,6 +10,7 @@ from seqloom.operators import profiles as PR
 from seqloom.operators import taxonomy as TX
 from seqloom.plans import views as V
 from seqloom.plans.registry import query
+from seqloom.sources import formats as FM
 from seqloom.plans.views import K, VIEWS
 
 _DIGITS = "translate(kmer,'ACTG','0123')"
@@ -455,3 +456,26 @@ def _(spark, d):
     whole = k.agg(F.count("*").alias("whole"))
     s = k.groupBy("source", "kmer").agg(F.count("*").alias("n")).groupBy("source").agg(F.sum("n").alias("coverage"), F.round(F.avg("n"), 6).alias("average"))
     return s.crossJoin(F.broadcast(whole)).select("source", "coverage", "average", F.round(100 * F.col("coverage") / F.col("whole"), 6).alias("percent"))  # one row: the total
+
+
+@query("c9_kmer_text", "kmer_db", "SELECT kmer, tax_id FROM kmer_db")
+def _(spark, d):
+    line = F.concat(S.decode("kmer", K), F.lit("\t"), F.col("tax_id").cast("string")).alias("line")
+    rows = FM.parse_kmer_text(_index(spark, d).select(line))
+    return _text(rows.select("kmer", F.explode("tax_ids").alias("tax_id")), "tax_id")
+
+
+@query("c101_sam_filter", "coded db_b reads", "SELECT spotid, spotid IN (SELECT spotid FROM coded JOIN db_b USING (kmer)) AS rejected FROM reads")
+def _(spark, d):
+    fields = [F.col("spotid").cast("string"), *map(F.lit, ["4", "*", "0", "0", "*", "*", "0", "0"]), F.col("bases"), F.lit("*")]
+    lines = V.reads(spark, d).select(F.concat_ws("\t", *fields).alias("line"))
+    marked = FM.filter_sam(lines, _b(spark, d), K)
+    return marked.select(F.split("line", "\t")[0].cast("long").alias("spotid"), "rejected")
+
+
+@query("c19_sam_mask", "coded db_b reads", """SELECT spotid, md5(CASE WHEN spotid IN (SELECT spotid FROM coded JOIN db_b USING (kmer)) THEN repeat('N', length(bases)) ELSE bases END) AS bases FROM reads""")
+def _(spark, d):
+    fields = [F.col("spotid").cast("string"), *map(F.lit, ["4", "*", "0", "0", "*", "*", "0", "0"]), F.col("bases"), F.lit("*")]
+    lines = V.reads(spark, d).select(F.concat_ws("\t", *fields).alias("line"))
+    f = F.split("line", "\t")
+    return FM.mask_sam(FM.filter_sam(lines, _b(spark, d), K)).select(f[0].cast("long").alias("spotid"), F.md5(f[9].cast("binary")).alias("bases"))

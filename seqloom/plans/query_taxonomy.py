@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seqloom.operators import taxonomy as TX
 from seqloom.plans import views as V
 from seqloom.plans.registry import query
+from seqloom.sources import formats as FM
 from seqloom.plans.views import VIEWS
 
 #: Hits of spots: the customers that bought from a supplier, by order month, as taxa.
@@ -103,3 +104,10 @@ def _(spark, d):
     old = t.where("NOT (tax_id % 5 = 0 AND rank = 'customer')")
     merged = t.where("tax_id % 11 = 0 AND tax_id > 1000 AND tax_id % 13 <> 0").select(F.col("tax_id").alias("old_id"), F.lit(100).alias("new_id"))
     return TX.apply_taxdump(old, fresh, merged, t.where("tax_id % 13 = 0").select("tax_id")).groupBy("change").agg(F.count("*").alias("n"))
+
+
+@query("c8_taxdump_scan", "taxonomy", "SELECT CAST(tax_id AS VARCHAR) AS tax_id, CAST(parent_id AS VARCHAR) AS parent_id, rank FROM taxonomy")
+def _(spark, d):
+    columns = [F.col(c).cast("string") for c in ("tax_id", "parent_id", "rank")]
+    line = F.concat(F.concat_ws("\t|\t", *columns), F.lit("\t|")).alias("line")
+    return FM.parse_taxdump(V.taxonomy(spark, d).select(line), ["tax_id", "parent_id", "rank"])

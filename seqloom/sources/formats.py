@@ -11,9 +11,11 @@ from seqloom.functions import seq as S
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """``spotid, description, bases, path`` of FASTA files, wrapped or not, with either kind of line end.
 
-    The id ends at the first space or slash.  A record without bases is an error.
+    The id ends at the first space or slash.  A ``>`` begins a record only at the start of a line.  A record without bases is
+    an error.
     """
-    rows = spark.read.option("lineSep", ">").text(path).select(F.col("value"), F.input_file_name().alias("path")).where("trim(value) <> ''")
+    record = F.regexp_replace("value", "^>", "").alias("value")  # of the first one
+    rows = spark.read.option("lineSep", "\n>").text(path).select(record, F.input_file_name().alias("path")).where("trim(value) <> ''")
     lines = F.split(F.replace("value", F.lit("\r"), F.lit("")), "\n")
     parsed = rows.select(lines[0].alias("description"), F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "").alias("bases"), "path")
     checked = F.when(F.col("bases") == "", F.raise_error(F.concat(F.lit("empty read "), F.col("description")))).otherwise(F.col("bases"))
@@ -23,7 +25,8 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """``spotid, bases, quals`` of FASTQ files with four-line records; gz files are read as well.
 
-    The separator is a line end before ``@`` that follows a quality line, which is told by its length.
+    A quality line may begin with ``@``, so records are told by counting lines from the file's start: a file is read by one
+    task and must be below 2 GB.
     """
     rows = spark.read.text(path, wholetext=True).select(F.split(F.replace("value", F.lit("\r"), F.lit("")), "\n").alias("l"))
     at = F.sequence(F.lit(0), F.expr("size(l) DIV 4 - 1"))

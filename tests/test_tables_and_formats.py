@@ -57,3 +57,11 @@ def test_alignment_and_unitigs(spark):
 
 def test_histogram_shape():
     assert AS.histogram_shape([(1, 100), (2, 10), (3, 20), (4, 50), (5, 20)])["peak"] == 4
+
+
+def test_fasta_with_marks_inside_descriptions(spark, tmp_path):
+    from seqloom.sources.formats import read_fasta
+
+    (tmp_path / "a.fa").write_bytes(b">one a>b c\r\nACG\r\nT\r\n>two/1 x\nGG\n")
+    got = {(r.spotid, r.description, r.bases) for r in read_fasta(spark, str(tmp_path / "a.fa")).collect()}
+    assert got == {("one", "one a>b c", "ACGT"), ("two", "two/1 x", "GG")}
