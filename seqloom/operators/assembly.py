@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,18 +40,19 @@ def histogram(counts: DataFrame) -> DataFrame:
     return counts.groupBy("n").agg(F.count("*").alias("kmers"))
 
 
-def histogram_shape(hist: list[tuple[int, int]]) -> dict[str, float]:
-    """Valley, peak, average count beyond the valley and genome size of a histogram, which has few rows."""
-    h = dict(sorted(hist))
-    if not h:
-        return {"valley": 0, "peak": 0, "average": 0.0, "genome": 0}
-    xs = sorted(h)
-    valley = next((a for a, b in zip(xs, xs[1:], strict=False) if h[b] > h[a]), xs[0])
-    beyond = [x for x in xs if x >= valley]
-    peak = max(beyond, key=lambda x: h[x])
-    total = sum(h[x] for x in beyond)
-    average = sum(x * h[x] for x in beyond) / total
-    return {"valley": valley, "peak": peak, "average": average, "genome": round(sum(x * h[x] for x in beyond) / max(1, peak))}
+def histogram_shape(hist: DataFrame) -> DataFrame:
+    """``valley, peak, average, genome`` of a histogram ``n, kmers``, in one row; zeros for an empty one.
+
+    The valley is the first count that fewer k-mers have than the next count; without one, the smallest count.  The peak is
+    the count from there on that most k-mers have, the smaller of two.  The window runs over distinct counts, of which n
+    k-mer places give at most the root of 2n.
+    """
+    rising = hist.withColumn("_up", F.lead("kmers").over(Window.orderBy("n")) > F.col("kmers"))
+    valley = rising.agg(F.coalesce(F.min(F.when(F.col("_up"), F.col("n"))), F.min("n")).alias("valley"))
+    beyond = hist.crossJoin(F.broadcast(valley)).where("n >= valley")  # one row
+    shape = beyond.agg(F.min("valley").alias("valley"), F.max_by("n", F.struct("kmers", -F.col("n"))).alias("peak"), F.sum("kmers").alias("k"), F.sum(F.col("n") * F.col("kmers")).alias("all"))
+    whole = lambda x: F.coalesce(x, F.lit(0)).cast("long")
+    return shape.select(whole(F.col("valley")).alias("valley"), whole(F.col("peak")).alias("peak"), F.coalesce(F.col("all") / F.col("k"), F.lit(0.0)).alias("average"), whole(F.round(F.col("all") / F.col("peak"))).alias("genome"))
 
 
 def length_statistic(contigs: DataFrame, length: str = "len", part: float = 0.5) -> DataFrame:
@@ -119,60 +118,26 @@ def resolve_overlaps(placed: DataFrame, most: int = 115) -> DataFrame:
     return p.join(pairs.where((shared > most) & loses).select("contig", "start", "end", "locus").distinct(), ["contig", "start", "end", "locus"], "left_anti")
 
 
-def align(query: str, subject: str, mode: str = "global", match: int = 1, mismatch: int = -2, opening: int = 5, extension: int = 2) -> tuple[int, str]:
-    """Score and CIGAR of an affine alignment; a gap of n costs opening + n * extension.
+def place_reads(reads: DataFrame, contigs: DataFrame, k: int) -> DataFrame:
+    """``spotid, contig, read_pos, contig_pos, plus``: where the first k-mer of a read that some contig holds lies in it.
 
-    D is a gap in the query, I one in the subject.  A diagonal step is taken only if it is better than a gap.
+    Of several places the first of the smallest contig counts; ``plus`` tells whether read and contig run the same way.
     """
-    n, m = len(query), len(subject)
-    low = -(10**9)
-    h, e, f = (np.full((n + 1, m + 1), low) for _ in range(3))
-    local = mode == "local"
-    h[0, :] = 0 if local else [-(opening + extension * j) if j else 0 for j in range(m + 1)]
-    h[:, 0] = 0 if local else [-(opening + extension * i) if i else 0 for i in range(n + 1)]
-    back = np.zeros((n + 1, m + 1), np.int8)
-    back[0, 1:], back[1:, 0] = 2, 1
-    size = np.zeros((n + 1, m + 1, 2), np.int32)
-    size[0, :, 1], size[:, 0, 0] = np.arange(m + 1), np.arange(n + 1)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            new, grow = h[i - 1, j] - opening - extension, e[i - 1, j] - extension
-            e[i, j], size[i, j, 0] = (grow, size[i - 1, j, 0] + 1) if grow > new else (new, 1)
-            new, grow = h[i, j - 1] - opening - extension, f[i, j - 1] - extension
-            f[i, j], size[i, j, 1] = (grow, size[i, j - 1, 1] + 1) if grow > new else (new, 1)
-            d = h[i - 1, j - 1] + (match if query[i - 1] == subject[j - 1] else mismatch)
-            best = max(e[i, j], f[i, j])
-            h[i, j], back[i, j] = (d, 0) if d > best else (best, 1 if e[i, j] >= f[i, j] else 2)
-            if local and h[i, j] < 0:
-                h[i, j] = 0
-    i, j = np.unravel_index(h.argmax(), h.shape) if local else (n, m)
-    score, ops = int(h[i, j]), []
-    while (i or j) and not (local and h[i, j] == 0):
-        if i and j and back[i, j] == 0:
-            ops.append((1, "M"))
-            i, j = i - 1, j - 1
-        elif i and (not j or back[i, j] == 1):
-            k = int(size[i, j, 0])
-            ops.append((k, "I"))
-            i -= k
-        else:
-            k = int(size[i, j, 1])
-            ops.append((k, "D"))
-            j -= k
-    out: list[list] = []
-    for k, op in reversed(ops):
-        if out and out[-1][1] == op:
-            out[-1][0] += k
-        else:
-            out.append([k, op])
-    return score, "".join(f"{k}{op}" for k, op in out)
-
-
-def align_pairs(pairs: DataFrame, mode: str = "global") -> DataFrame:
-    """``pairs`` with ``query, subject`` and their ``score, cigar``; pairs are independent rows."""
-
-    @F.pandas_udf("score int, cigar string")
-    def run(q: pd.Series, s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([align(a or "", b or "", mode) for a, b in zip(q, s, strict=True)], columns=["score", "cigar"])
-
-    return pairs.withColumn("_a", run("query", "subject")).select(*pairs.columns, "_a.score", "_a.cigar")
+    at = lambda rows, key, pos, way: rows.select(key, F.posexplode(S.stranded_kmers("bases", k)).alias(pos, "x")).select(key, F.col(pos).cast("long").alias(pos), "x.kmer", F.col("x.plus").alias(way))
+    met = at(reads, "spotid", "read_pos", "way").join(at(contigs, "contig", "contig_pos", "other"), "kmer")
+    first = met.groupBy("spotid").agg(F.min(F.struct("read_pos", "contig", "contig_pos", (F.col("way") == F.col("other")).alias("plus"))).alias("m"))
+    return first.select("spotid", "m.contig", "m.read_pos", "m.contig_pos", "m.plus")
+
+
+def direct(contigs: DataFrame, k: int, key: str) -> DataFrame:
+    """Contigs turned so that their smallest canonical k-mer, the first of equal ones, runs forward; shorter ones stay."""
+    smallest = F.array_min(F.transform(S.stranded_kmers("bases", k), lambda x, i: F.struct(x["kmer"].alias("kmer"), i.alias("at"), x["plus"].alias("plus"))))["plus"]
+    turned = contigs.withColumn("_plus", F.coalesce(smallest, F.lit(True)))
+    return turned.withColumn("bases", F.when(F.col("_plus"), F.col("bases")).otherwise(S.revcomp("bases"))).withColumn("turned", ~F.col("_plus")).drop("_plus")
+
+
+def next_letters(edges: DataFrame, least: int) -> DataFrame:
+    """``kmer, side, base, next, n``: the neighbour by which a contig is extended: the most frequent, the first base of equal ones,
+    if it was seen ``least`` times."""
+    best = edges.where(F.col("n") >= least).groupBy("kmer", "side").agg(F.min(F.struct((-F.col("n")).alias("less"), "base", "next")).alias("m"))
+    return best.select("kmer", "side", "m.base", "m.next", (-F.col("m.less")).alias("n"))

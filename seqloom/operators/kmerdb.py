@@ -185,3 +185,19 @@ def coverage_reach(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("contig").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     own = rows.groupBy("contig", "pos").agg(F.max("len").alias("len"))
     return own.select("contig", "pos", F.greatest(F.max(F.col("pos") + F.col("len")).over(w) - F.col("pos"), F.lit(0)).alias("reach"))
+
+
+def effective_window(reads: DataFrame, db: DataFrame, k: int, sizes: list[int], enough: float) -> DataFrame:
+    """``size, windows, identified, effective``: of all whole windows of each size, those with a k-mer of ``db`` inside.
+
+    The effective size is the smallest at which the part of identified windows reaches ``enough``.  Reads are cut into k-mers
+    once; a hit counts for its window of every size.
+    """
+    hits_at = explode_positions(reads.withColumn("_n", F.length("bases")), k, "spotid", "_n").join(db.select("kmer").distinct(), "kmer", "left_semi")
+    size = F.explode(F.array(*map(F.lit, sizes))).alias("size")
+    inside = hits_at.select("spotid", "_n", "pos", size).where(F.col("pos") % F.col("size") <= F.col("size") - k).withColumn("win", F.floor(F.col("pos") / F.col("size")))
+    found = inside.where((F.col("win") + 1) * F.col("size") <= F.col("_n")).select("spotid", "size", "win").distinct().groupBy("size").agg(F.count("*").alias("identified"))
+    every = reads.select(F.length("bases").alias("_n"), size).groupBy("size").agg(F.sum(F.floor(F.col("_n") / F.col("size"))).alias("windows"))
+    table = every.join(found, "size", "left").select("size", "windows", F.coalesce("identified", F.lit(0)).alias("identified"))
+    reached = F.when((F.col("identified") >= enough * F.col("windows")) & (F.col("windows") > 0), F.col("size"))
+    return table.withColumn("effective", F.coalesce(F.col("size") == F.min(reached).over(Window.partitionBy()), F.lit(False)))  # a row a size

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.functions.seq import fnv1_rank
+
 
 def masks(n: int) -> list[int]:
     """``n`` masks of 63 bits from a linear congruence."""
@@ -16,13 +18,14 @@ def masks(n: int) -> list[int]:
 
 
 def profiles(kmers: DataFrame, key: str, n: int) -> DataFrame:
-    """``key, profile``: for each of ``n`` masks the k-mer whose hash under the mask is smallest.
+    """``key, profile``: for each of ``n`` masks the k-mer whose FNV-1 hash, as an unsigned number, is smallest under the mask.
 
-    One aggregation with a minimum per mask, combined before the shuffle; k-mers are not multiplied by masks.
+    One aggregation with a minimum per mask, combined before the shuffle; each different k-mer of a key is hashed once, and
+    k-mers are not multiplied by masks.
     """
-    h = F.xxhash64("kmer")
-    mins = [F.min(F.struct(h.bitwiseXOR(F.lit(m)).alias("h"), F.col("kmer"))).alias(f"m{i}") for i, m in enumerate(masks(n))]
-    return kmers.groupBy(key).agg(*mins).select(key, F.array(*(F.col(f"m{i}.kmer") for i in range(n))).alias("profile"))
+    hashed = kmers.select(key, "kmer").distinct().withColumn("_h", fnv1_rank("kmer"))
+    mins = [F.min_by("kmer", F.col("_h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks(n))]
+    return hashed.groupBy(key).agg(*mins).select(key, F.array(*(F.col(f"m{i}") for i in range(n))).alias("profile"))
 
 
 def similarity(a: Column, b: Column) -> Column:

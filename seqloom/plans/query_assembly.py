@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
 from seqloom.operators import agp as AG
+from seqloom.operators import alignment as AL
 from seqloom.operators import assembly as AS
 from seqloom.operators import kmerdb as KD
 from seqloom.plans import views as V
@@ -130,9 +131,9 @@ def _(spark, d):
     return AS.diagonal_runs(q.join(s, "kmer"), 20)
 
 
-@query("d41_reference_abundance", "coded nodes", "SELECT spotid, pos - 1 AS pos, n FROM coded JOIN nodes USING (kmer) WHERE lang = 'de'")
+@query("d41_reference_abundance", "coded nodes", "SELECT spotid, pos - 1 AS pos, n FROM coded JOIN nodes USING (kmer)")
 def _(spark, d):
-    k = KD.explode_positions(V.reads(spark, d).where("lang = 'de'"), K, "spotid")
+    k = KD.explode_positions(V.reads(spark, d), K, "spotid")
     return k.join(KD.count_kmers(V.reads(spark, d), K, 10), "kmer").select("spotid", F.col("pos").cast("long").alias("pos"), "n")
 
 
@@ -143,16 +144,37 @@ def _(spark, d):
     return AS.resolve_overlaps(p, 5)
 
 
+def _neighbours(spark, d):
+    """Each read with the read of the next id."""
+    r = V.reads(spark, d).select("spotid", F.col("bases").alias("query"))
+    return r.join(r.select((F.col("spotid") - 1).alias("spotid"), F.col("query").alias("subject")), "spotid")
+
+
 @query("d28_global_alignment")
 def _(spark, d):
-    r = V.reads(spark, d).select("spotid", F.substring("bases", 1, 40).alias("query"))
-    return AS.align_pairs(r.join(r.select((F.col("spotid") - 1).alias("spotid"), F.col("query").alias("subject")), "spotid"))
+    return AL.align_pairs(_neighbours(spark, d)).select("spotid", "score", F.md5(F.col("cigar").cast("binary")).alias("cigar"))
 
 
 @query("d28_local_alignment")
 def _(spark, d):
-    r = V.reads(spark, d).select("spotid", F.substring("bases", 1, 40).alias("query"))
-    return AS.align_pairs(r.join(r.select((F.col("spotid") - 1).alias("spotid"), F.col("query").alias("subject")), "spotid"), "local")
+    return AL.align_pairs(_neighbours(spark, d), "local").drop("query", "subject")
+
+
+@query("d28_pinned_alignment")
+def _(spark, d):
+    return AL.align_pairs(_neighbours(spark, d), "left").drop("query", "subject")
+
+
+@query("d28_banded_alignment")
+def _(spark, d):
+    return AL.align_pairs(_neighbours(spark, d), "local", band=42).drop("query", "subject")
+
+
+@query("d29_alignment_details")
+def _(spark, d):
+    a = AL.align_pairs(_neighbours(spark, d))
+    columns = F.length("query") + F.length("subject") - F.col("matches")
+    return a.select("spotid", "matches", "distance", F.round(F.col("matches") / F.nullif(columns, F.lit(0)), 6).alias("identity"))
 
 
 @query("e1_agp_scan", "agp_old", "SELECT object, beg, \"end\", component, cbeg, cend, strand FROM agp_old")
@@ -191,11 +213,12 @@ def _(spark, d):
     return r.groupBy("seqid", "reversed").agg(F.sum("length").alias("bases"))
 
 
-@query("d17_histogram_shape")
+@query("d17_histogram_shape", "coded", """WITH h AS (SELECT n, count(*) AS kmers FROM (SELECT kmer, count(*) AS n FROM coded GROUP BY kmer) GROUP BY n),
+  v AS (SELECT coalesce(min(n) FILTER (up), min(n)) AS valley FROM (SELECT n, lead(kmers) OVER (ORDER BY n) > kmers AS up FROM h)), b AS (SELECT n, kmers, valley FROM h, v WHERE n >= valley),
+  p AS (SELECT n AS peak FROM b ORDER BY kmers DESC, n LIMIT 1)
+  SELECT CAST(min(valley) AS BIGINT) AS valley, CAST(any_value(peak) AS BIGINT) AS peak, CAST(sum(n * kmers) AS DOUBLE) / CAST(sum(kmers) AS DOUBLE) AS average, CAST(round(CAST(sum(n * kmers) AS DOUBLE) / any_value(peak)) AS BIGINT) AS genome FROM b, p""")
 def _(spark, d):
-    bins = AS.histogram(KD.count_kmers(V.reads(spark, d), K)).collect()  # of n windows at most the root of 2n differ in their counts
-    shape = AS.histogram_shape([tuple(r) for r in bins])
-    return spark.createDataFrame([tuple(float(x) for x in shape.values())], ", ".join(f"{k} double" for k in shape))
+    return AS.histogram_shape(AS.histogram(KD.count_kmers(V.reads(spark, d), K)))
 
 
 @query("d33_unitigs", "edges", """WITH one AS (SELECT kmer, min(next) AS next FROM edges WHERE side = 'R' AND n > 0 GROUP BY kmer HAVING count(DISTINCT next) = 1), mutual AS (SELECT a.kmer, a.next FROM one a WHERE (SELECT count(DISTINCT kmer) FROM one b WHERE b.next = a.next) = 1)

@@ -16,6 +16,15 @@ from seqloom.plans.views import K, VIEWS
 _DIGITS = "translate(kmer,'ACTG','0123')"
 #: The order of k-mers by a hash that both engines have.
 _MD5 = f"md5({_DIGITS})"
+_FNV = """list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(0, 8), lambda i: ((code >> (8*i)::INTEGER) & 255)::UHUGEINT)), lambda h, b: xor((h * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, b))"""
+_CODE = "list_sum(list_transform(range(1, 12), lambda p: (ascii(substr({0}, CAST(p AS BIGINT), 1)) - 48) * (4 ** (11 - p))::BIGINT))::BIGINT"
+MASKS = 16
+
+
+def _canon20(x):
+    return f"least(translate({x},'ACTG','0123'), translate(reverse(translate({x},'ACTG','TGAC')),'ACTG','0123'))"
+
+
 VIEWS |= {
     "db_a": ("coded", "SELECT DISTINCT kmer FROM coded WHERE source <> 'src1'"),
     "db_b": ("coded", "SELECT DISTINCT kmer FROM coded WHERE lang = 'en'"),
@@ -23,6 +32,8 @@ VIEWS |= {
     "doc20": ("reads", "SELECT spotid, source, i - 1 AS pos, translate(least(translate(k,'ACTG','0123'), translate(reverse(translate(k,'ACTG','TGAC')),'ACTG','0123')),'0123','ACTG') AS kmer FROM (SELECT spotid, source, i, substr(bases, i, 20) AS k FROM (SELECT spotid, source, bases, unnest(range(1, length(bases)-18)) AS i FROM reads WHERE length(bases) >= 20))"),
     "hit_rows": ("coded kmer_db", "SELECT spotid, tax_id, count(*) AS n FROM coded JOIN kmer_db USING (kmer) GROUP BY spotid, tax_id"),
     "wins": ("reads", "SELECT spotid, bases, w, greatest(0, w*64 - 10) AS f, least(w*64 + 64, length(bases)) AS t FROM (SELECT spotid, bases, unnest(range(0, length(bases) // 64)) AS w FROM reads WHERE length(bases) >= 64)"),
+    "fnv": ("read_kmers", f"SELECT d, {_FNV} AS h FROM (SELECT d, {_CODE.format('d')} AS code FROM (SELECT DISTINCT d FROM read_kmers))"),
+    "profiles": ("read_kmers fnv", "SELECT source, place, translate(d,'0123','ACTG') AS kmer FROM (" + " UNION ALL ".join(f"SELECT source, CAST({i} AS INTEGER) AS place, arg_min(d, xor(h, {m}::UHUGEINT)) AS d FROM (SELECT DISTINCT source, d FROM read_kmers) JOIN fnv USING (d) GROUP BY source" for i, m in enumerate(PR.masks(MASKS))) + ")"),
     "win_kmers": ("wins", f"SELECT spotid, w, i AS pos, least(translate(substr(bases, i+1, {K}),'ACTG','0123'), translate(reverse(translate(substr(bases, i+1, {K}),'ACTG','TGAC')),'ACTG','0123')) AS dg FROM (SELECT spotid, bases, w, unnest(range(f, t - {K-1})) AS i FROM wins)"),
 }
 
@@ -413,14 +424,16 @@ def _(spark, d):
     return _text(KD.explode_kmers(V.reads(spark, d), K, "spotid"), "spotid").groupBy("spotid", "kmer").agg(F.count("*").alias("n"))
 
 
-@query("c72_minhash_profile")
+@query("c72_minhash_profile", "profiles", "SELECT source, place, kmer FROM profiles")
 def _(spark, d):
-    return PR.profiles(KD.explode_kmers(V.reads(spark, d), K, "source"), "source", 16)
+    p = PR.profiles(KD.explode_kmers(V.reads(spark, d), K, "source"), "source", MASKS)
+    return _text(p.select("source", F.posexplode("profile").alias("place", "kmer")), "source", "place")
 
 
-@query("c95_profile_similarity")
+@query("c95_profile_similarity", "profiles", f"""SELECT source, other, similarity FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY similarity DESC, other) AS r FROM
+  (SELECT a.source, b.source AS other, count(*) / CAST({MASKS} AS DOUBLE) AS similarity FROM profiles a JOIN profiles b ON a.place = b.place AND a.kmer = b.kmer AND a.source <> b.source GROUP BY 1, 2)) WHERE r <= 5""")
 def _(spark, d):
-    p = PR.profiles(KD.explode_kmers(V.reads(spark, d), K, "source"), "source", 16)
+    p = PR.profiles(KD.explode_kmers(V.reads(spark, d), K, "source"), "source", MASKS)
     return PR.closest(p, "source", 5)
 
 
@@ -437,17 +450,22 @@ def _(spark, d):
     return KD.coverage_reach(e)
 
 
-@query("c41_connectivity")
+@query("c41_connectivity", "reads", f"""WITH b AS (SELECT item_id, upper(regexp_replace(text,'[^ACGTacgt]','','g')) AS bases FROM benchmark),
+  c AS (SELECT item_id, i - 1 AS pos, {_canon20('substr(bases, i, 20)')} AS kmer FROM (SELECT item_id, bases, unnest(range(1, length(bases)-18)) AS i FROM b)),
+  r AS (SELECT spotid, length(bases) - 20 AS apart, {_canon20('substr(bases, 1, 20)')} AS a, {_canon20('right(bases, 20)')} AS z FROM (SELECT spotid, bases FROM reads UNION ALL SELECT item_id, bases FROM b WHERE length(bases) >= 60) WHERE length(bases) > 20)
+  SELECT DISTINCT x.item_id AS contig, r.spotid, CAST(x.pos AS INTEGER) AS first, CAST(y.pos AS INTEGER) AS last FROM r JOIN c x ON x.kmer = r.a JOIN c y ON y.kmer = r.z AND y.item_id = x.item_id WHERE abs(abs(y.pos - x.pos) - r.apart) <= 2""")
 def _(spark, d):
     b = V.table(spark, d, "benchmark").select(F.col("item_id").alias("contig"), V.bases_of("text").alias("bases"))
     parts = b.where(F.length("bases") >= 60).select(F.col("contig").alias("spotid"), "bases")
     return KD.connectivity(b, parts.union(V.reads(spark, d).select("spotid", "bases")), 20)
 
 
-@query("c70_effective_window", "win_kmers coded", "SELECT lang, count(*) AS kmers, count(DISTINCT kmer) AS different FROM coded GROUP BY lang")
+@query("c70_effective_window", "coded db_b reads", """WITH w AS (SELECT unnest([16, 32, 64, 128, 256, 512, 1024]) AS size), hit AS (SELECT DISTINCT spotid, pos - 1 AS pos FROM coded JOIN db_b USING (kmer)),
+  found AS (SELECT size, count(*) AS identified FROM (SELECT DISTINCT size, spotid, pos // size AS win FROM hit, w WHERE pos % size <= size - 11) x JOIN reads r USING (spotid) WHERE (win + 1) * size <= length(bases) GROUP BY size),
+  every AS (SELECT size, CAST(sum(length(bases) // size) AS BIGINT) AS windows FROM reads, w GROUP BY size), t AS (SELECT size, windows, coalesce(identified, 0) AS identified FROM every LEFT JOIN found USING (size))
+  SELECT CAST(size AS INTEGER) AS size, windows, identified, coalesce(size = (SELECT min(size) FROM t WHERE identified >= 0.9 * windows AND windows > 0), false) AS effective FROM t""")
 def _(spark, d):
-    k = KD.explode_positions(V.reads(spark, d), K, "lang")
-    return k.groupBy("lang").agg(F.count("*").alias("kmers"), F.count_distinct("kmer").alias("different"))
+    return KD.effective_window(V.reads(spark, d), _b(spark, d), K, [16 << i for i in range(7)], 0.9)
 
 
 @query("c61_contig_statistics", "coded", "SELECT source, CAST(sum(n) AS BIGINT) AS coverage, round(avg(n), 6) AS average, round(100.0 * sum(n) / (SELECT count(*) FROM coded), 6) AS percent FROM (SELECT source, kmer, count(*) AS n FROM coded GROUP BY 1, 2) GROUP BY source")
