@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COLUMNS = ["object", "beg", "end", "component", "cbeg", "cend", "strand"]
@@ -79,3 +79,21 @@ def compact(pairs: DataFrame) -> DataFrame:
     along = F.when(F.col("reversed"), F.col("offset") + F.col("length") == prev("offset")).otherwise(prev("offset") + prev("length") == F.col("offset"))
     runs = pairs.withColumn("_new", F.when(follows & along, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy("seqid", "_run", "component", "reversed").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.min("offset").alias("offset")).select("seqid", "start", "length", "component", "offset", "reversed")
+
+
+def remap_table(pairs: DataFrame) -> DataFrame:
+    """The remap as it is written out, where the length is that from the first to the last base: one less than their number."""
+    return pairs.withColumn("length", F.col("length") - 1)
+
+
+def split_locations(agp: DataFrame, at: Column) -> DataFrame:
+    """Records cut in two before place ``at`` of their component, if that lies inside; on the object a reversed one is cut from its end."""
+    left = at - F.col("cbeg")
+    inside = (at > F.col("cbeg")) & (at <= F.col("cend"))
+    forward = F.col("strand") == 1
+    part = lambda b, e, cb, ce: F.struct(b.alias("beg"), e.alias("end"), cb.alias("cbeg"), ce.alias("cend"))
+    beg, end, cbeg, cend = (F.col(c).cast("long") for c in ("beg", "end", "cbeg", "cend"))
+    first = part(F.when(forward, beg).otherwise(end - left + 1), F.when(forward, beg + left - 1).otherwise(end), cbeg, at.cast("long") - 1)
+    second = part(F.when(forward, beg + left).otherwise(beg), F.when(forward, end).otherwise(end - left), at.cast("long"), cend)
+    parts = F.when(inside, F.array(first, second)).otherwise(F.array(part(beg, end, cbeg, cend)))
+    return agp.withColumn("_p", F.explode(parts)).select("object", "_p.beg", "_p.end", "component", "_p.cbeg", "_p.cend", "strand")

@@ -53,6 +53,14 @@ def counters(disposed: DataFrame) -> DataFrame:
     return disposed.agg(F.count("*").alias("alignments"), F.count_if(~F.col("disposition").isin("LOW", "AMB", "NOFT", "NC")).alias("counted"), *map(kind, ("LOW", "AMB", "NOFT", "NC")))
 
 
+def counts_report(disposed: DataFrame, features: DataFrame) -> DataFrame:
+    """Lines ``id TAB n`` of all features, then ``#name TAB n`` of the totals."""
+    totals = counters(disposed)
+    names = F.explode(F.array(*(F.struct(F.lit(f"#{c}").alias("id"), F.col(c).alias("n")) for c in totals.columns))).alias("t")
+    rows = count_features(disposed, features).select("id", "n").union(totals.select(names).select("t.id", "t.n"))
+    return rows.select(F.concat_ws("\t", "id", F.col("n").cast("string")).alias("line"))
+
+
 def match_references(annotated: DataFrame, run: DataFrame) -> DataFrame:
     """``name, side``: both, run or annotation.  ``annotated`` has ``name``; ``run`` has ``canonical, common``, either of which may match."""
     names = run.select(F.explode(F.array_distinct(F.array("canonical", "common"))).alias("name"), "canonical")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,3 +203,23 @@ def effective_window(reads: DataFrame, db: DataFrame, k: int, sizes: list[int],
     table = every.join(found, "size", "left").select("size", "windows", F.coalesce("identified", F.lit(0)).alias("identified"))
     reached = F.when((F.col("identified") >= enough * F.col("windows")) & (F.col("windows") > 0), F.col("size"))
     return table.withColumn("effective", F.coalesce(F.col("size") == F.min(reached).over(Window.partitionBy()), F.lit(False)))  # a row a size
+
+
+def classify_in_two_steps(reads_kmers: DataFrame, sparse: DataFrame, dense: Callable[[DataFrame], DataFrame], *keys: str) -> DataFrame:
+    """``keys, tax_id, n`` by the part of a large index that the reads need: a small index tells which taxa there are.
+
+    ``dense`` takes these taxa and gives their k-mers; an index stored by taxon is then read only there.
+    """
+    taxa = reads_kmers.join(sparse.where("tax_id <> 0"), "kmer", "inner").select("tax_id").distinct()
+    return hits(reads_kmers, dense(taxa), *keys)
+
+
+def check_index(db: DataFrame, tagged: DataFrame, lineage: DataFrame) -> DataFrame:
+    """``tax, kmers, wrong, own``: of the k-mers of each taxon's sequences that an index holds, those whose entry is no ancestor
+    of the taxon nor itself, and those whose entry is the taxon itself."""
+    seen = tagged.select("kmer", F.col("tax_id").alias("tax")).distinct().join(db, "kmer")
+    counted = seen.groupBy("tax", "tax_id").agg(F.count("*").alias("n"))  # pairs of taxa, before lineages come in
+    judged = counted.join(lineage.select(F.col("tax_id").alias("tax"), "lineage"), "tax")
+    at_odds = ~F.array_contains("lineage", F.col("tax_id"))
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return judged.groupBy("tax").agg(F.sum("n").alias("kmers"), total(at_odds).alias("wrong"), total(F.col("tax_id") == F.col("tax")).alias("own"))

@@ -5,20 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir``, which all executors share, and read again.
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``, which all executors share.
 
     A session that names no such folder gets a temporary one if it runs in one process, as tests do, and an error if not.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="seqloom-"))
-    path = f"{sc.getCheckpointDir()}/cut-{uuid.uuid4()}"
+    return f"{sc.getCheckpointDir()}/{kind}-{uuid.uuid4()}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as a table to the shared folder, and read again."""
+    path = shared_folder(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -133,9 +133,49 @@ def write_kmer_db(db: DataFrame, path: str, by_tax: bool = False) -> None:
     out.mode("overwrite").parquet(path)
 
 
-def write_contigs(contigs: DataFrame, path: str) -> None:
-    """Contigs ``bases, abundance`` as FASTA records ``>Contig_n_abundance``."""
+def read_kmer_db(spark: SparkSession, path: str, taxa: list[int] | DataFrame | None = None) -> DataFrame:
+    """``kmer, tax_id`` of an index that ``write_kmer_db`` stored; of an index by taxon only the folders of ``taxa`` are read.
+
+    A list prunes folders at planning, a table ``tax_id`` when it runs.
+    """
+    db = spark.read.parquet(path).select("kmer", F.col("tax_id").cast("int").alias("tax_id"))
+    if taxa is None:
+        return db
+    return db.where(F.col("tax_id").isin(taxa)) if isinstance(taxa, list) else db.join(taxa.select("tax_id").distinct(), "tax_id", "left_semi").select("kmer", "tax_id")
+
+
+def contig_records(contigs: DataFrame) -> DataFrame:
+    """FASTA records ``>Contig_n_abundance`` of contigs ``bases, abundance``, numbered from 1 in the order of their bases."""
     from seqloom.operators.numbering import numbered
 
-    rows = numbered(contigs, "bases").select(F.concat(F.lit(">Contig_"), F.col("row") + 1, F.lit("_"), F.round("abundance", 2), F.lit("\n"), F.col("bases")).alias("line"))
-    rows.write.mode("overwrite").text(path)
+    return numbered(contigs, "bases").select(F.concat(F.lit(">Contig_"), F.col("row") + 1, F.lit("_"), F.round("abundance", 2), F.lit("\n"), F.col("bases")).alias("line"))
+
+
+def write_contigs(contigs: DataFrame, path: str) -> None:
+    contig_records(contigs).write.mode("overwrite").text(path)
+
+
+def fasta_records(rows: DataFrame, width: int = 60) -> DataFrame:
+    """Records ``>spotid`` with their bases in lines of ``width``."""
+    wrapped = F.regexp_replace("bases", f"(.{{{width}}})(?=.)", "$1\n")
+    return rows.select(F.concat(F.lit(">"), F.col("spotid").cast("string"), F.lit("\n"), wrapped).alias("line"))
+
+
+def parse_alleles(lines: DataFrame) -> DataFrame:
+    """``locus, allele, seq`` of lines with these three words; other lines are an error."""
+    f = F.split(F.trim("line"), r"\s+")
+    bad = F.raise_error(F.concat(F.lit("no allele line: "), F.col("line")))
+    rows = lines.where("trim(line) <> ''")
+    return rows.select(F.when(F.size(f) == 3, F.get(f, F.lit(0))).otherwise(bad).alias("locus"), F.get(f, F.lit(1)).alias("allele"), F.upper(F.get(f, F.lit(2))).alias("seq"))
+
+
+# The columns of tabular alignment hits, in order.
+HIT_COLUMNS = "query string, subject string, identity double, length int, mismatches int, gaps int, qstart long, qend long, sstart long, send long, evalue double, bits double, btop string"
+
+
+def parse_tabular_hits(lines: DataFrame) -> DataFrame:
+    """Tabular alignment hits of 13 columns, with ``plus``: whether the subject runs forward, and its ends in order."""
+    f = F.split("line", "\t")
+    kinds = [c.split() for c in HIT_COLUMNS.split(", ")]
+    rows = lines.where(~F.col("line").startswith("#") & (F.size(f) == len(kinds))).select(*(F.get(f, F.lit(i)).cast(t).alias(n) for i, (n, t) in enumerate(kinds)))
+    return rows.withColumn("plus", F.col("sstart") <= F.col("send")).withColumns({"sstart": F.least("sstart", "send"), "send": F.greatest("sstart", "send")})
