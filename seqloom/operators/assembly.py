@@ -141,3 +141,33 @@ def next_letters(edges: DataFrame, least: int) -> DataFrame:
     if it was seen ``least`` times."""
     best = edges.where(F.col("n") >= least).groupBy("kmer", "side").agg(F.min(F.struct((-F.col("n")).alias("less"), "base", "next")).alias("m"))
     return best.select("kmer", "side", "m.base", "m.next", (-F.col("m.less")).alias("n"))
+
+
+def coverage_profile(reads: DataFrame, contigs: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """``contig, pos, symbols, abundances``: the bases that placed reads have at each place of a contig, in order, and how often.
+
+    A read lies without gaps where its first common k-mer puts it, turned if it runs the other way; what hangs over is left out.
+    Bases are counted before they are gathered, so a place takes four rows at most.
+    """
+    n = F.length("bases")
+    turned = placed.join(reads.select("spotid", "bases"), "spotid").select(
+        "contig", F.when(F.col("plus"), F.col("contig_pos") - F.col("read_pos")).otherwise(F.col("contig_pos") - (n - k - F.col("read_pos"))).alias("off"),
+        F.when(F.col("plus"), F.col("bases")).otherwise(S.revcomp("bases")).alias("bases"))
+    each = turned.select("contig", "off", F.posexplode(F.split("bases", "")).alias("i", "symbol")).select("contig", (F.col("off") + F.col("i")).alias("pos"), "symbol")
+    counted = each.where("pos >= 0 AND symbol <> ''").groupBy("contig", "pos", "symbol").agg(F.count("*").alias("n"))
+    inside = counted.join(contigs.select("contig", F.length("bases").alias("_len")), "contig").where("pos < _len")
+    rows = inside.groupBy("contig", "pos").agg(F.array_sort(F.collect_list(F.struct("symbol", "n"))).alias("s"))
+    return rows.select("contig", "pos", F.array_join(F.transform("s", lambda x: x["symbol"]), "").alias("symbols"), F.array_join(F.transform("s", lambda x: x["n"].cast("string")), ",").alias("abundances"))
+
+
+def word_seeds(targets: DataFrame, nodes: DataFrame, k: int, word: int = 8) -> DataFrame:
+    """``kmer, node, score``: for each target k-mer the graph node with the same last ``word`` bases that agrees in most places.
+
+    Equal scores go to the more frequent node, then to the smaller code.  A word has at most 4**(k - word) nodes.
+    """
+    low = F.lit((1 << 2 * word) - 1)
+    met = targets.select("kmer", F.col("kmer").bitwiseAND(low).alias("w")).join(nodes.select(F.col("kmer").alias("node"), "n", F.col("kmer").bitwiseAND(low).alias("w")), "w")
+    apart = F.col("kmer").bitwiseXOR(F.col("node"))
+    places = F.bit_count(apart.bitwiseOR(F.shiftright(apart, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    best = met.groupBy("kmer").agg(F.min(F.struct(places.alias("miss"), (-F.col("n")).alias("less"), "node")).alias("m"))
+    return best.select("kmer", "m.node", (F.lit(k) - F.col("m.miss")).cast("int").alias("score"))

@@ -193,13 +193,14 @@ def _(spark, d):
     return AG.clean(a.union(a.select("object", F.col("beg") + 5, F.col("end") - 5, "component")))
 
 
-@query("e10_flatten", "agp_old", "SELECT 'whole' || (CAST(substr(object, 5) AS INTEGER) % 2) AS object, component, strand * CASE WHEN CAST(substr(object, 5) AS INTEGER) % 4 = 0 THEN -1 ELSE 1 END AS strand, \"end\" - beg + 1 AS length FROM agp_old")
+@query("e10_flatten", "agp_old", """WITH s AS (SELECT object, CAST(substr(object, 5) AS INTEGER) AS i, max("end") AS n FROM agp_old GROUP BY object), u AS (SELECT object, i, CAST(sum(n) OVER (PARTITION BY i % 2 ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS ue, n FROM s)
+  SELECT 'whole' || (i % 2) AS object, CASE WHEN i % 4 = 0 THEN ue - (a."end" - 1) ELSE ue - n + a.beg END AS beg, CASE WHEN i % 4 = 0 THEN ue - (a.beg - 1) ELSE ue - n + a."end" END AS "end", component, strand * CASE WHEN i % 4 = 0 THEN -1 ELSE 1 END AS strand FROM agp_old a JOIN u USING (object)""")
 def _(spark, d):
     a = _agp(spark, d, False)
     s = a.groupBy(F.col("object").alias("component")).agg(F.max("end").alias("n")).withColumn("i", F.substring("component", 5, 9).cast("int"))
     e = F.sum("n").over(Window.partitionBy(F.col("i") % 2).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     up = s.select(F.concat(F.lit("whole"), F.col("i") % 2).alias("object"), (e - F.col("n") + 1).alias("beg"), e.alias("end"), "component", F.lit(1).cast("long").alias("cbeg"), F.col("n").alias("cend"), F.when(F.col("i") % 4 == 0, -1).otherwise(1).alias("strand"))
-    return AG.flatten(a.unionByName(up)).select("object", "component", "strand", (F.col("end") - F.col("beg") + 1).alias("length"))
+    return AG.flatten(a.unionByName(up)).select("object", "beg", "end", "component", "strand")
 
 
 @query("e7_split_pieces", "agp_old agp_new", "SELECT component, cbeg, CAST(cend AS BIGINT) AS cend FROM agp_old UNION SELECT component, cbeg, cend FROM agp_new")

@@ -10,10 +10,12 @@ from seqloom.operators import assembly as AS
 from seqloom.operators import features as FT
 from seqloom.operators import intervals as IV
 from seqloom.operators import kmerdb as KD
+from seqloom.operators.numbering import numbered
 from seqloom.operators.store import shared_folder
 from seqloom.plans import query_assembly as QA
 from seqloom.plans import query_counts as QC
 from seqloom.plans import query_kmers as QK
+from seqloom.plans import tables as TB
 from seqloom.plans import views as V
 from seqloom.plans.registry import query
 from seqloom.plans.views import K, VIEWS
@@ -25,6 +27,9 @@ VIEWS |= {
       (SELECT *, CASE WHEN lag(component) OVER w = component AND lag(reversed) OVER w = reversed AND lag(start + length) OVER w = start AND (CASE WHEN reversed THEN "offset" + length = lag("offset") OVER w ELSE lag("offset" + length) OVER w = "offset" END) THEN 0 ELSE 1 END AS fresh
       FROM map_pairs WINDOW w AS (PARTITION BY seqid ORDER BY start))) GROUP BY seqid, run, component, reversed"""),
     "spans": ("alignments extents", "SELECT a.id, a.reversed, a.mapq, a.refpos AS s, a.refpos + a.length - 1 AS e, x.id AS feature, x.s AS fs, x.e AS fe, x.reverse FROM alignments a JOIN extents x ON x.ref = a.refspec AND a.refpos <= x.e AND a.refpos + a.length - 1 >= x.s"),
+    "placed": ("reads", f"""SELECT spotid, contig, read_pos, contig_pos, plus FROM (SELECT q.spotid, b.item_id AS contig, q.pos AS read_pos, b.pos AS contig_pos, q.plus = b.plus AS plus, row_number() OVER (PARTITION BY q.spotid ORDER BY q.pos, b.item_id, b.pos) AS r
+  FROM (SELECT spotid, pos, {QK._canon20('k')} AS c, translate(k,'ACTG','0123') = c AS plus FROM (SELECT spotid, i - 1 AS pos, substr(bases, i, 20) AS k FROM (SELECT spotid, bases, unnest(range(1, length(bases)-18)) AS i FROM reads WHERE length(bases) >= 20))) q
+  JOIN (SELECT item_id, pos, {QK._canon20('k')} AS c, translate(k,'ACTG','0123') = c AS plus FROM (SELECT item_id, i - 1 AS pos, substr(bases, i, 20) AS k FROM (SELECT item_id, bases, unnest(range(1, length(bases)-18)) AS i FROM (SELECT item_id, upper(regexp_replace(text,'[^ACGTacgt]','','g')) AS bases FROM benchmark)))) b USING (c)) WHERE r = 1"""),
     "stranded": ("read_kmers", "SELECT spotid, pos - 1 AS pos, d, translate(forward,'ACTG','0123') = d AS plus FROM read_kmers"),
 }
 
@@ -169,10 +174,7 @@ def _(spark, d):
     return FM.contig_records(contigs).select(parts[0].alias("head"), F.md5(parts[1].cast("binary")).alias("bases"))
 
 
-@query("d11_place_reads", "doc20 bench_db", f"""WITH b AS (SELECT item_id, i - 1 AS pos, substr(bases, i, 20) AS k FROM (SELECT item_id, bases, unnest(range(1, length(bases)-18)) AS i FROM (SELECT item_id, upper(regexp_replace(text,'[^ACGTacgt]','','g')) AS bases FROM benchmark))),
-  q AS (SELECT spotid, i - 1 AS pos, substr(bases, i, 20) AS k FROM (SELECT spotid, bases, unnest(range(1, length(bases)-18)) AS i FROM reads WHERE length(bases) >= 20)),
-  bc AS (SELECT item_id, pos, {QK._canon20('k')} AS c, translate(k,'ACTG','0123') = c AS plus FROM b), qc AS (SELECT spotid, pos, {QK._canon20('k')} AS c, translate(k,'ACTG','0123') = c AS plus FROM q)
-  SELECT spotid, contig, read_pos, contig_pos, plus FROM (SELECT spotid, item_id AS contig, qc.pos AS read_pos, bc.pos AS contig_pos, qc.plus = bc.plus AS plus, row_number() OVER (PARTITION BY spotid ORDER BY qc.pos, item_id, bc.pos) AS r FROM qc JOIN bc USING (c)) WHERE r = 1""")
+@query("d11_place_reads", "placed", "SELECT spotid, contig, read_pos, contig_pos, plus FROM placed")
 def _(spark, d):
     contigs = V.table(spark, d, "benchmark").select(F.col("item_id").alias("contig"), V.bases_of("text").alias("bases"))
     return AS.place_reads(V.reads(spark, d), contigs, 20)
@@ -199,3 +201,79 @@ def _(spark, d):
 def _(spark, d):
     a = QA._agp(spark, d, False)
     return AG.split_locations(a, F.expr("cend DIV 2 + 1")).select("object", "component", "cbeg", F.col("cend").cast("long").alias("cend"), "strand")
+
+
+@query("a9_range_literals", "alignments", "SELECT '@chr1' AS range, count(*) AS n FROM alignments WHERE refspec = 'chr1' UNION ALL SELECT '@chr2:1000.5000', count(*) FROM alignments WHERE refspec = 'chr2' AND refpos >= 1000 AND refpos < 6000 UNION ALL SELECT '@chr3:7.0', count(*) FROM alignments WHERE refspec = 'chr3'")
+def _(spark, d):
+    a = V.alignments(spark, d)
+    totals = [a.where(TB.Range.parse(r).predicate("ALIG")).agg(F.count("*").alias("n")).select(F.lit(r).alias("range"), "n") for r in ("@chr1", "@chr2:1000.5000", "@chr3:7.0")]
+    return totals[0].union(totals[1]).union(totals[2])
+
+
+@query("a16_column_projection", "alignments", "SELECT id, mapq FROM alignments")
+def _(spark, d):
+    return TB.scan(TB.TableSpec.parse("t = run.ALIG {id, mapq}"), V.alignments(spark, d))
+
+
+@query("a17_range_restriction", "alignments", "SELECT id, refspec, refpos FROM alignments WHERE (refspec = 'chr2' AND refpos >= 1000 AND refpos < 6000) OR refspec = 'chr4'")
+def _(spark, d):
+    return TB.scan(TB.TableSpec.parse("t = run.ALIG {id, refspec, refpos} #@chr2:1000.5000 #@chr4"), V.alignments(spark, d))
+
+
+@query("b17_interval_pairs", "alignments extents", "SELECT x.id AS feature, x.ref, a.id FROM extents x LEFT JOIN alignments a ON x.ref = a.refspec AND a.refpos <= x.e AND a.refpos + a.length - 1 >= x.s")
+def _(spark, d):
+    f = FT.build_features(V.gtf(spark, d)).select(F.col("id").alias("feature"), "ref", "start", "end")
+    a = V.alignments(spark, d).select("id", F.col("refspec").alias("ref"), F.col("refpos").alias("r_start"), IV.end_of(F.col("refpos"), F.col("length")).alias("r_end"))
+    return IV.range_join(f, a, ["ref"], how="left").select("feature", "ref", "id")
+
+
+@query("c3_file_list", "", "SELECT url AS path, CAST(sum(strlen(coalesce(html, ''))) AS BIGINT) AS size FROM pages GROUP BY url")
+def _(spark, d):
+    size = F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
+    files = FM.parse_file_list(V.table(spark, d, "pages").select(F.concat(size, F.lit("\t"), F.col("url")).alias("line")))
+    return files.groupBy("path").agg(F.sum("size").alias("size"))
+
+
+@query("c4_accession_list", "", "SELECT word, count(*) AS n FROM (SELECT source AS word FROM documents WHERE source IS NOT NULL UNION ALL SELECT 'ACC' || doc_id FROM documents) GROUP BY word")
+def _(spark, d):
+    lines = V.table(spark, d, "documents").select(F.concat(F.lit("  "), F.coalesce("source", F.lit("")), F.lit(" \tACC"), F.col("doc_id").cast("string"), F.lit(" ")).alias("line"))
+    return FM.parse_words(lines).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("c12_tax_list", "kmer_db taxonomy", "SELECT tax_id, count(*) AS kmers FROM kmer_db WHERE tax_id IN (SELECT tax_id FROM taxonomy WHERE rank = 'nation' AND parent_id IN (11, 13)) GROUP BY tax_id")
+def _(spark, d):
+    lines = V.taxonomy(spark, d).where("rank = 'nation' AND parent_id IN (11, 13)").select(F.col("tax_id").cast("string").alias("line"))
+    taxa = FM.parse_words(lines).select(F.col("word").cast("int").alias("tax_id"))
+    path = shared_folder(spark, "index")
+    FM.write_kmer_db(QK._index(spark, d), path, by_tax=True)
+    return KD.annotation(FM.read_kmer_db(spark, path, taxa)).withColumnRenamed("n", "kmers")
+
+
+@query("d7_coverage_profile", "placed reads", f"""WITH o AS MATERIALIZED (SELECT contig, CASE WHEN plus THEN contig_pos - read_pos ELSE contig_pos - (length(bases) - 20 - read_pos) END AS off, CASE WHEN plus THEN bases ELSE {V.RC.format('bases')} END AS bases FROM placed JOIN reads USING (spotid)),
+  e AS MATERIALIZED (SELECT contig, off + i - 1 AS pos, substr(bases, i, 1) AS symbol FROM (SELECT contig, off, bases, unnest(range(1, length(bases)+1)) AS i FROM o)), n AS (SELECT item_id AS contig, length(regexp_replace(text,'[^ACGTacgt]','','g')) AS len FROM benchmark)
+  SELECT contig, pos, string_agg(symbol, '' ORDER BY symbol) AS symbols, string_agg(CAST(n AS VARCHAR), ',' ORDER BY symbol) AS abundances FROM (SELECT contig, pos, symbol, count(*) AS n FROM e JOIN n USING (contig) WHERE pos >= 0 AND pos < len GROUP BY 1, 2, 3) GROUP BY contig, pos""")
+def _(spark, d):
+    contigs = V.table(spark, d, "benchmark").select(F.col("item_id").alias("contig"), V.bases_of("text").alias("bases"))
+    r = V.reads(spark, d).select("spotid", "bases")
+    return AS.coverage_profile(r, contigs, AS.place_reads(r, contigs, 20), 20)
+
+
+@query("d13_word_seeds", "nodes bench_db", f"""WITH t AS (SELECT DISTINCT {QA._CANON.format('k')} AS kmer FROM (SELECT substr(bases, i, {K}) AS k FROM (SELECT bases, unnest(range(1, length(bases)-{K-2})) AS i FROM (SELECT upper(regexp_replace(text,'[^ACGTacgt]','','g')) AS bases FROM benchmark))))
+  SELECT kmer, node, CAST({K} - miss AS INTEGER) AS score FROM (SELECT t.kmer, n.kmer AS node, hamming(t.kmer, n.kmer) AS miss, row_number() OVER (PARTITION BY t.kmer ORDER BY hamming(t.kmer, n.kmer), n.n DESC, translate(n.kmer,'ACTG','0123')) AS r FROM t JOIN nodes n ON right(n.kmer, 8) = right(t.kmer, 8)) WHERE r = 1""")
+def _(spark, d):
+    targets = V.table(spark, d, "benchmark").select(V.bases_of("text").alias("bases"))
+    seeds = AS.word_seeds(KD.explode_kmers(targets, K).distinct(), KD.count_kmers(V.reads(spark, d), K, 10), K)
+    return seeds.select(S.decode("kmer", K).alias("kmer"), S.decode("node", K).alias("node"), "score")
+
+
+@query("d23_placement_orders", "gtf", """SELECT chrom AS contig, start, "end", id AS locus, row_number() OVER (ORDER BY chrom, start, "end", id, strand) AS by_place, row_number() OVER (ORDER BY id, chrom, start, "end", strand) AS by_locus FROM gtf""")
+def _(spark, d):
+    g = V.gtf(spark, d)
+    placed = numbered(g, "chrom", "start", "end", "id", "strand").withColumn("by_place", F.col("row") + 1).drop("row")
+    both = numbered(placed, "id", "chrom", "start", "end", "strand").withColumn("by_locus", F.col("row") + 1)
+    return both.select(F.col("chrom").alias("contig"), "start", "end", F.col("id").alias("locus"), "by_place", "by_locus")
+
+
+@query("e11_sorted_records", "agp_old", "SELECT object, beg, component, row_number() OVER (ORDER BY object, beg, \"end\", component) AS place FROM agp_old")
+def _(spark, d):
+    return numbered(QA._agp(spark, d, False), "object", "beg", "end", "component").select("object", "beg", "component", (F.col("row") + 1).alias("place"))

@@ -87,16 +87,6 @@ def select_fields(kind: str, text: str) -> list[str]:
     return [f for f in FIELDS[kind] if f in asked]
 
 
-def split_ranges(total: int, ranges: list[Range], chunk: int = 1500) -> list[tuple[int, int]]:
-    """Row ranges of at most ``chunk`` rows, kept inside the run; without ranges the whole run."""
-    out = []
-    for r in ranges or [Range(start=1, count=total)]:
-        start = r.start or 1
-        end = total if not r.count else min(total, start + r.count - 1)
-        out += [(at, min(chunk, end - at + 1)) for at in range(start, end + 1, chunk)]
-    return out
-
-
 @dataclass
 class JobOptions:
     values: dict[str, str]

@@ -179,3 +179,14 @@ def parse_tabular_hits(lines: DataFrame) -> DataFrame:
     kinds = [c.split() for c in HIT_COLUMNS.split(", ")]
     rows = lines.where(~F.col("line").startswith("#") & (F.size(f) == len(kinds))).select(*(F.get(f, F.lit(i)).cast(t).alias(n) for i, (n, t) in enumerate(kinds)))
     return rows.withColumn("plus", F.col("sstart") <= F.col("send")).withColumns({"sstart": F.least("sstart", "send"), "send": F.greatest("sstart", "send")})
+
+
+def parse_words(lines: DataFrame) -> DataFrame:
+    """``word``: all words of list files, which any white space divides."""
+    return lines.select(F.explode(F.regexp_extract_all("line", F.lit(r"(\S+)"), 1)).alias("word"))
+
+
+def parse_file_list(lines: DataFrame) -> DataFrame:
+    """``path, size`` of lines ``size TAB path``; the path is the rest of the line."""
+    f = F.split("line", "\t", 2)
+    return lines.where("trim(line) <> ''").select(F.get(f, F.lit(1)).alias("path"), F.get(f, F.lit(0)).cast("long").alias("size"))

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.operators import agp as AG
 from seqloom.operators import assembly as AS
@@ -14,8 +15,6 @@ def test_declarations():
     assert TB.TableSpec.parse("s = RUN1").kind == "SPOT"
     with pytest.raises(ValueError):
         TB.TableSpec.parse("t = R.ALIG {nope}")
-    assert TB.split_ranges(10, [], 4) == [(1, 4), (5, 4), (9, 2)]
-    assert TB.split_ranges(10, [TB.Range(start=8, count=50)], 4) == [(8, 3)]
 
 
 def test_options():
@@ -65,3 +64,46 @@ def test_fasta_with_marks_inside_descriptions(spark, tmp_path):
     (tmp_path / "a.fa").write_bytes(b">one a>b c\r\nACG\r\nT\r\n>two/1 x\nGG\n")
     got = {(r.spotid, r.description, r.bases) for r in read_fasta(spark, str(tmp_path / "a.fa")).collect()}
     assert got == {("one", "one a>b c", "ACGT"), ("two", "two/1 x", "GG")}
+
+
+def test_allele_lines_and_lists(spark):
+    lines = lambda *x: spark.createDataFrame([(v,) for v in x], "line string")
+    assert [tuple(r) for r in SF.parse_alleles(lines("abc 1 acgt", "")).collect()] == [("abc", "1", "ACGT")]
+    with pytest.raises(Exception, match="no allele line"):
+        SF.parse_alleles(lines("abc 1")).collect()
+    assert sorted(r.word for r in SF.parse_words(lines(" a\tb ", "", None, "c")).collect()) == ["a", "b", "c"]
+    assert [tuple(r) for r in SF.parse_file_list(lines("12\t/a b/c", " ")).collect()] == [("/a b/c", 12)]
+    hit = SF.parse_tabular_hits(lines("# x", "q\ts\t99.5\t10\t0\t0\t1\t10\t30\t21\t1e-9\t20\t10")).first()
+    assert (hit.sstart, hit["send"], hit.plus) == (21, 30, False)
+
+
+def test_placed_and_turned_contigs(spark):
+    bases = "ACGGTTACAGGCATTC"
+    turned = bases[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    contigs = spark.createDataFrame([(7, bases)], "contig int, bases string")
+    reads = spark.createDataFrame([(1, bases[3:12]), (2, turned[2:14]), (3, "AAAAAAAA"), (4, None), (5, "AC")], "spotid int, bases string")
+    placed = AS.place_reads(reads, contigs, 6)
+    assert sorted(tuple(r) for r in placed.collect()) == [(1, 7, 0, 3, True), (2, 7, 0, len(bases) - 2 - 6, False)]
+    profile = {r.pos: (r.symbols, r.abundances) for r in AS.coverage_profile(reads, contigs, placed, 6).collect()}
+    assert profile == {p: (bases[p], str((3 <= p < 12) + (2 <= p < 14))) for p in range(2, 14)}
+    both = AS.direct(spark.createDataFrame([(1, bases), (2, turned), (3, "AC")], "spotid int, bases string"), 6, "spotid")
+    got = {r.spotid: (r.bases, r.turned) for r in both.collect()}
+    assert got[1][0] == got[2][0] and got[1][1] != got[2][1] and got[3] == ("AC", False)
+
+
+def test_split_locations(spark):
+    rows = spark.createDataFrame([("o", 11, 20, "c", 1, 10, 1), ("o", 31, 40, "d", 1, 10, -1)], "object string, beg long, end long, component string, cbeg long, cend long, strand int")
+    got = sorted(tuple(r) for r in AG.split_locations(rows, F.lit(4)).collect())
+    assert got == [("o", 11, 13, "c", 1, 3, 1), ("o", 14, 20, "c", 4, 10, 1), ("o", 31, 37, "d", 4, 10, -1), ("o", 38, 40, "d", 1, 3, -1)]
+    assert AG.split_locations(rows, F.lit(1)).count() == 2
+
+
+def test_stored_index_and_two_steps(spark, tmp_path):
+    from seqloom.operators import kmerdb as KD
+
+    db = spark.createDataFrame([(1, 5), (2, 5), (3, 6), (4, 0)], "kmer long, tax_id int")
+    SF.write_kmer_db(db, str(tmp_path / "db"), by_tax=True)
+    assert sorted(r.kmer for r in SF.read_kmer_db(spark, str(tmp_path / "db"), [6, 9]).collect()) == [3]
+    seen = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 4), (3, 3)], "spotid int, kmer long")
+    got = KD.classify_in_two_steps(seen, db.where("kmer = 1"), lambda t: SF.read_kmer_db(spark, str(tmp_path / "db"), t), "spotid")
+    assert [tuple(r) for r in got.collect()] == [(1, 5, 2)]
