@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import chat_format
+from seqloom.llm import chat_format, collocations
 from seqloom.llm.common import table
 from seqloom.llm.decontamination import find_contamination
 from seqloom.llm.language_id import fit_language_model, identify_languages
@@ -66,10 +66,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
     rows = f"SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES {TRICK}) AS t(conv_id, turn, role, text)"
-    return {"op3_chat_format": chat_format.SQL.format(rows=rows)}
+    return {"op3_chat_format": chat_format.SQL.format(rows=rows), "op11_collocations": collocations.SQL}
