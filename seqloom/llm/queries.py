@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import chat_format, collocations
+from seqloom.llm import chat_format, collocations, vector_codes
 from seqloom.llm.common import table
 from seqloom.llm.decontamination import find_contamination
 from seqloom.llm.language_id import fit_language_model, identify_languages
 from seqloom.llm.mixing import mix_sources
 from seqloom.llm.ngram_jaccard import ngram_jaccard_join
+from seqloom.llm.personal_data import fit_personal_data, personal_data_report
 from seqloom.llm.quality import quality_rules
 from seqloom.llm.sharding import shard_documents
 from seqloom.llm.token_counts import maintain_counts, read_vocabulary
@@ -70,10 +71,19 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal_data_report(docs, fit_personal_data(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
     rows = f"SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES {TRICK}) AS t(conv_id, turn, role, text)"
-    return {"op3_chat_format": chat_format.SQL.format(rows=rows), "op11_collocations": collocations.SQL}
+    return {"op3_chat_format": chat_format.SQL.format(rows=rows), "op11_collocations": collocations.SQL, "op12_vector_codes": vector_codes.SQL}
