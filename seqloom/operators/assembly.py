@@ -68,26 +68,6 @@ def length_statistic(contigs: DataFrame, length: str = "len", part: float = 0.5)
     return hit.select(F.col("len").cast("long").alias("nxx"), (F.col("count") + F.ceil((F.col("half") - F.col("before")) / F.col("len"))).cast("long").alias("lxx"))
 
 
-def unitigs(edges: DataFrame, most: int = 40) -> DataFrame:
-    """``node, head, steps``: the end of the unbranched chain that each node lies on, found by doubling pointers.
-
-    ``edges``: ``a, b``: b is the only next node of a, and a the only one before b.  Each round is stored as a table.
-    A circle ends at its smallest node.  Rounds grow with the logarithm of the longest chain; ``most`` of them
-    reach the end of chains of 2**40 nodes, and only circles go round so often.
-    """
-    edges = cut(edges.select("a", "b"))
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    state = cut(nodes.join(edges.withColumnsRenamed({"b": "node", "a": "up"}), "node", "left").select("node", F.coalesce("up", "node").alias("head"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.coalesce("up", "node").alias("low")))
-    for _ in range(most):
-        far = state.select(F.col("node").alias("head"), F.col("head").alias("head2"), F.col("steps").alias("steps2"), F.col("low").alias("low2"))
-        new = cut(state.join(far, "head").select("node", F.col("head2").alias("head"), (F.col("steps") + F.when(F.col("head") == F.col("node"), 0).otherwise(F.col("steps2"))).alias("steps"), F.least("low", "low2").alias("low"), (F.col("head2") != F.col("head")).alias("moved")))
-        state = new.drop("moved")
-        if new.where("moved").isEmpty():
-            break
-    ends = state.select("head").distinct().join(edges.select(F.col("b").alias("head")), "head", "left_semi").withColumn("circle", F.lit(True))
-    return state.join(ends, "head", "left").select("node", F.when(F.col("circle"), F.col("low")).otherwise(F.col("head")).alias("head"), "steps")
-
-
 def diagonal_runs(hits: DataFrame, k: int) -> DataFrame:
     """``query, subject, diagonal, qstart, qend``: k-mer hits ``query, subject, qpos, spos`` that overlap or touch on a diagonal, merged."""
     rows = hits.select("query", "subject", (F.col("qpos") - F.col("spos")).alias("diagonal"), "qpos").distinct()

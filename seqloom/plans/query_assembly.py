@@ -9,6 +9,7 @@ from seqloom.functions import seq as S
 from seqloom.operators import agp as AG
 from seqloom.operators import alignment as AL
 from seqloom.operators import assembly as AS
+from seqloom.operators import graph as GR
 from seqloom.operators import kmerdb as KD
 from seqloom.plans import views as V
 from seqloom.plans.registry import query
@@ -222,19 +223,65 @@ def _(spark, d):
     return AS.histogram_shape(AS.histogram(KD.count_kmers(V.reads(spark, d), K)))
 
 
-@query("d33_unitigs", "edges", """WITH one AS (SELECT kmer, min(next) AS next FROM edges WHERE side = 'R' AND n > 0 GROUP BY kmer HAVING count(DISTINCT next) = 1), mutual AS (SELECT a.kmer, a.next FROM one a WHERE (SELECT count(DISTINCT kmer) FROM one b WHERE b.next = a.next) = 1)
-  SELECT count(*) AS links, count(DISTINCT next) AS targets FROM mutual""")
+#: Both graph_nodes of the nodes, edges between them without noise, and links: each the only way on for one node and the only way back for the other.
+_TURN = "reverse(translate({0},'ACTG','TGAC'))"
+_DIG = "translate({0},'ACTG','0123')"
+VIEWS |= {
+    "graph_nodes": ("nodes", f"SELECT kmer AS node, {_TURN.format('kmer')} AS twin, n FROM nodes UNION SELECT {_TURN.format('kmer')}, kmer, n FROM nodes"),
+    "graph_edges": ("graph_nodes", f"""SELECT a, b, a_twin, b_twin, n FROM (SELECT x.node AS a, x.twin AS a_twin, y.node AS b, y.twin AS b_twin, y.n, sum(y.n) OVER (PARTITION BY x.node) AS total, row_number() OVER (PARTITION BY x.node ORDER BY y.n DESC, {_DIG.format('y.node')}) AS place
+      FROM graph_nodes x JOIN graph_nodes y ON substr(x.node, 2) = substr(y.node, 1, {K - 1})) WHERE n > 0.1 * total OR place = 1"""),
+    "graph_reach": ("graph_edges", """SELECT DISTINCT start FROM (WITH RECURSIVE w AS (SELECT node AS start, node, 1 AS i FROM graph_nodes UNION SELECT w.start, s.b, w.i + 1 FROM w JOIN graph_edges s ON s.a = w.node WHERE w.i < 12) SELECT start FROM w WHERE i = 12)"""),
+    "graph_far_edges": ("graph_edges graph_reach", "SELECT * EXCLUDE (far, any_far) FROM (SELECT *, max(far) OVER (PARTITION BY a) AS any_far FROM (SELECT s.*, r.start IS NOT NULL AS far FROM graph_edges s LEFT JOIN graph_reach r ON r.start = s.b)) WHERE far OR NOT any_far"),
+}
+_CHAINS = """WITH one AS MATERIALIZED (SELECT a, any_value(a_twin) AS a_twin, any_value(b) AS b, any_value(b_twin) AS b_twin FROM {0} GROUP BY a HAVING count(*) = 1),
+  link AS MATERIALIZED (SELECT a, b FROM one x WHERE a <> b AND b <> a_twin AND a <> a_twin AND b <> b_twin AND EXISTS (SELECT 1 FROM one y WHERE y.a = x.b_twin AND y.b = x.a_twin)),
+  line AS MATERIALIZED (SELECT head, node, pos FROM (WITH RECURSIVE w AS (SELECT node AS head, node, 0 AS pos FROM graph_nodes WHERE node NOT IN (SELECT b FROM link) UNION ALL SELECT w.head, l.b, w.pos + 1 FROM w JOIN link l ON l.a = w.node) SELECT * FROM w)),
+  ring AS MATERIALIZED (SELECT head, node, pos FROM (WITH RECURSIVE w AS (SELECT node AS head, node, 0 AS pos FROM graph_nodes WHERE node NOT IN (SELECT node FROM line) UNION ALL SELECT w.head, l.b, w.pos + 1 FROM w JOIN link l ON l.a = w.node WHERE l.b <> w.head) SELECT * FROM w)),
+  rows AS (SELECT head, node, pos, false AS circle FROM line UNION ALL SELECT head, node, pos, true FROM ring WHERE head IN (SELECT arg_min(node, translate(node,'ACTG','0123')) FROM ring GROUP BY head)),
+  told AS (SELECT r.*, s.n, least(translate(node,'ACTG','0123'), translate(twin,'ACTG','0123')) AS d, translate(node,'ACTG','0123') > translate(twin,'ACTG','0123') AS turned FROM rows r JOIN graph_nodes s USING (node))
+  SELECT circle, count(*) AS nodes, round(avg(n), 6) AS abundance, CASE WHEN circle THEN substr(min(node) FILTER (pos = 0) || coalesce(string_agg(right(node, 1), '' ORDER BY pos) FILTER (pos > 0), ''), 1, count(*)) ELSE min(node) FILTER (pos = 0) || coalesce(string_agg(right(node, 1), '' ORDER BY pos) FILTER (pos > 0), '') END AS bases
+  FROM told GROUP BY head, circle HAVING NOT arg_min(turned, d)"""
+
+
+def _unitigs(spark, d, jump=0):
+    return GR.unitigs(KD.count_kmers(V.reads(spark, d), K, 10), K, 0.1, jump)
+
+
+def _contigs(spark, d, jump=0):
+    nodes, _, on = _unitigs(spark, d, jump)
+    return GR.contigs(on, nodes, K).select("circle", "nodes", F.round("abundance", 6).alias("abundance"), "bases")
+
+
+@query("d33_unitigs", "graph_edges", _CHAINS.format("graph_edges"))
 def _(spark, d):
-    e = AS.successors(_nodes(spark, d)).where("side = 'R'").groupBy("kmer").agg(F.count_distinct("next").alias("c"), F.min("next").alias("next")).where("c = 1").select("kmer", "next")
-    single = e.groupBy("next").agg(F.count_distinct("kmer").alias("c")).where("c = 1").select("next")
-    links = e.join(single, "next", "left_semi")
-    return links.agg(F.count("*").alias("links"), F.count_distinct("next").alias("targets"))
+    return _contigs(spark, d)
 
 
-@query("d33_unitig_chains")
+@query("d33_unitig_chains", "graph_far_edges", _CHAINS.format("graph_far_edges"))
 def _(spark, d):
-    n = _nodes(spark, d)
-    e = AS.successors(n).where("side = 'R'").groupBy("kmer").agg(F.count_distinct("next").alias("c"), F.min("next").alias("next")).where("c = 1").select("kmer", "next")
-    single = e.groupBy("next").agg(F.count_distinct("kmer").alias("c")).where("c = 1").select("next")
-    links = e.join(single, "next", "left_semi").select(S.encode("kmer").alias("a"), S.encode("next").alias("b"))
-    return AS.unitigs(links).groupBy("head").agg(F.count("*").alias("nodes"), F.max("steps").alias("steps"))
+    """Unitigs that jump over dead ends of fewer than 12 nodes."""
+    return _contigs(spark, d, 12)
+
+
+#: Ends and beginnings of chains that follow one another in a read are to be connected.
+_ENDS = f"""WITH w AS MATERIALIZED (SELECT spotid, i, substr(bases, i, {K}) AS node FROM (SELECT spotid, bases, unnest(range(1, length(bases) - {K - 2})) AS i FROM reads WHERE length(bases) >= {K})),
+  one AS MATERIALIZED (SELECT a, any_value(a_twin) AS a_twin, any_value(b) AS b, any_value(b_twin) AS b_twin FROM graph_edges GROUP BY a HAVING count(*) = 1),
+  link AS MATERIALIZED (SELECT a, b FROM one x WHERE a <> b AND b <> a_twin AND a <> a_twin AND b <> b_twin AND EXISTS (SELECT 1 FROM one y WHERE y.a = x.b_twin AND y.b = x.a_twin)),
+  marked AS (SELECT spotid, i, node, node NOT IN (SELECT a FROM link) AS ends, node NOT IN (SELECT b FROM link) AS begins FROM w WHERE node IN (SELECT node FROM graph_nodes)),
+  pairs AS MATERIALIZED (SELECT DISTINCT node AS first, after AS last FROM (SELECT *, lead(node) OVER v AS after, lead(begins) OVER v AS fits FROM marked WHERE ends OR begins WINDOW v AS (PARTITION BY spotid ORDER BY i)) WHERE ends AND fits),
+  found AS (SELECT first, last, min(way) AS way, count(*) AS ways FROM (WITH RECURSIVE w AS (SELECT first, last, first AS node, '' AS way, 0 AS i FROM pairs UNION ALL SELECT w.first, w.last, s.b, w.way || right(s.b, 1), w.i + 1 FROM w JOIN graph_edges s ON s.a = w.node WHERE w.i < 6) SELECT * FROM w WHERE i >= 2 AND node = last) GROUP BY ALL)
+  SELECT p.first AS first, p.last AS last, CASE WHEN ways IS NULL THEN 'none' WHEN ways = 1 THEN 'success' ELSE 'ambiguous' END AS status, CASE WHEN ways = 1 THEN way END AS bases FROM pairs p LEFT JOIN found USING (first, last)"""
+
+
+@query("d35_connected_ends", "graph_edges reads", _ENDS)
+def _(spark, d):
+    nodes, found, on = _unitigs(spark, d)
+    linked = GR.links(found, K)
+    marks = nodes.select("node").join(linked.select(F.col("a").alias("node"), F.lit(False).alias("ends")), "node", "left").join(linked.select(F.col("b").alias("node"), F.lit(False).alias("begins")), "node", "left")
+    marks = marks.select("node", F.coalesce("ends", F.lit(True)).alias("ends"), F.coalesce("begins", F.lit(True)).alias("begins")).where("ends OR begins")
+    at = V.reads(spark, d).select("spotid", F.posexplode(S.kmers("bases", K, False)).alias("i", "node")).join(marks, "node")
+    w = Window.partitionBy("spotid").orderBy("i")  # a read
+    met = at.select(F.col("node").alias("first"), "ends", F.lead("node").over(w).alias("last"), F.lead("begins").over(w).alias("fits")).where("ends AND fits")
+    pairs = met.select("first", "last").distinct().select(F.struct("first", "last").alias("id"), "first", "last")
+    told = GR.connect(pairs, found, nodes, 6, most=1 << 13)
+    return told.select(S.decode("id.first", K).alias("first"), S.decode("id.last", K).alias("last"), "status", "bases")

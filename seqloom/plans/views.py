@@ -69,6 +69,8 @@ def tax_of(doc_id: Column) -> Column:
     return (F.lit(100) + doc_id % 25).cast("int")
 
 
+#: Views that a query may name several times and that are to be worked out once.
+ONCE = {"nodes", "edges", "graph_nodes", "graph_edges", "graph_reach", "graph_far_edges"}
 RC = "reverse(translate({0},'ACTG','TGAC'))"
 VIEWS = {
     "reads": ("", "SELECT doc_id AS spotid, upper(regexp_replace(coalesce(text,''),'[^ACGTacgt]','','g')) AS bases, source, lang FROM documents"),
@@ -105,7 +107,7 @@ def with_views(needs: str, sql: str) -> str:
         visit(name)
     if not order:
         return sql
-    head = ", ".join(f"{name} AS ({VIEWS[name][1]})" for name in order)
+    head = ", ".join(f"{name} AS {'MATERIALIZED ' if name in ONCE else ''}({VIEWS[name][1]})" for name in order)
     body = sql.lstrip()
     if body.upper().startswith("WITH "):
         return f"WITH {head}, {body[5:]}"

@@ -46,11 +46,6 @@ def test_agp_flatten_and_remap(spark):
     assert [tuple(r) for r in AG.remap(old, new).collect()] == [("n", 101, 10, "o", 1, True)]
 
 
-def test_unitigs(spark):
-    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (10, 11), (20, 21), (21, 20)], "a long, b long")
-    assert {r.node: r["head"] for r in AS.unitigs(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, 20: 20, 21: 20}
-
-
 def test_histogram_shape(spark):
     rows = spark.createDataFrame([(1, 100), (2, 10), (3, 20), (4, 50), (5, 20)], "n long, kmers long")
     got = AS.histogram_shape(rows).first()
