@@ -49,11 +49,38 @@ def shard_documents(docs: DataFrame, shards: int = 24, weights: list[float] | No
     doc_id go to one shard; repeated rows go to the same shard and get slots of their own; an empty table gives no
     rows; other columns are not looked at.  ``weights`` has one number a shard, and one more for the grown set if wanted.
     """
+    rows = docs.select(*_placed(shards, weights))
+    return numbered(rows, "shard", ["doc_id", "text_crc32", "size"]).select(*COLUMNS)
+
+
+COLUMNS = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
+def _placed(shards: int, weights: list[float] | None) -> list[Column]:
+    """All of COLUMNS but the slot."""
     weights = list(weights or [1.0] * shards)
     grown = weights if len(weights) > shards else [*weights, 1.0]
     text, key = F.coalesce("text", F.lit("")).cast("binary"), F.col("doc_id")
-    rows = docs.select(
-        "doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"),
+    return [
+        key, (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"),
         rendezvous(key, grown[:shards]).alias("shard"), rendezvous(key, grown).alias("grown_shard"),
-    )
-    return numbered(rows, "shard", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    ]
+
+
+def shard_as_written(docs: DataFrame, shards: int = 24, weights: list[float] | None = None) -> DataFrame:
+    """``shard_documents`` of a table read from Parquet files, with ``text, source, lang`` of each row and slots in the order of the rows.
+
+    Rows that were written in an order lie in files that Spark numbers; a shard's slots follow the files' numbers and the
+    rows in each.  So a shard that is read by slot keeps the order of the whole table.  Columns of the files that are named
+    otherwise are not looked at.  A window holds what one file gives one shard; texts are shuffled once, by their place.
+    """
+    file, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    number = F.coalesce(F.regexp_extract(file, r"^part-(\d+)", 1).try_cast("long"), F.lit(-1).cast("long"))
+    rows = docs.select(*_placed(shards, weights), number.alias("_number"), file.alias("_file"), row.alias("_row"))
+    before = Window.partitionBy("shard").orderBy("_number", "_file").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("shard", "_number", "_file").agg(F.count("*").alias("n"))
+    offsets = counts.select("shard", "_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy("shard", "_file").orderBy("_row")) - 1
+    slots = rows.withColumn("_within", within).join(offsets, ["shard", "_file"]).withColumn("slot", F.col("_within") + F.col("_offset"))
+    texts = docs.select(file.alias("_file"), row.alias("_row"), "text", "source", "lang")
+    return slots.select(*COLUMNS, "_file", "_row").join(texts, ["_file", "_row"]).select(*COLUMNS, "text", "source", "lang")

@@ -454,14 +454,60 @@ def test_pipeline_on_awkward_documents(spark, tmp_path, docs, texts):
     held = {i for i, t in kept if i in firsts and like_item(t, item) >= 0.8}
     assert held
     want += [firsts - held] * 3
-    for k, (_, stage) in enumerate(P.STAGES):
-        left = stage(spark, left, str(tmp_path))
+    for k, (name, stage) in enumerate(P.STAGES):
+        stage(spark, left, str(tmp_path)).write.parquet(str(tmp_path / name))
+        left = spark.read.parquet(str(tmp_path / name))
         ids = {r.doc_id for r in left.select("doc_id").collect()}
         assert ids == want[k]
         if k == 2:
             mixed = mixing.mix_sources(left).select("doc_id", "mix_position").collect()
         if k < len(P.STAGES) - 1:
             assert left.columns == columns
-    assert len({r.mix_position for r in mixed}) == len(mixed) == len(want[3])
-    again = sorted(map(tuple, P.run(spark, str(tmp_path)).collect()))
-    assert again == sorted(map(tuple, sharding.shard_documents(docs.where(F.col("doc_id").isin(list(want[4])))).collect()))
+    place = {r.doc_id: r.mix_position for r in mixed}
+    assert len(set(place.values())) == len(mixed) == len(want[3])
+    again = P.run(spark, str(tmp_path)).collect()
+    plain = {r.doc_id: r for r in sharding.shard_documents(docs.where(F.col("doc_id").isin(list(want[4])))).collect()}
+    known = dict(texts)
+    by_shard = defaultdict(list)
+    for r in again:
+        want_row = plain.pop(r.doc_id)
+        assert all(r[c] == want_row[c] for c in sharding.COLUMNS if c != "slot") and r.text == known[r.doc_id]
+        by_shard[r.shard].append((r.slot, place[r.doc_id]))
+    assert not plain
+    for found in by_shard.values():  # slots follow the mix, which they do not if the mix is left out
+        assert [slot for slot, _ in sorted(found)] == list(range(len(found)))
+        assert [at for _, at in sorted(found)] == sorted(at for _, at in found)
+
+
+def test_slots_follow_the_rows_as_written(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.randrange(500), f"text {rng.random()}", rng.choice("abc"), "en", 7) for _ in range(3000)]
+    kind = "doc_id long, text string, source string, lang string, slot int"
+    spark.createDataFrame(rows, kind).repartition(13).write.parquet(str(tmp_path / "t"))
+    written = [[tuple(r) for r in spark.read.parquet(str(f)).collect()] for f in sorted((tmp_path / "t").glob("part-*"))]
+    place = {r[1]: i for i, r in enumerate(r for part in written for r in part)}
+    by_shard = defaultdict(list)
+    for r in sharding.shard_as_written(spark.read.parquet(str(tmp_path / "t")), 5).collect():
+        by_shard[r.shard].append((r.slot, place[r.text]))
+    assert sum(map(len, by_shard.values())) == 3000
+    for found in by_shard.values():
+        assert [s for s, _ in sorted(found)] == list(range(len(found))) and [p for _, p in sorted(found)] == sorted(p for _, p in found)
+
+
+def test_draws_in_plain_python(spark):
+    """The shard of each key, with the hash and the law written out."""
+    import math
+
+    import xxhash
+
+    def shard(key, n):
+        draws = []
+        for i in range(n):
+            h = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+            h = xxhash.xxh64_intdigest(i.to_bytes(4, "little", signed=True), h)
+            draws.append((-1 / math.log(((h >> 11) + 0.5) / (1 << 53)), i))
+        return max(draws)[1]
+
+    got = sharding.shard_documents(spark.range(-200, 400).selectExpr("id * id * id AS doc_id", "'t' AS text"), 24).collect()
+    for r in got:
+        assert (r.shard, r.grown_shard) == (shard(r.doc_id, 24), shard(r.doc_id, 25))
