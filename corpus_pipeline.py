@@ -12,12 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import shared_folder, table
+from seqloom.llm.common import forget, shared_folder, table
 from seqloom.llm.decontamination import decontaminate
 from seqloom.llm.language_id import fit_language_model, with_language
 from seqloom.llm.mixing import mix_sources
 from seqloom.llm.ngram_jaccard import ngram_jaccard_join
-from seqloom.llm.sharding import shard_documents
+from seqloom.llm.sharding import shard_as_written
 
 #: Near copies share this many percent of their distinct five-word shingles.
 NEAR_PERCENT = 80
@@ -53,12 +53,14 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The weights are the sources' row counts to the power 0.7.  They decide where a document comes and never whether it
     stays: behind the place where the first source has no block left, the others go on with their relative shares.
+    The order is that of the files and their rows; the next stage's slots follow it.
     """
     return mix_sources(docs).orderBy(F.asc_nulls_last("mix_position")).select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shard_documents(docs)
+    """Shards of the documents with their texts; slots follow the order in which the mix was written."""
+    return shard_as_written(docs)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -77,7 +79,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before, docs = docs, spark.read.parquet(path)
+        docs._cut_path = path
+        forget(before)  # the stage before; the given table is none
     return docs
 
 
