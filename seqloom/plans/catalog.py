@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.plans import query_assembly, query_counts, query_kmers, query_reports, query_tables, query_taxonomy  # noqa: F401
+from seqloom.plans import query_alleles, query_assembly, query_counts, query_kmers, query_reports, query_tables, query_taxonomy  # noqa: F401
 from seqloom.plans.registry import ORACLES, QUERIES, Query
 from seqloom.plans.views import with_views
 
