@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
+from seqloom.operators.numbering import numbered
 from seqloom.operators.store import cut
 
 
@@ -205,3 +206,87 @@ def connect(pairs: DataFrame, found: DataFrame, nodes: DataFrame, steps: int, le
     out = pairs.select("id").join(walks, "id", "left").join(lost.distinct().withColumn("_over", F.lit(True)), "id", "left")
     status = F.when(F.col("ways") > 1, "ambiguous").when(F.col("_over"), "overflow").when(F.col("ways") == 1, "success").otherwise("none")
     return out.select("id", status.alias("status"), F.when(status == "success", F.col("way")).alias("bases"))
+
+
+def greedy_links(found: DataFrame, nodes: DataFrame, least: int = 1) -> DataFrame:
+    """``a, b``: the steps by which contigs grow when the most frequent k-mers choose first; both strands of each.
+
+    Nodes seen fewer than ``least`` times are left out.  An edge and its twin are one step, between the right side of a and that of b's twin, and
+    each side takes one step.  Steps come in the order of the more frequent k-mer of the two, then of the other one, then of the
+    codes.  Taking them one by one gives what rounds give here: a step is taken that both of its sides like best of those that are left, and
+    sides that were taken leave.  No step leads from a k-mer to itself.
+    """
+    often = nodes.where(F.col("n") >= least)
+    steps = found.join(often.select(F.col("node").alias("a"), F.col("n").alias("_na")), "a").where((F.col("n") >= least) & F.expr("a <> b AND b <> a_twin AND a <> a_twin AND b <> b_twin"))
+    side = lambda x, y: F.struct(F.col(x).alias("p"), F.col(y).alias("q"))
+    ports = F.when(F.col("a") <= F.col("b_twin"), side("a", "b_twin")).otherwise(side("b_twin", "a"))
+    order = F.struct((-F.greatest("_na", "n")).alias("more"), (-F.least("_na", "n")).alias("less"), F.col("s.p").alias("p"), F.col("s.q").alias("q"))
+    left = cut(steps.withColumn("s", ports).select(order.alias("o")).distinct())
+    taken = None
+    while True:
+        ends = left.select("o", F.explode(F.array("o.p", "o.q")).alias("port"))
+        liked = ends.groupBy("port").agg(F.min("o").alias("o"))  # four steps at most
+        won = cut(liked.groupBy("o").count().where("count = 2").select("o.p", "o.q"))
+        taken = won if taken is None else taken.unionByName(won)
+        gone = won.select(F.explode(F.array("p", "q")).alias("port"))
+        seen = Observation()
+        rest = left.join(gone.withColumnRenamed("port", "_p"), F.col("o.p") == F.col("_p"), "left_anti").join(gone.withColumnRenamed("port", "_p"), F.col("o.q") == F.col("_p"), "left_anti")
+        left = cut(rest.observe(seen, F.count("*").alias("n")))
+        if seen.get["n"] == 0:
+            break
+    turned = nodes.select(F.col("node").alias("_x"), "twin")
+    both = taken.join(turned.withColumnsRenamed({"_x": "p", "twin": "p_twin"}), "p").join(turned.withColumnsRenamed({"_x": "q", "twin": "q_twin"}), "q")
+    return both.select(F.explode(F.array(F.struct(F.col("p").alias("a"), F.col("q_twin").alias("b")), F.struct(F.col("q").alias("a"), F.col("p_twin").alias("b")))).alias("e")).select("e.*").distinct()
+
+
+def greedy_contigs(kmers: DataFrame, k: int, least: int = 1) -> DataFrame:
+    """``head, circle, nodes, abundance, bases``: contigs in which each k-mer of ``kmer, n`` seen ``least`` times lies once."""
+    nodes = cut(oriented(kmers.where(F.col("n") >= least), k))
+    return contigs(chains(nodes, greedy_links(edges(nodes, k), nodes, least)), nodes, k)
+
+
+def smallest_rotation(bases: Column, k: int = 21) -> Column:
+    """The smallest text that a circular text of either strand has, begun anywhere.
+
+    It begins with the circle's smallest run of ``k`` bases, so only the places of that run are compared.
+    """
+
+    def of(text: Column) -> Column:
+        n = F.length(text)
+        size = F.least(n, F.lit(k))
+        both = F.struct(F.concat(text, text).cast("binary").alias("twice"), n.alias("n"), size.alias("size"))
+
+        def best(x: Column) -> Column:
+            at = F.sequence(F.lit(1), F.greatest(x["n"], F.lit(1)))
+            low = F.array_min(F.transform(at, lambda i: F.substring(x["twice"], i, x["size"])))
+            places = S.let(F.struct(x.alias("x"), low.alias("low")), lambda y: F.array_min(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(y["x"]["n"], F.lit(1))), lambda i: F.substring(y["x"]["twice"], i, y["x"]["size"]) == y["low"]), lambda i: F.substring(y["x"]["twice"], i, y["x"]["n"]))))
+            return places
+
+        return S.let(both, best)
+
+    return F.least(of(bases), of(S.revcomp(bases))).cast("string")
+
+
+def join_contigs(pieces: DataFrame, overlap: int) -> DataFrame:
+    """``circle, pieces, bases``: contigs of distinct texts ``bases``, joined where ends of ``overlap`` bases are equal and no third one has them.
+
+    A piece may be turned; it counts once, whichever way it is given.  A chain is told by the smaller of its text and that text turned, a circle by its smallest rotation.  Pieces
+    no longer than the overlap stay alone.
+    """
+    once = pieces.select(F.least("bases", S.revcomp("bases")).alias("bases")).distinct()
+    own = cut(numbered(once, "bases").select((F.col("row") * 2).alias("id"), "bases"))
+    ways = F.array(F.struct(F.col("id").alias("node"), F.col("bases").alias("text")), F.struct((F.col("id") + 1).alias("node"), S.revcomp("bases").alias("text")))
+    nodes = own.select(F.explode(ways).alias("w")).select("w.*")
+    long = nodes.where(F.length("text") > overlap)
+    tails = long.select(F.col("node").alias("a"), F.expr(f"right(text, {overlap})").alias("end"))
+    heads = long.select(F.col("node").alias("b"), F.expr(f"left(text, {overlap})").alias("end"))
+    # an end that several pieces have joins none, so such ends leave before the join
+    single = lambda df, c: df.groupBy("end").agg(F.min(c).alias(c), F.count("*").alias("n")).where("n = 1").select("end", c)
+    met = single(tails, "a").join(single(heads, "b"), "end").select("a", "b").where("a <> b AND a DIV 2 <> b DIV 2")
+    on = chains(nodes.select("node"), met)
+    rows = on.join(nodes, "node").groupBy("head", "circle").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("r"))
+    rest = F.array_join(F.transform("r", lambda x: F.substring(x["text"], F.lit(overlap + 1), F.length(x["text"]))), "")
+    text = F.when(F.col("circle"), rest).otherwise(F.concat(F.col("r")[0]["text"], F.array_join(F.transform(F.slice("r", F.lit(2), F.size("r")), lambda x: F.substring(x["text"], F.lit(overlap + 1), F.length(x["text"]))), "")))
+    made = rows.select("circle", F.size("r").cast("long").alias("pieces"), text.alias("t"))
+    told = F.when(F.col("circle"), smallest_rotation(F.col("t"))).otherwise(F.least("t", S.revcomp("t")))
+    return made.select("circle", "pieces", told.alias("bases")).distinct()

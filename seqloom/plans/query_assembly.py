@@ -285,3 +285,29 @@ def _(spark, d):
     pairs = met.select("first", "last").distinct().select(F.struct("first", "last").alias("id"), "first", "last")
     told = GR.connect(pairs, found, nodes, 6, most=1 << 13)
     return told.select(S.decode("id.first", K).alias("first"), S.decode("id.last", K).alias("last"), "status", "bases")
+
+
+@query("c100_greedy_contigs")
+def _(spark, d):
+    return GR.greedy_contigs(KD.count_kmers(V.reads(spark, d), K, 10), K, 10).select("circle", "nodes", F.round("abundance", 6).alias("abundance"), "bases")
+
+
+#: Pieces of 60 bases, every 40 of a read, joined by ends of 20.
+_JOINED = f"""WITH piece AS MATERIALIZED (SELECT row_number() OVER (ORDER BY p) AS id, p FROM (SELECT DISTINCT least(p, {_TURN.format('p')}) AS p FROM (SELECT substr(bases, i * 40 + 1, 60) AS p FROM (SELECT bases, unnest(range(0, (length(bases) - 60) // 40 + 1)) AS i FROM reads WHERE length(bases) >= 60)))),
+  way AS MATERIALIZED (SELECT id, false AS turned, p AS t FROM piece UNION ALL SELECT id, true, {_TURN.format('p')} FROM piece),
+  met AS MATERIALIZED (SELECT a.id AS a, a.turned AS at, b.id AS b, b.turned AS bt, b.t FROM (SELECT right(t, 20) AS e, min(id) AS id, min(turned) AS turned FROM way GROUP BY e HAVING count(*) = 1) a
+    JOIN (SELECT left(t, 20) AS e, min(id) AS id, min(turned) AS turned, min(t) AS t FROM way GROUP BY e HAVING count(*) = 1) b USING (e) WHERE a.id <> b.id),
+  line AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE w AS (SELECT id AS hid, turned AS ht, id, turned, t, 1 AS n FROM way WHERE NOT EXISTS (SELECT 1 FROM met WHERE met.b = way.id AND met.bt = way.turned)
+    UNION ALL SELECT hid, ht, m.b, m.bt, w.t || substr(m.t, 21), n + 1 FROM w JOIN met m ON m.a = w.id AND m.at = w.turned) SELECT * FROM w)),
+  ring AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE w AS (SELECT id AS hid, turned AS ht, id, turned, substr(t, 21) AS t, 1 AS n FROM way WHERE NOT EXISTS (SELECT 1 FROM line WHERE line.id = way.id AND line.turned = way.turned)
+    UNION ALL SELECT hid, ht, m.b, m.bt, w.t || substr(m.t, 21), n + 1 FROM w JOIN met m ON m.a = w.id AND m.at = w.turned WHERE NOT (m.b = hid AND m.bt = ht)) SELECT * FROM w)),
+  whole AS (SELECT arg_max(t, n) AS t, max(n) AS n FROM line GROUP BY hid, ht), whole_ring AS (SELECT arg_max(t, n) AS t, max(n) AS n FROM ring GROUP BY hid, ht)
+  SELECT DISTINCT false AS circle, CAST(n AS BIGINT) AS pieces, least(t, {_TURN.format('t')}) AS bases FROM whole
+  UNION SELECT DISTINCT true, CAST(n AS BIGINT), least(list_min(list_transform(range(1, length(t) + 1), lambda i: substr(t || t, i, length(t)))), list_min(list_transform(range(1, length(t) + 1), lambda i: substr({_TURN.format('t || t')}, i, length(t))))) FROM whole_ring"""
+
+
+@query("d34_joined_pieces", "reads", _JOINED)
+def _(spark, d):
+    last = F.expr("(length(bases) - 60) DIV 40")
+    pieces = V.reads(spark, d).where("length(bases) >= 60").select("bases", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i"))
+    return GR.join_contigs(pieces.select(F.substring("bases", (F.col("i") * 40 + 1).cast("int"), F.lit(60)).alias("bases")), 20)
