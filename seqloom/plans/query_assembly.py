@@ -11,6 +11,7 @@ from seqloom.operators import alignment as AL
 from seqloom.operators import assembly as AS
 from seqloom.operators import graph as GR
 from seqloom.operators import kmerdb as KD
+from seqloom.operators import mates as MT
 from seqloom.plans import views as V
 from seqloom.plans.registry import query
 from seqloom.plans.views import K, VIEWS
@@ -311,3 +312,27 @@ def _(spark, d):
     last = F.expr("(length(bases) - 60) DIV 40")
     pieces = V.reads(spark, d).where("length(bases) >= 60").select("bases", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i"))
     return GR.join_contigs(pieces.select(F.substring("bases", (F.col("i") * 40 + 1).cast("int"), F.lit(60)).alias("bases")), 20)
+
+
+def _mates(spark, d):
+    """Of each read of 75 bases or more the first 40, and bases 36 to 75 the other way round."""
+    r = V.reads(spark, d).where("length(bases) >= 75")
+    return r.select(F.col("spotid").alias("id"), F.substring("bases", 1, 40).alias("first"), S.revcomp(F.substring("bases", 36, 40)).alias("second"))
+
+
+@query("d36_connected_mates")
+def _(spark, d):
+    nodes, found, _ = _unitigs(spark, d)
+    return MT.connect_mates(_mates(spark, d), found, nodes, K, 6, most=1 << 13)
+
+
+@query("d36_insert_sizes")
+def _(spark, d):
+    contigs = V.reads(spark, d).select(F.col("spotid").alias("contig"), "bases")
+    return MT.insert_sizes(_mates(spark, d), contigs, 15)
+
+
+@query("d37_assembly")
+def _(spark, d):
+    reads = V.reads(spark, d).select(F.col("spotid").alias("id"), "bases")
+    return MT.assemble(reads, [K, 15, 21], 10).select("k", "circle", "nodes", F.round("abundance", 6).alias("abundance"), "bases")
