@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators.intervals import range_join
+from seqloom.operators.store import cut
+
 COLUMNS = ["object", "beg", "end", "component", "cbeg", "cend", "strand"]
 
 
@@ -21,22 +24,24 @@ def clean(agp: DataFrame) -> DataFrame:
 
 def compose(outer: DataFrame, inner: DataFrame) -> DataFrame:
     """Records of ``inner`` placed on the objects of ``outer``; a part that an outer record cuts is an error."""
-    i = inner.select(F.col("object").alias("component"), F.col("beg").alias("b2"), F.col("end").alias("e2"), F.col("component").alias("c2"), F.col("cbeg").alias("cb2"), F.col("cend").alias("ce2"), F.col("strand").alias("s2"))
-    j = outer.join(i, "component").where("b2 <= cend AND e2 >= cbeg")
+    i = inner.select(F.col("object").alias("component"), F.col("beg").alias("r_start"), F.col("end").alias("r_end"), F.col("component").alias("c2"), F.col("cbeg").alias("cb2"), F.col("cend").alias("ce2"), F.col("strand").alias("s2"))
+    o = outer.select("object", F.col("beg").alias("o_beg"), F.col("end").alias("o_end"), "component", F.col("cbeg").alias("start"), F.col("cend").alias("end"), "strand")
+    j = range_join(o, i, ["component"])
     split = F.raise_error(F.concat(F.lit("a part is split: "), F.col("c2"))).cast("bigint")
-    beg = F.when((F.col("b2") < F.col("cbeg")) | (F.col("e2") > F.col("cend")), split).when(F.col("strand") == 1, F.col("beg") + F.col("b2") - F.col("cbeg")).otherwise(F.col("end") - (F.col("e2") - F.col("cbeg")))
-    return j.select("object", beg.alias("beg"), (beg + F.col("e2") - F.col("b2")).alias("end"), F.col("c2").alias("component"), F.col("cb2").alias("cbeg"), F.col("ce2").alias("cend"), (F.col("strand") * F.col("s2")).alias("strand"))
+    there = F.when(F.col("strand") == 1, F.col("o_beg") + F.col("r_start") - F.col("start")).otherwise(F.col("o_end") - (F.col("r_end") - F.col("start")))
+    beg = F.when((F.col("r_start") < F.col("start")) | (F.col("r_end") > F.col("end")), split).otherwise(there)
+    return j.select("object", beg.alias("beg"), (beg + F.col("r_end") - F.col("r_start")).alias("end"), F.col("c2").alias("component"), F.col("cb2").alias("cbeg"), F.col("ce2").alias("cend"), (F.col("strand") * F.col("s2")).alias("strand"))
 
 
 def flatten(agp: DataFrame, most: int = 20) -> DataFrame:
-    """Top-level objects in terms of components that are no objects; the depth of nesting is at most ``most``."""
-    agp = agp.select(*COLUMNS)
-    objects = agp.select(F.col("object").alias("component")).distinct()
-    level, done = agp.join(top_level(agp), "object", "left_semi"), None
+    """Top-level objects in terms of components that are no objects; the depth of nesting is at most ``most``.  Each level is a stored table."""
+    agp = cut(agp.select(*COLUMNS))
+    objects = cut(agp.select(F.col("object").alias("component")).distinct())
+    level, done = cut(agp.join(top_level(agp), "object", "left_semi")), None
     for _ in range(most):
         leaves = level.join(objects, "component", "left_anti").select(*COLUMNS)
         done = leaves if done is None else done.unionByName(leaves)
-        level = compose(level.join(objects, "component", "left_semi").select(*COLUMNS), agp)
+        level = cut(compose(level.join(objects, "component", "left_semi").select(*COLUMNS), agp))
         if level.isEmpty():
             return done
     raise ValueError("the description nests too deep or in a circle")
@@ -50,23 +55,35 @@ def pieces(one: DataFrame, two: DataFrame) -> DataFrame:
     return marks.select("component", F.col("p").alias("cbeg"), (F.lead("p").over(w) - 1).alias("cend")).where("cend IS NOT NULL")
 
 
-def place(agp: DataFrame, cut: DataFrame) -> DataFrame:
+def place(agp: DataFrame, parts: DataFrame) -> DataFrame:
     """Where the pieces lie on a build's objects."""
-    p = cut.select("component", F.col("cbeg").alias("pb"), F.col("cend").alias("pe"))
-    j = agp.join(p, "component").where("pb >= cbeg AND pe <= cend")
-    beg = F.when(F.col("strand") == 1, F.col("beg") + F.col("pb") - F.col("cbeg")).otherwise(F.col("end") - (F.col("pe") - F.col("cbeg")))
-    return j.select("component", F.col("pb").alias("cbeg"), F.col("pe").alias("cend"), "object", beg.alias("beg"), (beg + F.col("pe") - F.col("pb")).alias("end"), "strand")
+    p = parts.select("component", F.col("cbeg").alias("r_start"), F.col("cend").alias("r_end"))
+    a = agp.select("object", F.col("beg").alias("o_beg"), F.col("end").alias("o_end"), "component", F.col("cbeg").alias("start"), F.col("cend").alias("end"), "strand")
+    j = range_join(a, p, ["component"]).where("r_start >= start AND r_end <= end")
+    beg = F.when(F.col("strand") == 1, F.col("o_beg") + F.col("r_start") - F.col("start")).otherwise(F.col("o_end") - (F.col("r_end") - F.col("start")))
+    return j.select("component", F.col("r_start").alias("cbeg"), F.col("r_end").alias("cend"), "object", beg.alias("beg"), (beg + F.col("r_end") - F.col("r_start")).alias("end"), "strand")
 
 
-def remap(source: DataFrame, result: DataFrame) -> DataFrame:
+def remap(source: DataFrame, result: DataFrame, replaced: DataFrame | None = None) -> DataFrame:
     """``seqid, start, length, component, offset, reversed``: places on the result that come from places on the source.
 
-    Pieces that lie at several places of either build are left out, since nothing tells which belong together.
+    A piece that lies at one place of either build is a pair.  Of pieces at several places those pairs count whose object of the source has been replaced by that
+    of the result, which ``replaced`` says (``old, new``); without it, or where it names neither, such pieces are left out, since nothing tells which belong together.
     """
-    cut = pieces(source, result)
-    once = lambda b: place(b, cut).withColumn("_n", F.count("*").over(Window.partitionBy("component", "cbeg"))).where("_n = 1").drop("_n")
-    s = once(source).select("component", "cbeg", F.col("object").alias("from_object"), F.col("beg").alias("from_beg"), F.col("strand").alias("from_strand"))
-    j = once(result).join(s, ["component", "cbeg"])
+    parts = cut(pieces(source, result))
+    piece = ["component", "cbeg"]
+
+    def at(build: DataFrame, name: str) -> DataFrame:
+        return place(build, parts).withColumn(f"{name}_n", F.count("*").over(Window.partitionBy(*piece)))
+
+    s = cut(at(source, "from").select(*piece, F.col("object").alias("from_object"), F.col("beg").alias("from_beg"), F.col("strand").alias("from_strand"), "from_n"))
+    r = cut(at(result, "to"))
+    j = r.where("to_n = 1").join(s.where("from_n = 1"), piece)
+    if replaced is not None:
+        known = replaced.select(F.col("old").alias("from_object"), F.col("new").alias("object")).distinct()
+        # the accession that replaced a place's own goes with it, so a piece's places never meet all at once
+        several = s.join(known, "from_object").join(r, [*piece, "object"]).where("to_n > 1 OR from_n > 1")
+        j = j.unionByName(several.select(*j.columns))
     pairs = j.select(F.col("object").alias("seqid"), F.col("beg").alias("start"), (F.col("end") - F.col("beg") + 1).alias("length"), F.col("from_object").alias("component"), F.col("from_beg").alias("offset"), (F.col("strand") != F.col("from_strand")).alias("reversed"))
     return compact(pairs)
 

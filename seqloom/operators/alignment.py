@@ -149,6 +149,152 @@ def align(query: str, subject: str, mode: str = "global", match: int = 1, mismat
     }
 
 
+#: Cells of a batch whose flags are held at once, and about how many cells a step works on.
+BATCH, STEP = 1 << 26, 1 << 17
+_OPS = "MID"
+
+
+class _Batch:
+    """The same recurrence for several pairs of like lengths: a step is a row of all of them, and the way back is walked by all at once."""
+
+    def __init__(self, pairs, mode, match, mismatch, opening, extension, bands):
+        self.pairs, self.clamp, self.anywhere = pairs, mode in ("local", "right"), mode in ("local", "left")
+        self.match, self.mismatch, self.opening, self.extension = np.int32(match), np.int32(mismatch), opening, extension
+        self.n, self.m = (np.array([len(p[x]) for p in pairs]) for x in (0, 1))
+        rows, columns = int(self.n.max()), int(self.m.max())
+        self.q, self.s = np.zeros((len(pairs), rows), np.uint32), np.zeros((len(pairs), columns), np.uint32)
+        for b, (q, s) in enumerate(pairs):
+            self.q[b, : len(q)], self.s[b, : len(s)] = _codes(q), _codes(s)
+        self.low, self.high = None, None
+        if bands is not None:
+            self.low, self.high = (np.array([x[1] + way * x[0] for x in bands])[:, None] for way in (-1, 1))
+        self.places = np.arange(columns + 1)
+        self.ramp = (extension * self.places).astype(np.int32)
+        self.flags = np.zeros((rows + 1, len(pairs), columns + 1), np.uint8)
+
+    def outside(self, i):
+        return None if self.low is None else (self.places < self.low + i) | (self.places > self.high + i)
+
+    def forward(self):
+        """Scores and ends of all pairs."""
+        count, columns = self.s.shape[0], self.s.shape[1]
+        h = np.zeros((count, columns + 1), np.int32) if self.clamp else np.repeat(-(self.opening + self.ramp)[None], count, 0)
+        h[:, 0] = 0
+        if (out := self.outside(0)) is not None:
+            h[out] = LOW
+        e = np.full_like(h, LOW)
+        beyond = self.places > self.m[:, None]
+        seen = np.where(beyond, np.int32(2 * LOW), h)
+        at = seen.argmax(1)
+        score, end_i, end_j = seen[np.arange(count), at], np.zeros(count, np.int64), at
+        if not self.anywhere:
+            score, end_i, end_j = h[np.arange(count), self.m].copy(), self.n.copy(), self.m.copy()
+        cross = np.full_like(h, LOW)
+        for i in range(1, self.q.shape[1] + 1):
+            fresh, grow = h - np.int32(self.opening + self.extension), e - np.int32(self.extension)
+            down = np.maximum(fresh, grow)
+            cross[:, 1:] = h[:, :-1] + np.where(self.s == self.q[:, i - 1, None], self.match, self.mismatch)
+            cross[:, 0], down[:, 0] = 0 if self.clamp else -(self.opening + self.extension * i), LOW
+            own = np.maximum(cross, down)
+            if self.clamp:
+                own = np.maximum(own, 0)
+            if (out := self.outside(i)) is not None:
+                own[out] = LOW
+            along = np.full_like(h, LOW)
+            along[:, 1:] = np.maximum.accumulate(own + self.ramp, 1)[:, :-1] - self.ramp[1:] - np.int32(self.opening)
+            best = np.maximum(own, along)
+            f = (cross > np.maximum(down, along)).view(np.uint8) * np.uint8(DIAGONAL)
+            f += (down >= along).view(np.uint8) * np.uint8(QUERY)
+            f += (grow > fresh).view(np.uint8) * np.uint8(LONGER_I)
+            f[:, 1:] += (along[:, :-1] > best[:, :-1] - np.int32(self.opening)).view(np.uint8) * np.uint8(LONGER_D)
+            if self.clamp:
+                f += (best == 0).view(np.uint8) * np.uint8(STOP)
+            if out is not None:
+                best[out], down[out] = LOW, LOW
+            self.flags[i], h, e = f, best, down
+            if self.anywhere:
+                seen = np.where(beyond, np.int32(2 * LOW), h)
+                j = seen.argmax(1)
+                top = seen[np.arange(count), j]
+                more = (top > score) & (i <= self.n)
+                score, end_i, end_j = np.where(more, top, score), np.where(more, i, end_i), np.where(more, j, end_j)
+            else:
+                ends = np.flatnonzero(self.n == i)
+                score[ends] = h[ends, self.m[ends]]
+        return score, end_i, end_j
+
+    def back(self, i, j):
+        """Operations of all pairs from their ends, as (steps, pairs) with -1 where a pair has come to its beginning, and the beginnings."""
+        i, j, gap = i.copy(), j.copy(), np.zeros(len(i), np.int64)
+        pair, ops = np.arange(len(i)), []
+        going = (i > 0) | (j > 0)
+        while going.any():
+            edge = (i == 0) | (j == 0)
+            if self.clamp:
+                going &= ~edge
+            flag = self.flags[i, pair, j]
+            going &= edge | (gap > 0) | (flag & STOP == 0)
+            if not going.any():
+                break
+            fresh = np.where(flag & DIAGONAL, 0, np.where(flag & QUERY, 1, 2))
+            op = np.where(edge, np.where(i > 0, 1, 2), np.where(gap > 0, gap, fresh))
+            longer = np.where(op == 1, flag & LONGER_I, flag & LONGER_D) > 0
+            gap = np.where((op > 0) & longer & ~edge, op, 0)
+            ops.append(np.where(going, op, -1))
+            i, j = i - (going & (op != 2)), j - (going & (op != 1))
+            going &= (i > 0) | (j > 0)
+        return np.array(ops).reshape(len(ops), len(pair)), i, j
+
+    def results(self):
+        score, end_i, end_j = self.forward()
+        lost = score < LOW // 2
+        ops, start_i, start_j = self.back(np.where(lost, 0, end_i), np.where(lost, 0, end_j))
+        out = []
+        for b in range(len(self.pairs)):
+            if lost[b]:
+                out.append(dict.fromkeys(("score", "cigar", "query_start", "query_end", "subject_start", "subject_end", "matches", "distance")))
+                continue
+            own = ops[:, b]
+            own = own[own >= 0][::-1]
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1])))
+            runs = np.diff(np.append(first, len(own)))
+            i, j = (start_i[b] + np.cumsum(own != 2) - 1)[own == 0], (start_j[b] + np.cumsum(own != 1) - 1)[own == 0]
+            matches = int((self.q[b, i] == self.s[b, j]).sum())
+            out.append({
+                "score": int(score[b]), "cigar": "".join(f"{k}{_OPS[own[a]]}" for k, a in zip(runs.tolist(), first.tolist(), strict=True)), "query_start": int(start_i[b]), "query_end": int(end_i[b]),
+                "subject_start": int(start_j[b]), "subject_end": int(end_j[b]), "matches": matches, "distance": len(own) - matches,
+            })
+        return out
+
+
+def align_many(pairs: list[tuple[str, str]], mode: str = "global", match: int = 1, mismatch: int = -2, opening: int = 5, extension: int = 2, bands: list[tuple[int, int]] | None = None, cells: int = BATCH) -> list[dict]:
+    """What ``align`` tells of each pair, for many at once; ``bands``: the band and shift of each.
+
+    Pairs are sorted by length, so that those of a batch waste few cells; a batch holds ``cells`` flags, and a pair that has more
+    is aligned alone, in less memory.
+    """
+    order = sorted(range(len(pairs)), key=lambda x: (len(pairs[x][0]), len(pairs[x][1])))
+    out: list = [None] * len(pairs)
+    at = 0
+    while at < len(order):
+        some, rows, columns = [], 0, 0
+        while at < len(order):
+            q, s = pairs[order[at]]
+            r, c = len(q) + 1, max(columns, len(s) + 1)
+            if some and ((len(some) + 1) * r * c > cells or len(some) * c > STEP or r > rows * 1.25 + 16):
+                break
+            some.append(order[at])
+            columns, at = c, at + 1
+            rows = rows or r
+        if len(some) == 1 and (len(pairs[some[0]][0]) + 1) * columns > cells:
+            band, shift = (None, 0) if bands is None else bands[some[0]]
+            out[some[0]] = align(*pairs[some[0]], mode, match, mismatch, opening, extension, band, shift)
+            continue
+        for x, result in zip(some, _Batch([pairs[x] for x in some], mode, match, mismatch, opening, extension, None if bands is None else [bands[x] for x in some]).results(), strict=True):
+            out[x] = result
+    return out
+
+
 def align_pairs(pairs: DataFrame, mode: str = "global", band: int | None = None, parts: int | None = None) -> DataFrame:
     """``pairs`` with ``query, subject`` and what ``align`` tells of them; a null text counts as empty.
 
@@ -159,7 +305,8 @@ def align_pairs(pairs: DataFrame, mode: str = "global", band: int | None = None,
 
     @F.pandas_udf(kinds)
     def run(q: pd.Series, s: pd.Series) -> pd.DataFrame:
-        rows = pd.DataFrame([align(a or "", b or "", mode, band=band) for a, b in zip(q, s, strict=True)], columns=[k.split()[0] for k in kinds.split(", ")])
+        pairs = [(a or "", b or "") for a, b in zip(q, s, strict=True)]
+        rows = pd.DataFrame(align_many(pairs, mode, bands=None if band is None else [(band, 0)] * len(pairs)), columns=[k.split()[0] for k in kinds.split(", ")])
         return rows.astype({c: "Int32" for c in rows.columns if c != "cigar"})
 
     dealt = pairs.repartition(parts or 4 * pairs.sparkSession.sparkContext.defaultParallelism)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
-from seqloom.operators.alignment import align
+from seqloom.operators.alignment import align_many
 from seqloom.operators.assembly import STARTS, STOPS, diagonal_runs
 from seqloom.operators.intervals import range_join
 from seqloom.operators.store import cut
@@ -126,10 +126,9 @@ def _aligned(rows: DataFrame, match: int, mismatch: int, opening: int, extension
 
     @F.pandas_udf(kinds)
     def run(q: pd.Series, s: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, b, lo, hi in zip(q, s, low, high, strict=True):
-            x = align(a, b, "local", match, mismatch, opening, extension, (hi - lo + 1) // 2 + margin + len(a) // 10, (lo + hi) // 2)
-            out.append((x["query_start"], x["query_end"], x["subject_start"], x["subject_end"], x["matches"]))
+        bands = [(int(hi - lo + 1) // 2 + margin + len(x) // 10, int(lo + hi) // 2) for x, lo, hi in zip(q, low, high, strict=True)]
+        found = align_many(list(zip(q, s, strict=True)), "local", match, mismatch, opening, extension, bands)
+        out = [(x["query_start"], x["query_end"], x["subject_start"], x["subject_end"], x["matches"]) for x in found]
         return pd.DataFrame(out, columns=[k.split()[0] for k in kinds.split(", ")]).astype("Int32")
 
     return rows.withColumn("_a", run("query", "text", "low", "high")).select("*", "_a.*").drop("_a")

@@ -12,9 +12,11 @@ from seqloom.operators import assembly as AS
 from seqloom.operators import graph as GR
 from seqloom.operators import kmerdb as KD
 from seqloom.operators import mates as MT
+from seqloom.operators.store import shared_folder
 from seqloom.plans import views as V
 from seqloom.plans.registry import query
 from seqloom.plans.views import K, VIEWS
+from seqloom.sources.files import read_nested
 
 _CANON = "translate(least(translate({0},'ACTG','0123'), translate(reverse(translate({0},'ACTG','TGAC')),'ACTG','0123')),'0123','ACTG')"
 _AGP = "sum(100 + c_custkey % 50) OVER (PARTITION BY {0} ORDER BY {1} ROWS UNBOUNDED PRECEDING)"
@@ -336,3 +338,34 @@ def _(spark, d):
 def _(spark, d):
     reads = V.reads(spark, d).select(F.col("spotid").alias("id"), "bases")
     return MT.assemble(reads, [K, 15, 21], 10).select("k", "circle", "nodes", F.round("abundance", 6).alias("abundance"), "bases")
+
+
+_REMAP = """WITH p AS (SELECT n.object AS seqid, n.beg AS start, n."end" - n.beg + 1 AS length, {0} AS component, o.beg AS "offset", n.strand <> o.strand AS reversed FROM agp_new n JOIN agp_old o USING (component)),
+  f AS (SELECT *, CASE WHEN lag(component) OVER v = component AND lag(reversed) OVER v = reversed AND lag(start) OVER v + lag(length) OVER v = start AND CASE WHEN reversed THEN "offset" + length = lag("offset") OVER v ELSE lag("offset") OVER v + lag(length) OVER v = "offset" END THEN 0 ELSE 1 END AS fresh FROM p WINDOW v AS (PARTITION BY seqid ORDER BY start)),
+  r AS (SELECT *, sum(fresh) OVER (PARTITION BY seqid ORDER BY start ROWS UNBOUNDED PRECEDING) AS run FROM f)
+  SELECT seqid, min(start) AS start, CAST(sum(length) AS BIGINT) AS length, component, min("offset") AS "offset", reversed FROM r GROUP BY seqid, run, component, reversed"""
+
+
+@query("e8_remap_rows", "agp_old agp_new", _REMAP.format("o.object"))
+def _(spark, d):
+    return AG.remap(_agp(spark, d, False), _agp(spark, d, True))
+
+
+@query("e8_superseded", "agp_old agp_new", _REMAP.format("'dup' || o.object"))
+def _(spark, d):
+    """Each component lies in two objects of the source, of which one has been replaced by an object of the result."""
+    old = _agp(spark, d, False)
+    twice = old.unionByName(old.withColumn("object", F.concat(F.lit("dup"), "object")))
+    nations = V.table(spark, d, "nation").select(F.concat(F.lit("dupscaf"), "n_nationkey").alias("old"), F.concat(F.lit("chrom"), F.col("n_nationkey") % 5).alias("new"))
+    return AG.remap(twice, _agp(spark, d, True), nations)
+
+
+@query("e2_nested_lines", "agp_old", "SELECT object, beg, \"end\", component FROM agp_old")
+def _(spark, d):
+    """Descriptions written as gz files, read as nested files are."""
+    path = shared_folder(spark, "agp")
+    lines = _agp(spark, d, False).select(F.concat_ws("\t", "object", "beg", "end", "component").alias("line"))
+    lines.write.option("compression", "gzip").text(path)
+    f = F.split("line", "\t")
+    read = read_nested(spark, f"{path}/*.gz")
+    return read.select(f[0].alias("object"), f[1].cast("long").alias("beg"), f[2].cast("long").alias("end"), f[3].alias("component"))

@@ -6,32 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
+from seqloom.sources.files import read_binary_index, read_fastq, read_nested, read_pairs  # noqa: F401
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """``spotid, description, bases, path`` of FASTA files, wrapped or not, with either kind of line end.
+def parse_fasta(rows: DataFrame) -> DataFrame:
+    """``spotid, description, bases`` and the other columns, of records ``value`` that begin behind a ``>`` at a line's start or, a file's first one, with it.
 
-    The id ends at the first space or slash.  A ``>`` begins a record only at the start of a line.  A record without bases is
-    an error.
+    The id ends at the first space or slash.  Lines may end either way.  A record without bases is an error.
     """
-    record = F.regexp_replace("value", "^>", "").alias("value")  # of the first one
-    rows = spark.read.option("lineSep", "\n>").text(path).select(record, F.input_file_name().alias("path")).where("trim(value) <> ''")
+    rows = rows.withColumn("value", F.regexp_replace("value", "^>", "")).where("trim(value) <> ''")
     lines = F.split(F.replace("value", F.lit("\r"), F.lit("")), "\n")
-    parsed = rows.select(lines[0].alias("description"), F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "").alias("bases"), "path")
+    rest = [c for c in rows.columns if c != "value"]
+    parsed = rows.select(F.get(lines, F.lit(0)).alias("description"), F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "").alias("bases"), *rest)
     checked = F.when(F.col("bases") == "", F.raise_error(F.concat(F.lit("empty read "), F.col("description")))).otherwise(F.col("bases"))
-    return parsed.select(F.regexp_extract("description", "^[^ /]*", 0).alias("spotid"), "description", checked.alias("bases"), "path")
-
+    return parsed.select(F.regexp_extract("description", "^[^ /]*", 0).alias("spotid"), "description", checked.alias("bases"), *rest)
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """``spotid, bases, quals`` of FASTQ files with four-line records; gz files are read as well.
 
-    A quality line may begin with ``@``, so records are told by counting lines from the file's start: a file is read by one
-    task and must be below 2 GB.
-    """
-    rows = spark.read.text(path, wholetext=True).select(F.split(F.replace("value", F.lit("\r"), F.lit("")), "\n").alias("l"))
-    at = F.sequence(F.lit(0), F.expr("size(l) DIV 4 - 1"))
-    records = rows.where("size(l) >= 4").select(F.explode(F.transform(at, lambda i: F.slice("l", i * 4 + 1, 4))).alias("r"))
-    return records.select(F.regexp_extract(F.element_at("r", 1), "^@([^ /]*)", 1).alias("spotid"), F.element_at("r", 2).alias("bases"), F.element_at("r", 4).alias("quals"))
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """``spotid, description, bases, path`` of FASTA files, wrapped or not; a ``>`` begins a record only at the start of a line."""
+    return parse_fasta(spark.read.option("lineSep", "\n>").text(path).select("value", F.input_file_name().alias("path")))
 
 
 def parse_sam(lines: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from functools import cache
 
 import pytest
 
-from seqloom.operators.alignment import align, align_pairs
+from seqloom.operators.alignment import align, align_pairs, align_many
 
 MATCH, MISMATCH, OPENING, EXTENSION = 1, -2, 5, 2
 
@@ -90,3 +90,22 @@ def test_pairs(spark):
     assert got == [(1, 4, "4M"), (1, 4, "4M"), (2, -9, "2D"), (3, 0, "")]
     assert align_pairs(rows.limit(0)).count() == 0
     assert {r.score for r in align_pairs(rows.where("spotid = 2"), "local", band=4).collect()} == {0}
+
+
+@pytest.mark.parametrize("mode", ["global", "local", "left", "right"])
+def test_batches_equal_single_pairs(mode):
+    rng = random.Random(mode)
+    text = lambda n: "".join(rng.choice("ACGT" if rng.random() < 0.9 else "é😀") for _ in range(n))
+    pairs = [("", ""), ("A", ""), ("", "CG"), ("ACGT", "ACGT")]
+    for _ in range(150):
+        q = text(rng.randrange(0, 60))
+        s = list(q)
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(s) + 1)
+            s[at : at + rng.randrange(3)] = text(rng.randrange(4))
+        pairs.append((q, "".join(s) if rng.random() < 0.8 else text(rng.randrange(60))))
+    assert align_many(pairs, mode) == [align(q, s, mode) for q, s in pairs]
+    assert align_many(pairs, mode, 1, -1, 8, 2, cells=3000) == [align(q, s, mode, 1, -1, 8, 2) for q, s in pairs]
+    bands = [(rng.randrange(0, 12), rng.randrange(-6, 7)) for _ in pairs]
+    assert align_many(pairs, mode, bands=bands) == [align(q, s, mode, band=b, shift=x) for (q, s), (b, x) in zip(pairs, bands, strict=True)]
+    assert align_many([], mode) == []
