@@ -27,18 +27,23 @@ def dispositions(alignments: DataFrame, features: DataFrame, mode: str = "UNION"
     LOW has too little mapping quality; AMB touches a feature ambiguously; NOFT meets no feature; NC meets
     none or several without ambiguity.
     """
-    a = alignments.select("id", F.col("refspec").alias("ref"), "mapq", "reversed", cigar_segments(F.col("cigar"), F.col("refpos")).alias("aligned"))
-    low = F.col("mapq") < min_mapq if min_mapq >= 1 else F.lit(False)
-    a = a.withColumn("start", F.col("aligned")[0]["start"]).withColumn("end", F.try_element_at("aligned", F.lit(-1))["end"]).withColumn("low", low)
-    good = a.where("NOT low AND start IS NOT NULL")
+    low = F.coalesce(F.col("mapq") < min_mapq, F.lit(False)) if min_mapq >= 1 else F.lit(False)
+    a = alignments.select("id", F.col("refspec").alias("ref"), low.alias("low"), "reversed", cigar_segments(F.col("cigar"), F.col("refpos")).alias("aligned"))
+    a = a.select("*", F.get("aligned", F.lit(0))["start"].alias("start"), F.try_element_at("aligned", F.lit(-1))["end"].alias("end"))
+    a = cut(a)  # CIGAR strings are parsed once
+    good = a.where("NOT low AND start IS NOT NULL").drop("low")
     f = features.select("ref", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("id").alias("feature"), "reverse", "segs")
     met = range_join(good, f, ["ref"])
     if not ignore_strand:
         met = met.where(F.col("reversed") == F.col("reverse"))
-    judged = met.select("id", "feature", compare_segments(F.col("aligned"), F.col("segs"), mode).alias("result"))
-    folded = judged.groupBy("id").agg(F.count_if(F.col("result") == "AMBIGUOUS").alias("amb"), F.count_if(F.col("result") == "FEATURE").alias("hits"), F.max(F.when(F.col("result") == "FEATURE", F.col("feature"))).alias("feature"))
-    named = F.when(F.col("low"), "LOW").when(F.col("amb") > 0, "AMB").when(F.col("amb").isNull(), "NOFT").when(F.col("hits") == 1, F.col("feature")).otherwise("NC")
-    return a.select("id", "low").join(folded, "id", "left").select("id", named.alias("disposition"))
+    none, no = F.lit(None).cast("string"), F.lit(0)
+    judged = met.select("id", no.alias("low"), no.alias("rest"), "feature", compare_segments(F.col("aligned"), F.col("segs"), mode).alias("result"))
+    # every alignment goes along with what it met, so one shuffle by id tells all
+    rows = a.select("id", F.col("low").cast("int").alias("low"), (~F.col("low")).cast("int").alias("rest"), none.alias("feature"), none.alias("result")).unionByName(judged)
+    folded = rows.groupBy("id").agg(F.sum("low").alias("low"), F.sum("rest").alias("rest"), F.count("result").alias("met"), F.count_if(F.col("result") == "AMBIGUOUS").alias("amb"), F.count_if(F.col("result") == "FEATURE").alias("hits"), F.max(F.when(F.col("result") == "FEATURE", F.col("feature"))).alias("feature"))
+    named = F.when(F.col("amb") > 0, "AMB").when(F.col("met") == 0, "NOFT").when(F.col("hits") == 1, F.col("feature")).otherwise("NC")
+    times = lambda x, n: F.array_repeat(x, F.col(n).cast("int"))  # noqa: E731  an id that repeats is a row each time
+    return folded.select("id", F.explode(F.concat(times(F.lit("LOW"), "low"), times(named, "rest"))).alias("disposition"))
 
 
 def count_features(disposed: DataFrame, features: DataFrame) -> DataFrame:

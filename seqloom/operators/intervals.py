@@ -152,7 +152,15 @@ def policy(mode: str, gen: Column, amb: Column, out: Column) -> Column:
 
 def compare_segments(aligned: Column, segs: Column, mode: str) -> Column:
     """Result of comparing an array of start, end with an array of start, end, amb."""
-    touch = lambda want: F.exists(aligned, lambda a: F.exists(segs, lambda g: (g["amb"] == F.lit(want)) & (a["start"] <= g["end"]) & (a["end"] >= g["start"])))
-    total = F.aggregate(aligned, F.lit(0).cast("long"), lambda s, a: s + a["end"] - a["start"] + 1)
-    shared = F.aggregate(F.transform(aligned, lambda a: F.aggregate(segs, F.lit(0).cast("long"), lambda s, g: s + overlap_len(a["start"], a["end"], g["start"], g["end"]))), F.lit(0).cast("long"), lambda s, x: s + x)
-    return policy(mode, touch(False), touch(True), shared < total)
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(False).alias("gen"), F.lit(False).alias("amb"), zero.alias("shared"), zero.alias("total"))
+
+    def with_segment(acc: Column, a: Column, g: Column) -> Column:
+        n = overlap_len(a["start"], a["end"], g["start"], g["end"])
+        return F.struct((acc["gen"] | ((n > 0) & ~g["amb"])).alias("gen"), (acc["amb"] | ((n > 0) & g["amb"])).alias("amb"), (acc["shared"] + n).alias("shared"), acc["total"].alias("total"))
+
+    def with_stretch(acc: Column, a: Column) -> Column:
+        grown = F.struct(acc["gen"].alias("gen"), acc["amb"].alias("amb"), acc["shared"].alias("shared"), (acc["total"] + a["end"] - a["start"] + 1).alias("total"))
+        return F.aggregate(segs, grown, lambda inner, g: with_segment(inner, a, g))
+
+    return F.aggregate(aligned, start, with_stretch, lambda x: policy(mode, x["gen"], x["amb"], x["shared"] < x["total"]))
