@@ -182,6 +182,19 @@ def connectivity(contigs: DataFrame, reads: DataFrame, k: int, slack: int = 2) -
     return both.where(F.abs(F.abs(F.col("last") - F.col("first")) - F.col("apart")) <= slack).select("contig", "spotid", "first", "last").distinct()
 
 
+def longest_connections(connected: DataFrame, k: int, near: int = 1000) -> DataFrame:
+    """``contig, pos, len``: the longest connection that begins at a place, of single reads and of mates.
+
+    ``connected``: rows of ``connectivity`` with ``spot, mate``.  A read connects from its left k-mer to the end of its right one; the first place of several
+    counts for mates.  Two mates of a spot in one contig, less than ``near`` apart, connect from the left one's begin to the right one's end.
+    """
+    reads = connected.select("contig", "spot", "mate", F.least("first", "last").alias("pos"), (F.abs(F.col("last") - F.col("first")) + k).alias("len"))
+    one = reads.groupBy("contig", "spot", "mate").agg(F.min(F.struct("pos", "len")).alias("m"))
+    ends = one.groupBy("contig", "spot").agg(F.min("m").alias("a"), F.max("m").alias("b"), F.count("*").alias("n")).where(F.col("n") == 2)
+    mates = ends.where(F.col("b.pos") - F.col("a.pos") < near).select("contig", F.col("a.pos").alias("pos"), (F.col("b.pos") - F.col("a.pos") + F.col("b.len")).alias("len"))
+    return reads.select("contig", "pos", "len").unionByName(mates).groupBy("contig", "pos").agg(F.max("len").alias("len"))
+
+
 def coverage_reach(rows: DataFrame) -> DataFrame:
     """``contig, pos, reach``: how far beyond each place the links that begin at or before it reach."""
     w = Window.partitionBy("contig").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

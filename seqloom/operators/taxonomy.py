@@ -72,6 +72,26 @@ def rollup(counts: DataFrame, taxonomy: DataFrame, lineage: DataFrame) -> DataFr
     return named.select("tax_id", F.coalesce("parent_id", F.lit(ROOT)).alias("parent_id"), F.coalesce("rank", F.lit("")).alias("rank"), F.coalesce("name", F.lit(UNKNOWN)).alias("name"), F.coalesce("n", F.lit(0)).alias("self_count"), "total_count")
 
 
+def tree_lines(rolled: DataFrame, lineage: DataFrame) -> DataFrame:
+    """``path, line``: an XML tree of all taxa; lines in the order of ``path`` are the document.
+
+    A taxon opens before its children, which come by falling total, and closes behind them; one without children is one line.  Attributes: tax_id, self_count, rank if it
+    has one, name (``unknown`` if null) and total_count.  Each line is made alone, so no task holds the tree.
+    """
+    quoted = lambda c: F.replace(F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    told = lambda name, value, where: F.when(where, F.concat(F.lit(f' {name}="'), value.cast("string"), F.lit('"'))).otherwise("")
+    yes = F.lit(True)
+    tag = F.concat(
+        F.lit("<taxon"), told("tax_id", F.col("tax_id"), yes), told("self_count", F.col("self_count"), yes), told("rank", quoted("rank"), F.coalesce(F.col("rank") != "", F.lit(False))),
+        told("name", F.coalesce(quoted("name"), F.lit("unknown")), yes), told("total_count", F.col("total_count"), yes))
+    rows = report_lines(rolled, lineage, 0.0).select("tax_id", "path", "depth").join(rolled.select("tax_id", "rank", "name", "self_count", "total_count"), "tax_id")
+    parents = rolled.where(F.col("tax_id") != F.col("parent_id")).select(F.col("parent_id").alias("tax_id"), F.lit(True).alias("_inner")).distinct()
+    rows = rows.join(parents, "tax_id", "left").withColumn("_pad", F.repeat(F.lit("  "), F.col("depth")))
+    opens = F.struct(F.col("path").alias("path"), F.concat("_pad", tag, F.when(F.col("_inner"), ">").otherwise("/>")).alias("line"))
+    closes = F.struct(F.concat("path", F.lit("/~")).alias("path"), F.concat("_pad", F.lit("</taxon>")).alias("line"))  # ~ sorts behind all steps
+    return rows.select(F.explode(F.when(F.col("_inner"), F.array(opens, closes)).otherwise(F.array(opens))).alias("l")).select("l.*")
+
+
 def report_lines(rolled: DataFrame, lineage: DataFrame, cutoff_percent: float = 0.01, cutoff_hits: int = 0, skip: str = "none") -> DataFrame:
     """Report rows ``path, tax_id, depth, name, percent, total_count`` in tree order, small taxa left out.
 

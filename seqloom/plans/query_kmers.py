@@ -460,6 +460,22 @@ def _(spark, d):
     return KD.connectivity(b, parts.union(V.reads(spark, d).select("spotid", "bases")), 20)
 
 
+@query("c62_longest_connections", "reads", f"""WITH b AS (SELECT item_id, upper(regexp_replace(text,'[^ACGTacgt]','','g')) AS bases FROM benchmark),
+  c AS MATERIALIZED (SELECT item_id, i - 1 AS pos, {_canon20('substr(bases, i, 20)')} AS kmer FROM (SELECT item_id, bases, unnest(range(1, length(bases)-18)) AS i FROM b)),
+  r AS MATERIALIZED (SELECT spot, mate, length(bases) - 20 AS apart, {_canon20('substr(bases, 1, 20)')} AS a, {_canon20('right(bases, 20)')} AS z FROM (SELECT item_id AS spot, 1 AS mate, left(bases, 24) AS bases FROM b UNION ALL SELECT item_id, 2, right(bases, 25) FROM b) WHERE length(bases) > 20),
+  x AS (SELECT DISTINCT p.item_id AS contig, r.spot, r.mate, least(p.pos, q.pos) AS pos, abs(q.pos - p.pos) + 20 AS len FROM r JOIN c p ON p.kmer = r.a JOIN c q ON q.kmer = r.z AND q.item_id = p.item_id WHERE abs(abs(q.pos - p.pos) - r.apart) <= 2),
+  o AS (SELECT contig, spot, mate, min(pos) AS pos, arg_min(len, (pos, len)) AS len FROM x GROUP BY ALL),
+  m AS (SELECT l.contig, l.pos, h.pos - l.pos + h.len AS len FROM o l JOIN o h ON h.contig = l.contig AND h.spot = l.spot AND h.mate <> l.mate AND (h.pos > l.pos OR (h.pos = l.pos AND (h.len > l.len OR (h.len = l.len AND h.mate > l.mate)))) WHERE h.pos - l.pos < 1000)
+  SELECT contig, CAST(pos AS INTEGER) AS pos, CAST(max(len) AS INTEGER) AS len FROM (SELECT contig, pos, len FROM x UNION ALL SELECT * FROM m) GROUP BY ALL""")
+def _(spark, d):
+    """Both ends of each benchmark item as mates, sought in all items."""
+    b = V.table(spark, d, "benchmark").select(F.col("item_id").alias("contig"), V.bases_of("text").alias("bases"))
+    mate = lambda n, text: F.struct(F.lit(n).alias("mate"), text.alias("bases"))
+    ends = b.select(F.col("contig").alias("spot"), F.inline(F.array(mate(1, F.expr("left(bases, 24)")), mate(2, F.expr("right(bases, 25)")))))
+    met = KD.connectivity(b, ends.select(F.struct("spot", "mate").alias("spotid"), "bases"), 20)
+    return KD.longest_connections(met.select("contig", "spotid.spot", "spotid.mate", "first", "last"), 20)
+
+
 @query("c70_effective_window", "coded db_b reads", """WITH w AS (SELECT unnest([16, 32, 64, 128, 256, 512, 1024]) AS size), hit AS (SELECT DISTINCT spotid, pos - 1 AS pos FROM coded JOIN db_b USING (kmer)),
   found AS (SELECT size, count(*) AS identified FROM (SELECT DISTINCT size, spotid, pos // size AS win FROM hit, w WHERE pos % size <= size - 11) x JOIN reads r USING (spotid) WHERE (win + 1) * size <= length(bases) GROUP BY size),
   every AS (SELECT size, CAST(sum(length(bases) // size) AS BIGINT) AS windows FROM reads, w GROUP BY size), t AS (SELECT size, windows, coalesce(identified, 0) AS identified FROM every LEFT JOIN found USING (size))

@@ -97,6 +97,12 @@ def _(spark, d):
     return TX.order_by_total(_rolled(spark, d)).select("tax_id", "parent_id", "total_count", "place")
 
 
+@query("c18_tree_lines", "rolled lineage", """SELECT repeat('  ', CAST(len(lineage) - 1 AS INTEGER)) || line AS line FROM (SELECT tax_id, '<taxon tax_id="' || tax_id || '" self_count="' || self_count || '" rank="' || rank || '" name="' || name || '" total_count="' || total_count || '"' ||
+  CASE WHEN tax_id IN (SELECT parent_id FROM rolled WHERE tax_id <> parent_id) THEN '>' ELSE '/>' END AS line FROM rolled UNION ALL SELECT tax_id, '</taxon>' FROM rolled WHERE tax_id IN (SELECT parent_id FROM rolled WHERE tax_id <> parent_id)) JOIN lineage USING (tax_id)""")
+def _(spark, d):
+    return TX.tree_lines(_rolled(spark, d), TX.lineages(V.taxonomy(spark, d))).select("line")
+
+
 @query("c60_taxdump_changes", "taxonomy", """SELECT change, count(*) AS n FROM (SELECT CASE WHEN tax_id % 13 = 0 THEN 'deleted' WHEN tax_id % 11 = 0 AND tax_id > 1000 THEN 'merged' WHEN tax_id % 5 = 0 AND rank = 'customer' THEN 'inserted' WHEN rank = 'customer' AND tax_id % 7 = 0 THEN 'updated' ELSE 'kept' END AS change FROM taxonomy) GROUP BY change""")
 def _(spark, d):
     t = V.taxonomy(spark, d)

@@ -102,3 +102,17 @@ def test_stored_index_and_two_steps(spark, tmp_path):
     seen = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 4), (3, 3)], "spotid int, kmer long")
     got = KD.classify_in_two_steps(seen, db.where("kmer = 1"), lambda t: SF.read_kmer_db(spark, str(tmp_path / "db"), t), "spotid")
     assert [tuple(r) for r in got.collect()] == [(1, 5, 2)]
+
+
+def test_tree_lines_are_a_document(spark):
+    import xml.etree.ElementTree as ET
+
+    from seqloom.operators import taxonomy as TX
+
+    rows = [(1, 1, "", "root", 0, 9), (5, 1, "genus", 'A & "B" <c>', 2, 6), (7, 5, "", None, 4, 4), (6, 1, "genus", "x", 3, 3)]
+    rolled = spark.createDataFrame(rows, "tax_id int, parent_id int, rank string, name string, self_count long, total_count long")
+    lineage = spark.createDataFrame([(1, [1]), (5, [1, 5]), (7, [1, 5, 7]), (6, [1, 6])], "tax_id int, lineage array<int>")
+    lines = [r.line for r in TX.tree_lines(rolled, lineage).orderBy("path").collect()]
+    root = ET.fromstring("\n".join(lines))
+    assert [c.get("tax_id") for c in root] == ["5", "6"] and root[0].get("name") == 'A & "B" <c>' and root[0][0].get("name") == "unknown" and "rank" not in root[0][0].attrib
+    assert [x.get("total_count") for x in root.iter()] == ["9", "6", "4", "3"]
