@@ -18,11 +18,30 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
+def read_matrix(text: str) -> tuple[str, np.ndarray]:
+    """The letters and scores of a substitution matrix as it is usually written: a line of letters, then a line a letter; ``#`` begins comments."""
+    rows = [line.split() for line in text.splitlines() if line.strip() and not line.startswith("#")]
+    letters = "".join(rows[0])
+    if [r[0] for r in rows[1:]] != list(letters) or any(len(r) != len(letters) + 1 for r in rows[1:]):
+        raise ValueError("a matrix has a row and a column for each letter, in one order")
+    return letters, np.array([[int(x) for x in r[1:]] for r in rows[1:]], np.int32)
+
+
+def _table(matrix, mismatch):
+    """Scores by code for the first 128 codes; what the matrix does not name scores as a mismatch."""
+    letters, scores = matrix
+    table = np.full((128, 128), mismatch, np.int32)
+    at = _codes(letters)
+    table[at[:, None], at[None]] = scores
+    return table
+
+
 class _Matrix:
     """Rows of the recurrence, a row in one step; of all rows only every ``block``-th is kept, and the flags of one block."""
 
-    def __init__(self, query, subject, mode, match, mismatch, opening, extension, band, shift, cells):
+    def __init__(self, query, subject, mode, match, mismatch, opening, extension, band, shift, cells, matrix=None):
         self.q, self.s = _codes(query), _codes(subject)
+        self.table = None if matrix is None else _table(matrix, mismatch)[:, np.minimum(self.s, 127)]
         self.n, self.m = len(self.q), len(self.s)
         self.clamp, self.opening, self.extension = mode in ("local", "right"), opening, extension
         self.match, self.mismatch = np.int32(match), np.int32(mismatch)
@@ -55,7 +74,8 @@ class _Matrix:
         down = np.maximum(fresh, grow)
         cross = np.full(hi - lo + 1, LOW, np.int32)
         a = max(lo, 1)
-        cross[a - lo :] = h[a - 1 : hi] + np.where(self.s[a - 1 : hi] == self.q[i - 1], self.match, self.mismatch)
+        pair = np.where(self.s[a - 1 : hi] == self.q[i - 1], self.match, self.mismatch) if self.table is None else self.table[min(self.q[i - 1], 127), a - 1 : hi]
+        cross[a - lo :] = h[a - 1 : hi] + pair
         if lo == 0:
             cross[0], down[0] = 0 if self.clamp else -(self.opening + self.extension * i), LOW
         own = np.maximum(cross, down)
@@ -98,18 +118,19 @@ class _Matrix:
         return int(self.flags[i - 1 - first * self.block, j])
 
 
-def align(query: str, subject: str, mode: str = "global", match: int = 1, mismatch: int = -2, opening: int = 5, extension: int = 2, band: int | None = None, shift: int = 0, cells: int = CELLS) -> dict:
+def align(query: str, subject: str, mode: str = "global", match: int = 1, mismatch: int = -2, opening: int = 5, extension: int = 2, band: int | None = None, shift: int = 0, cells: int = CELLS, matrix: tuple[str, np.ndarray] | None = None) -> dict:
     """``score, cigar, query_start, query_end, subject_start, subject_end, matches, distance`` of one pair.
 
     A gap of n costs opening + n * extension.  D is a gap in the query, I one in the subject; a diagonal step is taken only if
     it is better than a gap.  ``global`` aligns both texts whole, ``local`` the best stretches, ``left`` what begins
     with both texts, ``right`` what ends with both.  With ``band`` only cells count whose diagonal (place in the subject less
     place in the query) differs from ``shift`` by at most that much; if no path lies in the band, score and CIGAR are null.
+    ``matrix``, as ``read_matrix`` gives it, scores pairs of its letters in place of match and mismatch; other letters mismatch.
     Places count from 0, ends are exclusive.  Texts may have any length: memory grows with the length times its root.
     """
     if mode not in ("global", "local", "left", "right"):
         raise ValueError(f"no such mode: {mode}")
-    x = _Matrix(query, subject, mode, match, mismatch, opening, extension, band, shift, cells)
+    x = _Matrix(query, subject, mode, match, mismatch, opening, extension, band, shift, cells, matrix)
     score, i, j = x.forward(mode in ("local", "left"))
     if score < LOW // 2:
         return dict.fromkeys(("score", "cigar", "query_start", "query_end", "subject_start", "subject_end", "matches", "distance"))
@@ -157,7 +178,8 @@ _OPS = "MID"
 class _Batch:
     """The same recurrence for several pairs of like lengths: a step is a row of all of them, and the way back is walked by all at once."""
 
-    def __init__(self, pairs, mode, match, mismatch, opening, extension, bands):
+    def __init__(self, pairs, mode, match, mismatch, opening, extension, bands, matrix=None):
+        self.table = None if matrix is None else _table(matrix, mismatch)
         self.pairs, self.clamp, self.anywhere = pairs, mode in ("local", "right"), mode in ("local", "left")
         self.match, self.mismatch, self.opening, self.extension = np.int32(match), np.int32(mismatch), opening, extension
         self.n, self.m = (np.array([len(p[x]) for p in pairs]) for x in (0, 1))
@@ -193,7 +215,10 @@ class _Batch:
         for i in range(1, self.q.shape[1] + 1):
             fresh, grow = h - np.int32(self.opening + self.extension), e - np.int32(self.extension)
             down = np.maximum(fresh, grow)
-            cross[:, 1:] = h[:, :-1] + np.where(self.s == self.q[:, i - 1, None], self.match, self.mismatch)
+            if self.table is None:
+                cross[:, 1:] = h[:, :-1] + np.where(self.s == self.q[:, i - 1, None], self.match, self.mismatch)
+            else:
+                cross[:, 1:] = h[:, :-1] + self.table[np.minimum(self.q[:, i - 1, None], 127), np.minimum(self.s, 127)]
             cross[:, 0], down[:, 0] = 0 if self.clamp else -(self.opening + self.extension * i), LOW
             own = np.maximum(cross, down)
             if self.clamp:
@@ -267,7 +292,7 @@ class _Batch:
         return out
 
 
-def align_many(pairs: list[tuple[str, str]], mode: str = "global", match: int = 1, mismatch: int = -2, opening: int = 5, extension: int = 2, bands: list[tuple[int, int]] | None = None, cells: int = BATCH) -> list[dict]:
+def align_many(pairs: list[tuple[str, str]], mode: str = "global", match: int = 1, mismatch: int = -2, opening: int = 5, extension: int = 2, bands: list[tuple[int, int]] | None = None, cells: int = BATCH, matrix: tuple[str, np.ndarray] | None = None) -> list[dict]:
     """What ``align`` tells of each pair, for many at once; ``bands``: the band and shift of each.
 
     Pairs are sorted by length, so that those of a batch waste few cells; a batch holds ``cells`` flags, and a pair that has more
@@ -288,14 +313,14 @@ def align_many(pairs: list[tuple[str, str]], mode: str = "global", match: int =
             rows = rows or r
         if len(some) == 1 and (len(pairs[some[0]][0]) + 1) * columns > cells:
             band, shift = (None, 0) if bands is None else bands[some[0]]
-            out[some[0]] = align(*pairs[some[0]], mode, match, mismatch, opening, extension, band, shift)
+            out[some[0]] = align(*pairs[some[0]], mode, match, mismatch, opening, extension, band, shift, matrix=matrix)
             continue
-        for x, result in zip(some, _Batch([pairs[x] for x in some], mode, match, mismatch, opening, extension, None if bands is None else [bands[x] for x in some]).results(), strict=True):
+        for x, result in zip(some, _Batch([pairs[x] for x in some], mode, match, mismatch, opening, extension, None if bands is None else [bands[x] for x in some], matrix).results(), strict=True):
             out[x] = result
     return out
 
 
-def align_pairs(pairs: DataFrame, mode: str = "global", band: int | None = None, parts: int | None = None) -> DataFrame:
+def align_pairs(pairs: DataFrame, mode: str = "global", band: int | None = None, parts: int | None = None, matrix: tuple[str, np.ndarray] | None = None) -> DataFrame:
     """``pairs`` with ``query, subject`` and what ``align`` tells of them; a null text counts as empty.
 
     Pairs are independent rows.  They are few bytes and much work, so they are dealt over ``parts`` tasks, four for each
@@ -306,7 +331,7 @@ def align_pairs(pairs: DataFrame, mode: str = "global", band: int | None = None,
     @F.pandas_udf(kinds)
     def run(q: pd.Series, s: pd.Series) -> pd.DataFrame:
         pairs = [(a or "", b or "") for a, b in zip(q, s, strict=True)]
-        rows = pd.DataFrame(align_many(pairs, mode, bands=None if band is None else [(band, 0)] * len(pairs)), columns=[k.split()[0] for k in kinds.split(", ")])
+        rows = pd.DataFrame(align_many(pairs, mode, bands=None if band is None else [(band, 0)] * len(pairs), matrix=matrix), columns=[k.split()[0] for k in kinds.split(", ")])
         return rows.astype({c: "Int32" for c in rows.columns if c != "cigar"})
 
     dealt = pairs.repartition(parts or 4 * pairs.sparkSession.sparkContext.defaultParallelism)

@@ -4,9 +4,10 @@ import random
 import re
 from functools import cache
 
+import numpy as np
 import pytest
 
-from seqloom.operators.alignment import align, align_pairs, align_many
+from seqloom.operators.alignment import align, align_pairs, align_many, read_matrix
 
 MATCH, MISMATCH, OPENING, EXTENSION = 1, -2, 5, 2
 
@@ -109,3 +110,31 @@ def test_batches_equal_single_pairs(mode):
     bands = [(rng.randrange(0, 12), rng.randrange(-6, 7)) for _ in pairs]
     assert align_many(pairs, mode, bands=bands) == [align(q, s, mode, band=b, shift=x) for (q, s), (b, x) in zip(pairs, bands, strict=True)]
     assert align_many([], mode) == []
+
+
+def test_matrices_score_pairs():
+    rng = random.Random(1)
+    letters, scores = read_matrix("# comment\n   A  C  G  T\nA  5 -4  1 -4\nC -4  6 -4  0\n\nG  1 -4  7 -4\nT -4  0 -4  8\n")
+    assert letters == "ACGT" and scores[1][3] == 0 and scores[3][3] == 8
+    with pytest.raises(ValueError, match="a row and a column"):
+        read_matrix("A C\nA 1 2\nG 1 2\n")
+    text = lambda: "".join(rng.choice("ACGTN") for _ in range(rng.randrange(1, 40)))
+    pairs = [(text(), text()) for _ in range(80)]
+    for mode in ("global", "local"):
+        many = align_many(pairs, mode, 1, -2, 5, 2, matrix=(letters, scores))
+        assert many == [align(q, s, mode, 1, -2, 5, 2, matrix=(letters, scores)) for q, s in pairs]
+        for (q, s), x in zip(pairs, many, strict=True):  # the score is that of the path
+            i, j, total = x["query_start"], x["subject_start"], 0
+            for n, op in re.findall(r"(\d+)([MID])", x["cigar"]):
+                n = int(n)
+                for _ in range(n if op == "M" else 0):
+                    a, b = letters.find(q[i]), letters.find(s[j])
+                    total += int(scores[a][b]) if a >= 0 and b >= 0 else -2
+                    i, j = i + 1, j + 1
+                if op != "M":
+                    total -= 5 + 2 * n
+                    i, j = i + n * (op == "I"), j + n * (op == "D")
+            assert total == x["score"] and (i, j) == (x["query_end"], x["subject_end"])
+    same = ("ACGT", np.where(np.eye(4, dtype=bool), 1, -2))
+    told = lambda rows: [(x["score"], x["cigar"]) for x in rows]
+    assert told(align_many(pairs, matrix=same, mismatch=-2)) == told(align_many([(q.replace("N", "n"), s.replace("N", "-")) for q, s in pairs]))
