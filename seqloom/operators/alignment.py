@@ -171,7 +171,9 @@ def align(query: str, subject: str, mode: str = "global", match: int = 1, mismat
 
 
 #: Cells of a batch whose flags are held at once, and about how many cells a step works on.
-BATCH, STEP = 1 << 26, 1 << 17
+BATCH, STEP = 1 << 26, 1 << 15
+#: Cells from which a pair goes to a task of its own choice, not to those of its likeness.
+LARGE = 1 << 20
 _OPS = "MID"
 
 
@@ -248,69 +250,73 @@ class _Batch:
                 score[ends] = h[ends, self.m[ends]]
         return score, end_i, end_j
 
-    def back(self, i, j):
-        """Operations of all pairs from their ends, as (steps, pairs) with -1 where a pair has come to its beginning, and the beginnings."""
-        i, j, gap = i.copy(), j.copy(), np.zeros(len(i), np.int64)
-        pair, ops = np.arange(len(i)), []
-        going = (i > 0) | (j > 0)
-        while going.any():
-            edge = (i == 0) | (j == 0)
-            if self.clamp:
-                going &= ~edge
-            flag = self.flags[i, pair, j]
-            going &= edge | (gap > 0) | (flag & STOP == 0)
-            if not going.any():
-                break
-            fresh = np.where(flag & DIAGONAL, 0, np.where(flag & QUERY, 1, 2))
-            op = np.where(edge, np.where(i > 0, 1, 2), np.where(gap > 0, gap, fresh))
-            longer = np.where(op == 1, flag & LONGER_I, flag & LONGER_D) > 0
-            gap = np.where((op > 0) & longer & ~edge, op, 0)
-            ops.append(np.where(going, op, -1))
-            i, j = i - (going & (op != 2)), j - (going & (op != 1))
-            going &= (i > 0) | (j > 0)
-        return np.array(ops).reshape(len(ops), len(pair)), i, j
+    def back(self, b, i, j):
+        """Operations of a pair, last first, and the place of its beginning."""
+        width, ops, gap = self.places.shape[0], bytearray(), 0
+        flags = self.flags[: i + 1, b].tobytes()
+        while i and j:
+            flag = flags[i * width + j]
+            if gap:
+                op = gap
+            elif flag & STOP:
+                return ops, i, j
+            else:
+                op = 0 if flag & DIAGONAL else 1 if flag & QUERY else 2
+            ops.append(op)
+            if op == 0:
+                i, j = i - 1, j - 1
+            elif op == 1:
+                i, gap = i - 1, 1 if flag & LONGER_I else 0
+            else:
+                j, gap = j - 1, 2 if flag & LONGER_D else 0
+        if self.clamp:
+            return ops, i, j
+        return ops + bytes([1 if i else 2]) * (i or j), 0, 0
 
     def results(self):
         score, end_i, end_j = self.forward()
         lost = score < LOW // 2
-        ops, start_i, start_j = self.back(np.where(lost, 0, end_i), np.where(lost, 0, end_j))
         out = []
         for b in range(len(self.pairs)):
             if lost[b]:
                 out.append(dict.fromkeys(("score", "cigar", "query_start", "query_end", "subject_start", "subject_end", "matches", "distance")))
                 continue
-            own = ops[:, b]
-            own = own[own >= 0][::-1]
+            ops, first_i, first_j = self.back(b, int(end_i[b]), int(end_j[b]))
+            own = np.frombuffer(ops, np.uint8)[::-1]
             first = np.flatnonzero(np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1])))
             runs = np.diff(np.append(first, len(own)))
-            i, j = (start_i[b] + np.cumsum(own != 2) - 1)[own == 0], (start_j[b] + np.cumsum(own != 1) - 1)[own == 0]
+            i, j = (first_i + np.cumsum(own != 2) - 1)[own == 0], (first_j + np.cumsum(own != 1) - 1)[own == 0]
             matches = int((self.q[b, i] == self.s[b, j]).sum())
             out.append({
-                "score": int(score[b]), "cigar": "".join(f"{k}{_OPS[own[a]]}" for k, a in zip(runs.tolist(), first.tolist(), strict=True)), "query_start": int(start_i[b]), "query_end": int(end_i[b]),
-                "subject_start": int(start_j[b]), "subject_end": int(end_j[b]), "matches": matches, "distance": len(own) - matches,
+                "score": int(score[b]), "cigar": "".join(f"{k}{_OPS[own[a]]}" for k, a in zip(runs.tolist(), first.tolist(), strict=True)), "query_start": first_i, "query_end": int(end_i[b]),
+                "subject_start": first_j, "subject_end": int(end_j[b]), "matches": matches, "distance": len(own) - matches,
             })
         return out
 
 
+def likeness(length: int) -> int:
+    """Lengths with one number differ by a fourth at most, or by few bases."""
+    return int(np.log1p(length / 16) / np.log(1.25))
+
+
 def align_many(pairs: list[tuple[str, str]], mode: str = "global", match: int = 1, mismatch: int = -2, opening: int = 5, extension: int = 2, bands: list[tuple[int, int]] | None = None, cells: int = BATCH, matrix: tuple[str, np.ndarray] | None = None) -> list[dict]:
     """What ``align`` tells of each pair, for many at once; ``bands``: the band and shift of each.
 
     Pairs are sorted by length, so that those of a batch waste few cells; a batch holds ``cells`` flags, and a pair that has more
     is aligned alone, in less memory.
     """
-    order = sorted(range(len(pairs)), key=lambda x: (len(pairs[x][0]), len(pairs[x][1])))
+    order = sorted(range(len(pairs)), key=lambda x: (likeness(len(pairs[x][0])), len(pairs[x][1])))
     out: list = [None] * len(pairs)
     at = 0
     while at < len(order):
-        some, rows, columns = [], 0, 0
+        some, rows, columns, least = [], 0, 0, len(pairs[order[at]][1])
         while at < len(order):
             q, s = pairs[order[at]]
-            r, c = len(q) + 1, max(columns, len(s) + 1)
-            if some and ((len(some) + 1) * r * c > cells or len(some) * c > STEP or r > rows * 1.25 + 16):
+            r, c = max(rows, len(q) + 1), len(s) + 1
+            if some and ((len(some) + 1) * r * c > cells or len(some) * c > STEP or likeness(len(q)) != likeness(len(pairs[some[0]][0])) or c > 1.25 * least + 16):
                 break
             some.append(order[at])
-            columns, at = c, at + 1
-            rows = rows or r
+            rows, columns, at = r, c, at + 1
         if len(some) == 1 and (len(pairs[some[0]][0]) + 1) * columns > cells:
             band, shift = (None, 0) if bands is None else bands[some[0]]
             out[some[0]] = align(*pairs[some[0]], mode, match, mismatch, opening, extension, band, shift, matrix=matrix)
@@ -324,7 +330,8 @@ def align_pairs(pairs: DataFrame, mode: str = "global", band: int | None = None,
     """``pairs`` with ``query, subject`` and what ``align`` tells of them; a null text counts as empty.
 
     Pairs are independent rows.  They are few bytes and much work, so they are dealt over ``parts`` tasks, four for each
-    core unless told otherwise, that adaptive execution does not join again.
+    core unless told otherwise, that adaptive execution does not join again.  Pairs of like lengths meet in a task, where many are aligned at
+    once; large ones, which are work enough alone, go anywhere.
     """
     kinds = "score int, cigar string, query_start int, query_end int, subject_start int, subject_end int, matches int, distance int"
 
@@ -334,5 +341,8 @@ def align_pairs(pairs: DataFrame, mode: str = "global", band: int | None = None,
         rows = pd.DataFrame(align_many(pairs, mode, bands=None if band is None else [(band, 0)] * len(pairs), matrix=matrix), columns=[k.split()[0] for k in kinds.split(", ")])
         return rows.astype({c: "Int32" for c in rows.columns if c != "cigar"})
 
-    dealt = pairs.repartition(parts or 4 * pairs.sparkSession.sparkContext.defaultParallelism)
+    like = lambda c: F.floor(F.log1p(F.coalesce(F.length(c), F.lit(0)) / 16) / F.lit(float(np.log(1.25))))
+    large = F.coalesce(F.length("query").cast("long") * F.length("subject"), F.lit(0)) > LARGE
+    key = F.when(large, F.xxhash64("query", "subject")).otherwise(F.xxhash64(like("query"), like("subject"), F.xxhash64("query") % 4))
+    dealt = pairs.repartition(parts or 4 * pairs.sparkSession.sparkContext.defaultParallelism, key)
     return dealt.withColumn("_a", run("query", "subject")).select(*pairs.columns, "_a.*")
