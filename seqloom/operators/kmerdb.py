@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
 from seqloom.operators.numbering import numbered
+from seqloom.operators.store import cut
 from seqloom.operators.taxonomy import ROOT, consensus
 
 
@@ -119,6 +120,24 @@ def collate(hit_rows: DataFrame) -> DataFrame:
     return hit_rows.groupBy("spotid", "tax_id").agg(F.sum("n").alias("n")).groupBy("spotid").agg(F.array_sort(F.collect_list(F.struct("tax_id", "n"))).alias("hits"))
 
 
+def write_hit_vectors(collated: DataFrame, path: str) -> None:
+    """Store ``spotid, hits`` as three tables below ``path``: ``names`` (row, spotid), ``taxa`` (row, place, tax_id) and ``counts`` (row, place, n).
+
+    Rows are numbered by spot, so a column can be read alone, and equal neighbours compress.
+    """
+    rows = cut(numbered(collated, "spotid"))
+    each = rows.select("row", F.posexplode("hits").alias("place", "h"))
+    for name, table in (("names", rows.select("row", "spotid")), ("taxa", each.select("row", "place", "h.tax_id")), ("counts", each.select("row", "place", "h.n"))):
+        table.write.parquet(f"{path}/{name}")
+
+
+def read_hit_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """``spotid, hits`` from the tables of ``write_hit_vectors``."""
+    names, taxa, counts = (spark.read.parquet(f"{path}/{name}") for name in ("names", "taxa", "counts"))
+    hits = taxa.join(counts, ["row", "place"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("tax_id", "n"))).alias("hits"))
+    return names.join(hits, "row").select("spotid", "hits")
+
+
 def tax_sets(hit_rows: DataFrame) -> DataFrame:
     return hit_rows.groupBy("spotid").agg(F.array_sort(F.collect_set("tax_id")).alias("taxa"))
 

@@ -8,6 +8,7 @@ from seqloom.functions import seq as S
 from seqloom.operators import kmerdb as KD
 from seqloom.operators import profiles as PR
 from seqloom.operators import taxonomy as TX
+from seqloom.operators.store import shared_folder
 from seqloom.plans import views as V
 from seqloom.plans.registry import query
 from seqloom.sources import formats as FM
@@ -324,6 +325,14 @@ def _(spark, d):
     return c.select("spotid", F.array_join(F.transform("hits", lambda h: F.concat(h["tax_id"], F.lit("x"), h["n"])), " ").alias("hits"))
 
 
+@query("c17_hit_vectors", "hit_rows", "SELECT spotid, string_agg(tax_id || 'x' || n, ' ' ORDER BY tax_id) AS hits FROM hit_rows GROUP BY spotid")
+def _(spark, d):
+    """Collated hits, written as vectors and read again."""
+    path = shared_folder(spark, "vectors")
+    KD.write_hit_vectors(KD.collate(KD.hits(_db(K, d, spark), _index(spark, d), "spotid")), path)
+    return KD.read_hit_vectors(spark, path).select("spotid", F.array_join(F.transform("hits", lambda h: F.concat(h["tax_id"], F.lit("x"), h["n"])), " ").alias("hits"))
+
+
 @query("c49_tax_sets", "hit_rows", "SELECT spotid, string_agg(tax_id, ',' ORDER BY tax_id) AS taxa FROM hit_rows GROUP BY spotid")
 def _(spark, d):
     return KD.tax_sets(KD.hits(_db(K, d, spark), _index(spark, d), "spotid")).select("spotid", F.array_join(F.col("taxa").cast("array<string>"), ",").alias("taxa"))
