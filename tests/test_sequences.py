@@ -66,3 +66,8 @@ def test_hit_lines_round_trip(spark):
 
 def test_quality_mask(spark):
     assert one(spark, S.quality_mask("b", "q"), b="ACGT", q="I#$!") == "ANGN"
+
+
+def test_quality_mask_of_an_empty_text(spark):
+    assert one(spark, S.quality_mask("b", "q"), b="", q="") == ""
+    assert one(spark, S.quality_mask("b", "q"), b="AC", q="#I!!") == "NC"
