@@ -126,16 +126,49 @@ def scan(spec: TableSpec, source: DataFrame) -> DataFrame:
     return rows.select(*((F.coalesce(F.col(f), empty(f)) if f in flags or dict(source.dtypes)[f] == "string" else F.col(f)).alias(f) if f in source.columns else empty(f).alias(f) for f in spec.fields))
 
 
+#: Places of a reference that share a row while depths are counted.
+BIN = 256
+
+
+def _bin_pieces(alignments: DataFrame, *keep: str) -> DataFrame:
+    """Alignments cut where bins of a reference begin: ``keep, refspec, _bin, _from, _to`` (places in the bin, end exclusive)."""
+    bins = F.explode(F.expr(f"sequence(CAST(floor(refpos / {BIN}) AS BIGINT), CAST(floor((refpos + length - 1) / {BIN}) AS BIGINT))"))
+    first = F.col("_bin") * BIN
+    cut_off = alignments.where("length > 0").select(*keep, "refspec", "refpos", "length", bins.alias("_bin"))
+    return cut_off.select(*keep, "refspec", "_bin", F.greatest(F.col("refpos") - first, F.lit(0)).cast("int").alias("_from"), F.least(F.col("refpos") + F.col("length") - first, F.lit(BIN)).cast("int").alias("_to"))
+
+
+def _bin_depths(alignments: DataFrame) -> DataFrame:
+    """``refspec, _bin, depths``: the depths of all places of each bin that is touched.
+
+    Only the two ends of a piece travel, and they are added up before the shuffle, so no place is written out for an alignment.
+    """
+    step = lambda at, n: F.struct(at.alias("at"), F.lit(n).cast("long").alias("n"))
+    ends = _bin_pieces(alignments).select("refspec", "_bin", F.inline(F.array(step(F.col("_from"), 1), step(F.col("_to"), -1))))
+    steps = ends.groupBy("refspec", "_bin", "at").agg(F.sum("n").alias("n"))
+    by = steps.groupBy("refspec", "_bin").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("steps"))
+    # a stretch from one step to the next has the sum of the steps so far
+    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("long").alias("depth"))
+    grown = lambda acc, x: F.struct(F.concat(acc["out"], F.array_repeat(acc["depth"], (x["at"] - F.size(acc["out"])).cast("int"))).alias("out"), (acc["depth"] + x["n"]).alias("depth"))
+    return by.select("refspec", "_bin", F.aggregate("steps", start, grown, lambda acc: acc["out"]).alias("depths"))
+
+
 def pileup(alignments: DataFrame) -> DataFrame:
-    """``refspec, refpos, id, mapq, depth``: a row for each base of each alignment, with the depth at its place."""
-    rows = alignments.select("id", "refspec", "mapq", F.explode(F.sequence("refpos", F.col("refpos") + F.col("length") - 1)).alias("refpos"))
-    return rows.join(depth(alignments), ["refspec", "refpos"])
+    """``refspec, refpos, id, mapq, depth``: a row for each base of each alignment, with the depth at its place.
+
+    Alignments meet the depths of their bins, and bases are written out after the last shuffle.
+    """
+    pieces, bins = _bin_pieces(alignments, "id", "mapq"), _bin_depths(alignments).withColumnsRenamed({"refspec": "_ref", "_bin": "_at"})
+    met = pieces.join(bins, F.col("refspec").eqNullSafe(F.col("_ref")) & (F.col("_bin") == F.col("_at")))
+    own = F.slice("depths", F.col("_from") + 1, F.col("_to") - F.col("_from"))
+    rows = met.select("refspec", (F.col("_bin") * BIN + F.col("_from")).alias("_first"), "id", "mapq", F.posexplode(own).alias("_i", "depth"))
+    return rows.select("refspec", (F.col("_first") + F.col("_i")).alias("refpos"), "id", "mapq", "depth")
 
 
 def depth(alignments: DataFrame) -> DataFrame:
     """``refspec, refpos, depth`` of covered places."""
-    rows = alignments.select("refspec", F.explode(F.sequence("refpos", F.col("refpos") + F.col("length") - 1)).alias("refpos"))
-    return rows.groupBy("refspec", "refpos").agg(F.count("*").alias("depth"))
+    rows = _bin_depths(alignments).select("refspec", "_bin", F.posexplode("depths").alias("_i", "depth")).where("depth > 0")
+    return rows.select("refspec", (F.col("_bin") * BIN + F.col("_i")).alias("refpos"), "depth")
 
 
 def spots(fragments: DataFrame) -> DataFrame:

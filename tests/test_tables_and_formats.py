@@ -116,3 +116,16 @@ def test_tree_lines_are_a_document(spark):
     root = ET.fromstring("\n".join(lines))
     assert [c.get("tax_id") for c in root] == ["5", "6"] and root[0].get("name") == 'A & "B" <c>' and root[0][0].get("name") == "unknown" and "rank" not in root[0][0].attrib
     assert [x.get("total_count") for x in root.iter()] == ["9", "6", "4", "3"]
+
+
+def _alignments(spark):
+    rows = [("a", "chr1", 254, 4, 7), ("b", "chr1", 256, 1, 8), ("c", "chr1", 300, 0, 9), ("d", None, 5, 1, 1), ("e", "chr1", 256, 600, 3)]
+    return spark.createDataFrame(rows, "id string, refspec string, refpos long, length long, mapq int")
+
+
+def test_pileup_over_bins(spark):
+    """Without bases of an empty alignment, with those of one without a reference."""
+    rows = {(r.id, r.refspec, r.refpos): (r.mapq, r.depth) for r in TB.pileup(_alignments(spark)).collect()}
+    assert len(rows) == 4 + 1 + 1 + 600
+    assert [rows["a", "chr1", p] for p in range(254, 258)] == [(7, 1), (7, 1), (7, 3), (7, 2)]
+    assert rows["b", "chr1", 256] == (8, 3) and rows["d", None, 5] == (1, 1) and rows["e", "chr1", 855] == (3, 1)
