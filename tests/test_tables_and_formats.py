@@ -129,3 +129,9 @@ def test_pileup_over_bins(spark):
     assert len(rows) == 4 + 1 + 1 + 600
     assert [rows["a", "chr1", p] for p in range(254, 258)] == [(7, 1), (7, 1), (7, 3), (7, 2)]
     assert rows["b", "chr1", 256] == (8, 3) and rows["d", None, 5] == (1, 1) and rows["e", "chr1", 855] == (3, 1)
+
+
+def test_depth_from_ends(spark):
+    """An empty alignment covers nothing."""
+    rows = {(r.refspec, r.refpos): r.depth for r in TB.depth(_alignments(spark)).collect()}
+    assert len(rows) == 603 and (("chr1", 299) in rows) and rows["chr1", 300] == 1 and rows["chr1", 256] == 3 and rows[None, 5] == 1
