@@ -71,3 +71,22 @@ def test_quality_mask(spark):
 def test_quality_mask_of_an_empty_text(spark):
     assert one(spark, S.quality_mask("b", "q"), b="", q="") == ""
     assert one(spark, S.quality_mask("b", "q"), b="AC", q="#I!!") == "NC"
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Blocks of a few profiles give what all pairs give, with nulls, two sizes and pairs that agree nowhere."""
+    import random
+
+    from seqloom.operators import profiles as PR
+
+    monkeypatch.setattr(PR, "BLOCK", 7)
+    monkeypatch.setattr(PR, "STEP", 2)
+    draw = random.Random(3)
+    rows = [(i, [draw.choice([True, False, None]) for _ in range(6 if i % 5 else 4)]) for i in range(60)] + [(60, None)]
+    e = spark.createDataFrame(rows, "id long, profile array<boolean>")
+    got = sorted(tuple(r) for r in PR.nearest(e.where("id % 3 = 0"), e, "id", 4, least=0).collect())
+    want = []
+    for i, a in rows[:60:3]:
+        near = sorted((-sum(x == y and x is not None for x, y in zip(a, b)) / len(a), j) for j, b in rows[:60] if j != i and len(b) == len(a))[:4]
+        want += [(i, j, -s) for s, j in near]
+    assert got == sorted(want)
