@@ -101,12 +101,17 @@ def resolve_overlaps(placed: DataFrame, most: int = 115) -> DataFrame:
 def place_reads(reads: DataFrame, contigs: DataFrame, k: int) -> DataFrame:
     """``spotid, contig, read_pos, contig_pos, plus``: where the first k-mer of a read that some contig holds lies in it.
 
-    Of several places the first of the smallest contig counts; ``plus`` tells whether read and contig run the same way.
+    Of several places the first of the smallest contig counts; ``plus`` tells whether read and contig run the same way.  A k-mer
+    meets one contig, the smallest that holds it, and the place is looked up in that contig alone, so places never multiply.
     """
-    at = lambda rows, key, pos, way: rows.select(key, F.posexplode(S.stranded_kmers("bases", k)).alias(pos, "x")).select(key, F.col(pos).cast("long").alias(pos), "x.kmer", F.col("x.plus").alias(way))
-    met = at(reads, "spotid", "read_pos", "way").join(at(contigs, "contig", "contig_pos", "other"), "kmer")
-    first = met.groupBy("spotid").agg(F.min(F.struct("read_pos", "contig", "contig_pos", (F.col("way") == F.col("other")).alias("plus"))).alias("m"))
-    return first.select("spotid", "m.contig", "m.read_pos", "m.contig_pos", "m.plus")
+    own = reads.select("spotid", F.posexplode(S.stranded_kmers("bases", k)).alias("read_pos", "x")).select("spotid", F.col("read_pos").cast("long").alias("read_pos"), "x.kmer", F.col("x.plus").alias("way"))
+    held = contigs.where(F.length("bases") >= k).select("contig", F.explode(S.kmers("bases", k)).alias("kmer")).groupBy("kmer").agg(F.min("contig").alias("contig"))
+    first = own.join(held, "kmer").groupBy("spotid").agg(F.min(F.struct("read_pos", "contig", "kmer", "way")).alias("m")).select("spotid", "m.*")
+    there = first.select("contig", "kmer").distinct().join(contigs.select("contig", "bases"), "contig")
+    ahead, back = (F.nullif(F.instr(F.col("bases"), f(S.decode("kmer", k))), F.lit(0)) for f in (lambda x: x, S.revcomp))
+    places = there.select("contig", "kmer", ahead.alias("_a"), back.alias("_b")).select("contig", "kmer", (F.least("_a", "_b") - 1).cast("long").alias("contig_pos"), F.coalesce(F.col("_a") <= F.col("_b"), F.col("_b").isNull()).alias("other")).where("contig_pos IS NOT NULL")
+    met = first.join(places, ["contig", "kmer"])
+    return met.groupBy("spotid", "contig", "read_pos").agg(F.min(F.struct("contig_pos", (F.col("way") == F.col("other")).alias("plus"))).alias("m")).select("spotid", "contig", "read_pos", "m.contig_pos", "m.plus")
 
 
 def direct(contigs: DataFrame, k: int, key: str) -> DataFrame:

@@ -83,3 +83,13 @@ def test_assembly_over_growing_k(spark):
     longest = {k: max((r["bases"] for r in made if r["k"] == k), key=len) for k in (9, 21)}
     assert len(longest[9]) < 200 and (longest[21] in g or turn(longest[21]) in g) and len(longest[21]) > 350
     assert M.assemble(spark.createDataFrame([], "id long, bases string"), [5]).collect() == []
+
+
+def test_places_of_frequent_kmers(spark):
+    """1,200 k-mers that each lie at 800,000 places: pairs of all places would be a thousand million rows."""
+    from seqloom.operators import assembly as AS
+
+    contigs = spark.range(400).selectExpr("id AS contig", "repeat('A', 2000) AS bases").repartition(4)
+    reads = spark.range(50).selectExpr("id AS spotid", "if(id % 2 = 0, repeat('A', 38), concat('C', repeat('T', 37))) AS bases")
+    rows = {r.spotid: tuple(r)[1:] for r in AS.place_reads(reads, contigs, 15).select("spotid", "contig", "read_pos", "contig_pos", "plus").collect()}
+    assert rows == {i: (0, 0, 0, True) if i % 2 == 0 else (0, 1, 0, False) for i in range(50)}
