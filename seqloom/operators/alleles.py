@@ -7,10 +7,13 @@ never sent along with a candidate, but the stretch of it that the candidate need
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from seqloom.functions import seq as S
 from seqloom.operators.alignment import align_many
@@ -102,22 +105,43 @@ def chains(found: DataFrame, apart: int = 15, fraction: float = 0.1) -> DataFram
     """``locus, plus, contig, qlen, clen, qfrom, qto, sfrom, sto, score, low, high``: chains of candidates that cover ``fraction`` of the query.
 
     Candidates further apart than a query and the way between diagonals cannot be in one chain, so a contig falls into islands,
-    and a task chains an island.  ``low`` and ``high`` bound the chain's diagonals (place in the contig less place in the query).
+    and islands are chained one after another, many to a task.  ``low`` and ``high`` bound the chain's diagonals (place in the contig less place in the query).
     """
     w = Window.partitionBy("locus", "plus", "contig").orderBy("sfrom", "qfrom")
     reach = F.max("sto").over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(F.col("sfrom") - reach > F.col("qlen") + apart, 1).otherwise(0)
     rows = found.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
     names = ["qfrom", "qto", "sfrom", "sto", "score", "low", "high"]
-
-    def run(table: pa.Table) -> pa.Table:
-        own = list(zip(*(table.column(c).to_pylist() for c in names[:5]), strict=True))
-        out = best_chains(own, apart, fraction * table.column("qlen")[0].as_py())
-        first = [pa.array([table.column(c)[0].as_py()] * len(out), table.column(c).type) for c in _KEYS]
-        return pa.table([*first, *(pa.array([x[i] for x in out], pa.int64()) for i in range(7))], [*_KEYS, *names])
+    wide = [*_KEYS, "_island", *names[:5]]
+
+    def islands(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        """The rows of one island after another; they lie together, but not always in one batch."""
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in wide), strict=True):
+                if held and row[:6] != held[-1][:6]:
+                    yield held
+                    held = []
+                held.append(row)
+        if held:
+            yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], [*_KEYS, *names])
+        for own in islands(batches):
+            out += [(*own[0][:5], *x) for x in best_chains([r[6:] for r in own], apart, fraction * own[0][3])]
+            if len(out) >= 10_000:
+                yield pack()
+                out = []
+        if out:
+            yield pack()
 
     kinds = dict(found.dtypes)
-    return rows.groupBy("locus", "plus", "contig", "_island").applyInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in _KEYS), *(f"{c} long" for c in names)]))
+    types = [*to_arrow_schema(found.select(*_KEYS).schema).types, *[pa.int64()] * len(names)]
+    # the window has brought the rows of a contig into one task
+    sorted_rows = rows.select(*wide).sortWithinPartitions("locus", "plus", "contig", "sfrom", "qfrom")
+    return sorted_rows.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in _KEYS), *(f"{c} long" for c in names)]))
 
 
 def _aligned(rows: DataFrame, match: int, mismatch: int, opening: int, extension: int, margin: int) -> DataFrame:
@@ -131,7 +155,8 @@ def _aligned(rows: DataFrame, match: int, mismatch: int, opening: int, extension
         out = [(x["query_start"], x["query_end"], x["subject_start"], x["subject_end"], x["matches"]) for x in found]
         return pd.DataFrame(out, columns=[k.split()[0] for k in kinds.split(", ")]).astype("Int32")
 
-    return rows.withColumn("_a", run("query", "text", "low", "high")).select("*", "_a.*").drop("_a")
+    # not deterministic, so that no condition on its result is worked out twice, before and after a shuffle
+    return rows.withColumn("_a", run.asNondeterministic()("query", "text", "low", "high")).select("*", "_a.*").drop("_a")
 
 
 def call_alleles(

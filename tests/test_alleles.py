@@ -142,3 +142,32 @@ def test_conflicts_of_loci(spark):
     kind = "locus string, allele string, contig string, `from` int, `to` int, plus boolean, seq string, matches int, identity double, qlen int, not_aligned_5 int, not_aligned_3 int, has_start boolean, has_stop boolean, consistent boolean"
     got = {(r["locus"], r["contig"], r["allele"], r["kept"]) for r in A.resolve_loci(spark.createDataFrame(rows, kind), 90).collect()}
     assert got == {("long", "c", "1", True), ("x", "d", "1", False), ("y", "d", "1", False), ("twice", "e", "1", False), ("twice", "f", "1", False), ("same", "g", "b", True), ("far", "h", "1", True)}
+
+
+def test_chains_of_islands_in_small_batches(spark):
+    """Islands that begin and end inside batches are chained alone, without a call of Python's for each."""
+    import contextlib
+    import io
+    import random
+
+    draw, rows = random.Random(5), []
+    for locus in range(3):
+        for contig in range(4):
+            for island in range(9):
+                for d in draw.sample(range(40), draw.randint(1, 5)):
+                    at = draw.randint(0, 60)
+                    rows.append((locus, True, contig, at, at + 30, island * 1000 + at + d, island * 1000 + at + d + 30, 31, 100, 9000))
+    found = spark.createDataFrame(rows, "locus long, plus boolean, contig long, qfrom long, qto long, sfrom long, sto long, score int, qlen int, clen int")
+    want = []
+    for key in {(r[0], r[2], r[5] // 1000) for r in rows}:
+        want += [(key[0], key[1], *x) for x in A.best_chains([r[3:8] for r in rows if (r[0], r[2], r[5] // 1000) == key], 15, 10.0)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        told = A.chains(found)
+        got = [(r.locus, r.contig, r.qfrom, r.qto, r.sfrom, r.sto, r.score, r.low, r.high) for r in told.collect()]
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            told.explain()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == sorted(want)
+    assert "FlatMapGroups" not in plan.getvalue()
