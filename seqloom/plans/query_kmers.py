@@ -51,6 +51,16 @@ def _index(spark, d):
     return KD.build_index(_tagged(spark, d), TX.lineages(V.taxonomy(spark, d)))
 
 
+def _by_read(spark, d):
+    """K-mers whose reads each lie in one task."""
+    return KD.explode_kmers(KD.gathered(V.reads(spark, d).select("spotid", "bases"), "spotid"), K, "spotid")
+
+
+def _small(db):
+    """A table of different k-mers of 11 bases, at most 4**11 / 2 rows of two numbers, for all tasks."""
+    return F.broadcast(db)
+
+
 def _text(df, *cols):
     return df.select(*cols, S.decode("kmer", K).alias("kmer"))
 
@@ -224,7 +234,8 @@ def _(spark, d):
 
 @query("c37_index_recheck", "coded db_b", "SELECT kmer, count(DISTINCT spotid) AS seqs FROM coded WHERE kmer IN (SELECT kmer FROM db_b) GROUP BY kmer")
 def _(spark, d):
-    return _text(_tagged(spark, d).join(_b(spark, d), "kmer", "left_semi").groupBy("kmer").agg(F.count_distinct("spotid").alias("seqs")), "seqs")
+    counts = _by_read(spark, d).distinct().groupBy("kmer").agg(F.count("*").alias("seqs"))
+    return _text(counts.join(_b(spark, d), "kmer", "left_semi"), "seqs")
 
 
 @query("c39_merge_kingdoms", "coded lineage", """WITH hi AS (SELECT DISTINCT kmer, CAST(100 + min(spotid % 25) AS INTEGER) AS a FROM coded WHERE lang = 'en' GROUP BY kmer), lo AS (SELECT kmer, CAST(1000 + 1 + min(spotid % 50) AS INTEGER) AS b FROM coded WHERE lang <> 'en' GROUP BY kmer),
@@ -292,8 +303,8 @@ def _(spark, d):
 
 @query("c34_classify_multi", "coded", "SELECT c.spotid, m.t AS tax_id, count(*) AS n FROM coded c JOIN (SELECT DISTINCT kmer, CAST(100 + spotid % 25 AS INTEGER) AS t FROM coded WHERE lang = 'es') m USING (kmer) GROUP BY 1, 2")
 def _(spark, d):
-    m = KD.build_multi(_tagged(spark, d).join(V.reads(spark, d).where("lang = 'es'").select("spotid"), "spotid", "left_semi"))
-    return _db(K, d, spark).join(m, "kmer").select("spotid", F.explode("tax_ids").alias("tax_id")).groupBy("spotid", "tax_id").agg(F.count("*").alias("n"))
+    m = KD.build_multi(KD.explode_kmers(V.reads(spark, d).where("lang = 'es'"), K, "spotid").select("kmer", V.tax_of(F.col("spotid")).alias("tax_id")))
+    return KD.multi_hits(_by_read(spark, d), m, "spotid", small=True)  # of k-mers of 11 bases there are 4**11 / 2
 
 
 @query("c35_two_step_classify", "coded kmer_db", """WITH s AS (SELECT DISTINCT tax_id FROM coded JOIN kmer_db USING (kmer) WHERE tax_id >= 100) SELECT spotid, tax_id, count(*) AS n FROM coded JOIN kmer_db USING (kmer) WHERE tax_id IN (SELECT tax_id FROM s) GROUP BY 1, 2""")
@@ -316,7 +327,7 @@ def _(spark, d):
 
 @query("c48_unique_hits", "coded kmer_db", "SELECT spotid, tax_id, count(DISTINCT kmer) AS n FROM coded JOIN kmer_db USING (kmer) GROUP BY 1, 2")
 def _(spark, d):
-    return KD.unique_hits(_db(K, d, spark), _index(spark, d), "spotid")
+    return KD.unique_hits(_by_read(spark, d), _small(_index(spark, d)), "spotid")
 
 
 @query("c50_collate", "hit_rows", "SELECT spotid, string_agg(tax_id || 'x' || n, ' ' ORDER BY tax_id) AS hits FROM hit_rows GROUP BY spotid")
@@ -430,7 +441,7 @@ def _(spark, d):
 
 @query("c96_raw_kmers", "coded", "SELECT spotid, kmer, count(*) AS n FROM coded GROUP BY 1, 2")
 def _(spark, d):
-    return _text(KD.explode_kmers(V.reads(spark, d), K, "spotid"), "spotid").groupBy("spotid", "kmer").agg(F.count("*").alias("n"))
+    return _text(_by_read(spark, d).groupBy("spotid", "kmer").agg(F.count("*").alias("n")), "spotid", "n")
 
 
 @query("c72_minhash_profile", "profiles", "SELECT source, place, kmer FROM profiles")
@@ -490,7 +501,7 @@ def _(spark, d):
   every AS (SELECT size, CAST(sum(length(bases) // size) AS BIGINT) AS windows FROM reads, w GROUP BY size), t AS (SELECT size, windows, coalesce(identified, 0) AS identified FROM every LEFT JOIN found USING (size))
   SELECT CAST(size AS INTEGER) AS size, windows, identified, coalesce(size = (SELECT min(size) FROM t WHERE identified >= 0.9 * windows AND windows > 0), false) AS effective FROM t""")
 def _(spark, d):
-    return KD.effective_window(V.reads(spark, d), _b(spark, d), K, [16 << i for i in range(7)], 0.9)
+    return KD.effective_window(V.reads(spark, d), _small(_b(spark, d)), K, [16 << i for i in range(7)], 0.9)
 
 
 @query("c61_contig_statistics", "coded", "SELECT source, CAST(sum(n) AS BIGINT) AS coverage, round(avg(n), 6) AS average, round(100.0 * sum(n) / (SELECT count(*) FROM coded), 6) AS percent FROM (SELECT source, kmer, count(*) AS n FROM coded GROUP BY 1, 2) GROUP BY source")
@@ -512,7 +523,7 @@ def _(spark, d):
 def _(spark, d):
     fields = [F.col("spotid").cast("string"), *map(F.lit, ["4", "*", "0", "0", "*", "*", "0", "0"]), F.col("bases"), F.lit("*")]
     lines = V.reads(spark, d).select(F.concat_ws("\t", *fields).alias("line"))
-    marked = FM.filter_sam(lines, _b(spark, d), K)
+    marked = FM.filter_sam(lines, _small(_b(spark, d)), K)
     return marked.select(F.split("line", "\t")[0].cast("long").alias("spotid"), "rejected")
 
 
@@ -521,4 +532,4 @@ def _(spark, d):
     fields = [F.col("spotid").cast("string"), *map(F.lit, ["4", "*", "0", "0", "*", "*", "0", "0"]), F.col("bases"), F.lit("*")]
     lines = V.reads(spark, d).select(F.concat_ws("\t", *fields).alias("line"))
     f = F.split("line", "\t")
-    return FM.mask_sam(FM.filter_sam(lines, _b(spark, d), K)).select(f[0].cast("long").alias("spotid"), F.md5(f[9].cast("binary")).alias("bases"))
+    return FM.mask_sam(FM.filter_sam(lines, _small(_b(spark, d)), K)).select(f[0].cast("long").alias("spotid"), F.md5(f[9].cast("binary")).alias("bases"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
+from seqloom.operators.kmerdb import gathered
 from seqloom.sources.files import read_binary_index, read_fastq, read_nested, read_pairs  # noqa: F401
 
 
@@ -36,7 +37,7 @@ def parse_sam(lines: DataFrame) -> DataFrame:
 
 def filter_sam(lines: DataFrame, db: DataFrame, k: int) -> DataFrame:
     """``line, rejected``: whether a line's sequence holds a k-mer of ``db``; header lines are kept."""
-    rows = lines.withColumn("_id", F.monotonically_increasing_id())
+    rows = gathered(lines.withColumn("_id", F.monotonically_increasing_id()), "_id", "line")
     seqs = rows.where(~F.col("line").startswith("@")).select("_id", F.explode(S.acgt_runs(F.upper(F.split("line", "\t")[9]))).alias("bases")).where(F.length("bases") >= k)
     bad = seqs.select("_id", F.explode(S.kmers("bases", k)).alias("kmer")).join(db.select("kmer"), "kmer", "left_semi").select("_id").distinct().withColumn("_bad", F.lit(True))
     return rows.join(bad, "_id", "left").select("line", F.coalesce("_bad", F.lit(False)).alias("rejected"))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from seqloom.functions import seq as S
 from seqloom.operators import kmerdb as KD
 
@@ -90,3 +92,32 @@ def test_nearest_in_blocks(spark, monkeypatch):
         near = sorted((-sum(x == y and x is not None for x, y in zip(a, b)) / len(a), j) for j, b in rows[:60] if j != i and len(b) == len(a))[:4]
         want += [(i, j, -s) for s, j in near]
     assert got == sorted(want)
+
+
+def _exchanges(df):
+    """Shuffles that a plan asks for."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_kmers_of_gathered_reads_are_not_shuffled(spark):
+    reads = spark.createDataFrame([(1, "ACGTACGTAC"), (2, "TTTTTT"), (1, "ACGTA"), (3, None)], "spotid int, bases string")
+    counted = KD.explode_kmers(KD.gathered(reads, "spotid"), 4, "spotid").groupBy("spotid", "kmer").agg(F.count("*").alias("n"))
+    plain = KD.explode_kmers(reads, 4, "spotid").groupBy("spotid", "kmer").agg(F.count("*").alias("n"))
+    assert _exchanges(counted) == 1
+    assert sorted(counted.collect()) == sorted(plain.collect())
+
+
+def test_effective_window_shuffles_reads_only(spark):
+    reads = spark.createDataFrame([(1, "ACGTACGTACGTACGT"), (2, "TTTTTTTTGGGGGGGG")], "spotid int, bases string")
+    db = F.broadcast(spark.createDataFrame([("ACGT",)], "s string").select(S.canonical(S.encode("s"), 4).alias("kmer")))
+    rows = KD.effective_window(reads, db, 4, [8, 16], 0.5)
+    assert sorted(tuple(r) for r in rows.collect()) == [(8, 4, 2, True), (16, 2, 1, False)]
+    assert "spotid#" in rows._jdf.queryExecution().executedPlan().toString() and "hashpartitioning(spotid" in rows._jdf.queryExecution().executedPlan().toString()
+    assert "win" not in "".join(x for x in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
+
+
+def test_hits_of_kmers_with_several_taxa(spark):
+    db = spark.createDataFrame([(1, [5, 7]), (2, [5, 7]), (3, [7]), (4, [9])], "kmer long, tax_ids array<int>")
+    own = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("a", 3), ("b", 4), ("b", 8)], "spotid string, kmer long")
+    for small in (False, True):
+        assert sorted(tuple(r) for r in KD.multi_hits(own, db, "spotid", small=small).collect()) == [("a", 5, 3), ("a", 7, 4), ("b", 9, 1)]
