@@ -7,6 +7,7 @@ from functools import cache
 import numpy as np
 import pytest
 
+from seqloom.operators import alignment
 from seqloom.operators.alignment import align, align_pairs, align_many, read_matrix
 
 MATCH, MISMATCH, OPENING, EXTENSION = 1, -2, 5, 2
@@ -138,3 +139,24 @@ def test_matrices_score_pairs():
     same = ("ACGT", np.where(np.eye(4, dtype=bool), 1, -2))
     told = lambda rows: [(x["score"], x["cigar"]) for x in rows]
     assert told(align_many(pairs, matrix=same, mismatch=-2)) == told(align_many([(q.replace("N", "n"), s.replace("N", "-")) for q, s in pairs]))
+
+
+def test_unlike_pairs_share_few_steps(monkeypatch):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choices("ACGT", k=n))
+    pairs = [(text(rng.randrange(400)), text(rng.randrange(400))) for _ in range(120)]
+    made, batch = [], alignment._Batch
+
+    class Counted(batch):
+        def __init__(self, pairs, *rest):
+            made.append(max(len(q) for q, _ in pairs) + max(len(s) for _, s in pairs))
+            super().__init__(pairs, *rest)
+
+    monkeypatch.setattr(alignment, "_Batch", Counted)
+    for mode in ("global", "local", "left", "right"):
+        made.clear()
+        assert align_many(pairs, mode) == [align(q, s, mode) for q, s in pairs]
+        assert sum(made) < 12_000  # about 400 steps a pair if each were alone
+    assert align_many(pairs[:20], "local", bands=[(9, x % 5) for x in range(20)]) == [align(q, s, "local", band=9, shift=x % 5) for x, (q, s) in enumerate(pairs[:20])]
+    assert align_many(pairs[:5], "local", mismatch=1) == [align(q, s, "local", mismatch=1) for q, s in pairs[:5]]
+    assert align_many(pairs[:20], "local", 400, -900) == [align(q, s, "local", 400, -900) for q, s in pairs[:20]]
