@@ -28,14 +28,16 @@ def dispositions(alignments: DataFrame, features: DataFrame, mode: str = "UNION"
     none or several without ambiguity.
     """
     low = F.coalesce(F.col("mapq") < min_mapq, F.lit(False)) if min_mapq >= 1 else F.lit(False)
-    a = alignments.select("id", F.col("refspec").alias("ref"), low.alias("low"), "reversed", cigar_segments(F.col("cigar"), F.col("refpos")).alias("aligned"))
+    # each different CIGAR string is parsed once, from place 0 on
+    parsed = cut(alignments.select("cigar").where("cigar IS NOT NULL").distinct().select("cigar", cigar_segments(F.col("cigar"), F.lit(0)).alias("_segs")))
+    at = F.col("refpos").cast("long")
+    moved = F.transform("_segs", lambda x: F.struct((x["start"] + at).alias("start"), (x["end"] + at).alias("end")))
+    a = alignments.join(parsed, "cigar", "left").select("id", F.col("refspec").alias("ref"), low.alias("low"), "reversed", F.coalesce(moved, F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("aligned"))
     a = a.select("*", F.get("aligned", F.lit(0))["start"].alias("start"), F.try_element_at("aligned", F.lit(-1))["end"].alias("end"))
-    a = cut(a)  # CIGAR strings are parsed once
+    a = cut(a)
     good = a.where("NOT low AND start IS NOT NULL").drop("low")
-    f = features.select("ref", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("id").alias("feature"), "reverse", "segs")
-    met = range_join(good, f, ["ref"])
-    if not ignore_strand:
-        met = met.where(F.col("reversed") == F.col("reverse"))
+    f = features.select("ref", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("id").alias("feature"), F.col("reverse").alias("reversed"), "segs")
+    met = range_join(good, f.drop("reversed"), ["ref"]) if ignore_strand else range_join(good, f, ["ref", "reversed"])
     none, no = F.lit(None).cast("string"), F.lit(0)
     judged = met.select("id", no.alias("low"), no.alias("rest"), "feature", compare_segments(F.col("aligned"), F.col("segs"), mode).alias("result"))
     # every alignment goes along with what it met, so one shuffle by id tells all

@@ -106,3 +106,26 @@ def test_range_join_of_short_and_long_intervals(spark):
     assert sorted(map(tuple, IV.range_join(left, right, ["ref"]).select("ref", "start", "end", "r_start", "r_end").collect())) == want
     assert IV.range_join(left.where("false"), right, ["ref"]).count() == 0
     assert IV.range_join(left, right, ["ref"], how="left").where("r_start IS NULL").count() == len({x for x in one} - {w[:3] for w in want})
+
+
+def test_equal_cigars_are_parsed_once_and_strands_meet_alone(spark, monkeypatch):
+    lines = [("f1", "c", 10, 50, "+"), ("f2", "c", 30, 80, "-")]
+    gtf = spark.createDataFrame(lines, "id string, chrom string, start long, end long, strand string")
+    features = FT.build_features(gtf)
+    rows = [("a", 10, "8M", False), ("b", 11, "8M", False), ("c", 60, "8M", True), ("d", 60, "8M", False), ("e", 90, "8M", True), ("f", 12, "2S3M", False), ("g", 12, None, False), ("h", None, "8M", False), ("i", 12, "", False), ("j", 12, "8M", None)]
+    a = spark.createDataFrame([(i, "c", p, 9, s, x) for i, p, x, s in rows], "id string, refspec string, refpos long, mapq int, reversed boolean, cigar string")
+    parsed, keys, cut, join = [], [], FT.cut, FT.range_join
+
+    def kept(df):
+        out = cut(df)
+        if "cigar" in out.columns:
+            parsed.extend(sorted(r["cigar"] for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(FT, "cut", kept)
+    monkeypatch.setattr(FT, "range_join", lambda left, right, on: keys.append(on) or join(left, right, on))
+    got = {r["id"]: r["disposition"] for r in FT.dispositions(a, features, "STRICT").collect()}
+    assert got == {"a": "f1", "b": "f1", "c": "f2", "d": "NOFT", "e": "NOFT", "f": "f1", "g": "NOFT", "h": "NOFT", "i": "NOFT", "j": "NOFT"}
+    assert parsed == ["", "2S3M", "8M"] and keys == [["ref", "reversed"]]
+    loose = {r["id"]: r["disposition"] for r in FT.dispositions(a, features, "UNION", ignore_strand=True).collect()}
+    assert loose["d"] == "f2" and loose["j"] == "f1"
