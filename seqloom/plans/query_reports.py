@@ -119,7 +119,7 @@ def _(spark, d):
     FM.write_kmer_db(QK._index(spark, d), path, by_tax=True)
     dense = FM.read_kmer_db(spark, path)
     sparse = dense.where(S.decode("kmer", K).startswith("A") & (F.col("tax_id") >= 100))
-    return KD.classify_in_two_steps(QK._db(K, d, spark), sparse, lambda taxa: FM.read_kmer_db(spark, path, taxa), "spotid")
+    return KD.classify_in_two_steps(QK._by_read(spark, d), QK._small(sparse), lambda taxa: QK._small(FM.read_kmer_db(spark, path, taxa)), "spotid")
 
 
 @query("c94_read_checksum", "reads", "SELECT source, count(*) AS n, CAST(sum(length(bases)) AS BIGINT) AS bases, CAST(sum(CAST('0x' || substr(md5(bases), 1, 8) AS BIGINT)) AS BIGINT) AS checksum FROM reads GROUP BY source")

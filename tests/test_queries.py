@@ -31,3 +31,14 @@ def test_query(spark, name):
     assert sorted(names) == order
     want = sorted(tuple(value(r[names.index(c)]) for c in order) for r in con.fetchall())
     assert sorted(tuple(value(r[c]) for c in order) for r in df.collect()) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_batch_classification_keeps_reads_in_their_tasks(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.queries()["c103_batch_classify"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("BroadcastHashJoin [kmer") == 2 and "SortMergeJoin [kmer" not in plan
