@@ -7,8 +7,11 @@ may be several.  A range is ``start.count``, ``@ref`` or ``@ref:start.count``.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,8 +129,12 @@ def scan(spec: TableSpec, source: DataFrame) -> DataFrame:
     return rows.select(*((F.coalesce(F.col(f), empty(f)) if f in flags or dict(source.dtypes)[f] == "string" else F.col(f)).alias(f) if f in source.columns else empty(f).alias(f) for f in spec.fields))
 
 
-#: Places of a reference that share a row while depths are counted.
+#: Places of a reference that share a row of depths.
 BIN = 256
+#: Places of a reference whose steps are added up in one task; a place in it has two bytes.
+STRETCH = 1 << 16
+#: Alignments that a task adds up at once.
+TOGETHER = 1 << 20
 
 
 def _bin_pieces(alignments: DataFrame, *keep: str) -> DataFrame:
@@ -138,19 +145,94 @@ def _bin_pieces(alignments: DataFrame, *keep: str) -> DataFrame:
     return cut_off.select(*keep, "refspec", "_bin", F.greatest(F.col("refpos") - first, F.lit(0)).cast("int").alias("_from"), F.least(F.col("refpos") + F.col("length") - first, F.lit(BIN)).cast("int").alias("_to"))
 
 
+def _steps_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From ``refspec, refpos, length`` the steps of depth in each stretch: ``refspec, _stretch, _at, _n``, as bytes.
+
+    ``TOGETHER`` alignments are added up before they leave, so a stretch sends a row for so many alignments and each of its places at most once.
+    """
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= TOGETHER:
+            yield from _added_up(pa.Table.from_batches(held))
+            held, count = [], 0
+    if count:
+        yield from _added_up(pa.Table.from_batches(held))
+
+
+def _added_up(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    names = rows["refspec"].combine_chunks().dictionary_encode(null_encoding="encode")
+    ref, first, length = names.indices.to_numpy(), rows["refpos"].to_numpy(), rows["length"].to_numpy()
+    ref, at, n = np.concatenate([ref, ref]), np.concatenate([first, first + length]), np.repeat(np.array([1, -1]), len(first))
+    order = np.lexsort((at, ref))
+    ref, at, n = ref[order], at[order], n[order]
+    own = np.flatnonzero(np.concatenate([[True], (np.diff(ref) != 0) | (np.diff(at) != 0)]))
+    ref, at, n = ref[own], at[own], np.add.reduceat(n, own)
+    stretch, depth = at // STRETCH, np.cumsum(n)  # which is 0 where a reference ends
+    # what is still open where a stretch ends is a step at the beginning of the next one
+    more = np.where(depth[:-1] > 0, np.diff(stretch), 0)
+    after = np.repeat(np.arange(len(more)), more)
+    nth = np.arange(len(after)) - np.repeat(np.cumsum(more) - more, more) + 1
+    on = stretch[after] + nth
+    ref, at, n, stretch = (np.insert(x, after + 1, y) for x, y in ((ref, ref[after]), (at, on * STRETCH), (n, depth[after]), (stretch, on)))
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(ref) != 0) | (np.diff(stretch) != 0)]))
+    ends = np.append(begin, len(at))
+    for i in range(0, len(begin), 1 << 12):
+        some = ends[i : i + (1 << 12) + 1]
+        x, which = slice(some[0], some[-1]), begin[i : i + (1 << 12)]
+        packed = lambda values, kind: pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(((some - some[0]) * kind().itemsize).astype(np.int32)), pa.py_buffer(values.astype(kind))])
+        yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(ref[which])), pa.array(stretch[which]), packed(at[x] - stretch[x] * STRETCH, np.uint16), packed(n[x], np.int32)], names=["refspec", "_stretch", "_at", "_n"])
+
+
+def _depths_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From all steps of a stretch, which follow one another, ``refspec, _bin, depths`` of the bins that are touched."""
+    steps, low, high, now = np.zeros(STRETCH, np.int64), STRETCH, 0, None
+    made, size = [], 0
+
+    def closed() -> None:
+        """The bins of the stretch ``now``; its steps are 0 again."""
+        nonlocal low, high, size
+        low, high = low // BIN * BIN, -(-(high + 1) // BIN) * BIN
+        depths = np.cumsum(steps[low:high])
+        open_end = depths[-1]
+        steps[low:high] = 0
+        if open_end:  # the last depth goes on to the end
+            depths = np.concatenate([depths, np.full(STRETCH - high, open_end)])
+        depths = depths.reshape(-1, BIN)
+        touched = np.flatnonzero(depths.any(axis=1))
+        made.append((now[0], now[1] * (STRETCH // BIN) + low // BIN + touched, depths[touched]))
+        low, high, size = STRETCH, 0, size + len(touched)
+
+    def batch() -> pa.RecordBatch:
+        refs = pa.array([m[0] for m in made], pa.string()).take(pa.array(np.repeat(np.arange(len(made)), [len(m[1]) for m in made])))
+        depths = pa.ListArray.from_arrays(np.arange(size + 1, dtype=np.int32) * BIN, np.concatenate([m[2] for m in made]).ravel())
+        return pa.RecordBatch.from_arrays([refs, pa.array(np.concatenate([m[1] for m in made])), depths], names=["refspec", "_bin", "depths"])
+
+    for rows in batches:
+        for key in zip(rows["refspec"].to_pylist(), rows["_stretch"].to_pylist(), rows["_at"], rows["_n"], strict=True):
+            if now is not None and now != key[:2]:
+                closed()
+                if size >= STRETCH // BIN:
+                    yield batch()
+                    made, size = [], 0
+            now, at, n = key[:2], np.frombuffer(key[2].as_buffer(), np.uint16), np.frombuffer(key[3].as_buffer(), np.int32)
+            np.add.at(steps, at, n)
+            low, high = min(low, int(at[0])), max(high, int(at[-1]))
+    if now is not None:
+        closed()
+        yield batch()
+
+
 def _bin_depths(alignments: DataFrame) -> DataFrame:
     """``refspec, _bin, depths``: the depths of all places of each bin that is touched.
 
-    Only the two ends of a piece travel, and they are added up before the shuffle, so no place is written out for an alignment.
+    Only steps of depth travel, added up in their task and packed by stretches, so no place is written out for an alignment.
     """
-    step = lambda at, n: F.struct(at.alias("at"), F.lit(n).cast("long").alias("n"))
-    ends = _bin_pieces(alignments).select("refspec", "_bin", F.inline(F.array(step(F.col("_from"), 1), step(F.col("_to"), -1))))
-    steps = ends.groupBy("refspec", "_bin", "at").agg(F.sum("n").alias("n"))
-    by = steps.groupBy("refspec", "_bin").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("steps"))
-    # a stretch from one step to the next has the sum of the steps so far
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("long").alias("depth"))
-    grown = lambda acc, x: F.struct(F.concat(acc["out"], F.array_repeat(acc["depth"], (x["at"] - F.size(acc["out"])).cast("int"))).alias("out"), (acc["depth"] + x["n"]).alias("depth"))
-    return by.select("refspec", "_bin", F.aggregate("steps", start, grown, lambda acc: acc["out"]).alias("depths"))
+    rows = alignments.where("length > 0 AND refpos IS NOT NULL").select(F.col("refspec").cast("string").alias("refspec"), F.col("refpos").cast("long").alias("refpos"), F.col("length").cast("long").alias("length"))
+    steps = rows.mapInArrow(_steps_of_task, "refspec string, _stretch long, _at binary, _n binary")
+    by = steps.repartition("refspec", "_stretch").sortWithinPartitions("refspec", "_stretch")
+    return by.mapInArrow(_depths_of_task, "refspec string, _bin long, depths array<long>")
 
 
 def pileup(alignments: DataFrame) -> DataFrame:

@@ -135,3 +135,23 @@ def test_depth_from_ends(spark):
     """An empty alignment covers nothing."""
     rows = {(r.refspec, r.refpos): r.depth for r in TB.depth(_alignments(spark)).collect()}
     assert len(rows) == 603 and (("chr1", 299) in rows) and rows["chr1", 300] == 1 and rows["chr1", 256] == 3 and rows[None, 5] == 1
+
+
+def test_depth_is_added_up_before_one_shuffle(spark, monkeypatch):
+    """Against plain Python: several rounds of a task, places below 0, ends on the edges of bins and stretches; steps travel once."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(7)
+    places = [-70000, -256, -1, 0, 255, 256, TB.STRETCH - 3, TB.STRETCH, 3 * TB.STRETCH - 256, 10**12]
+    rows = [(rng.choice(["a", "b", None]), rng.choice(places) + rng.randrange(-2, 3), rng.choice([0, 1, 2, 3, 255, 256, 257, 300])) for _ in range(300)]
+    rows += [("c", 100, 3 * TB.STRETCH), ("c", TB.STRETCH, TB.STRETCH), ("c", None, 4), ("c", 4, None), ("d", 0, TB.STRETCH)]
+    want = Counter((r, p) for r, first, n in rows if first is not None for p in range(first, first + (n or 0)))
+    monkeypatch.setattr(TB, "TOGETHER", 40)
+    frame = spark.createDataFrame(rows, "refspec string, refpos long, length long").coalesce(1)
+    depth = TB.depth(frame)
+    assert {(r.refspec, r.refpos): r.depth for r in depth.collect()} == want
+    assert depth._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("hashpartitioning") == 1
+    assert TB.depth(frame.where("length < 0")).collect() == []
+    covered = {(r.refspec, r.refpos, r.depth) for r in TB.pileup(frame.selectExpr("'i' AS id", "1 AS mapq", "*")).collect()}
+    assert covered == {(*at, n) for at, n in want.items()}
