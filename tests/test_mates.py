@@ -93,3 +93,28 @@ def test_places_of_frequent_kmers(spark):
     reads = spark.range(50).selectExpr("id AS spotid", "if(id % 2 = 0, repeat('A', 38), concat('C', repeat('T', 37))) AS bases")
     rows = {r.spotid: tuple(r)[1:] for r in AS.place_reads(reads, contigs, 15).select("spotid", "contig", "read_pos", "contig_pos", "plus").collect()}
     assert rows == {i: (0, 0, 0, True) if i % 2 == 0 else (0, 1, 0, False) for i in range(50)}
+
+
+def test_counts_of_tasks(spark, monkeypatch):
+    """The same as one row a k-mer gives, over edges of pieces, in fewer rows."""
+    rng = random.Random(5)
+    texts = [genome(rng, rng.randrange(0, 120)) for _ in range(60)] + ["A" * 5000, None, "", "ACGTNACGTT"]
+    reads = spark.createDataFrame([(t,) for t in texts], "bases string").coalesce(1)
+    for k, piece in ((4, 50), (9, 64), (31, 1 << 21)):
+        monkeypatch.setattr(KD, "PIECE", piece)
+        rows = KD.task_counts(reads, k)
+        told = {r["kmer"]: r["n"] for r in rows.groupBy("kmer").sum("n").toDF("kmer", "n").collect()}
+        assert told == {r["kmer"]: r["n"] for r in KD.count_kmers(KD.clean_runs(reads), k).collect()}
+    assert rows.count() < KD.explode_kmers(KD.clean_runs(reads), 31).count()
+
+
+def test_spent_reads(spark):
+    """Reads of one id leave together, those without an id or k-mers stay; one place that is not there keeps a read."""
+    rng = random.Random(6)
+    g = genome(rng, 300)
+    other = {"A": "C"}.get(g[63], "A")
+    rows = [(1, g[:100]), (2, g[50:63] + other + g[64:200]), (3, g[10:19]), (4, g[:8]), (5, g[:60]), (5, genome(rng, 60)), (6, g[20:60]), (6, turn(g[100:200])), (None, g[:50]), (7, None), (8, "")]
+    used = spark.createDataFrame([(g,)], "bases string")
+    used = KD.count_kmers(used, K).select("kmer")
+    got = [r["id"] for r in M.spent_reads(spark.createDataFrame(rows, "id long, bases string"), used, K).collect()]
+    assert sorted(got) == [1, 3, 6]
