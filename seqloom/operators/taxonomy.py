@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators.store import cut
+
 ROOT = 1
 UNKNOWN = "unknown"
 
 
 def lineages(taxonomy: DataFrame, most: int = 100) -> DataFrame:
-    """``tax_id, lineage``: the path from the root, by a recursive query over the tree; depth is bounded by ``most``."""
-    spark = taxonomy.sparkSession
-    taxonomy.select(F.col("tax_id").cast("int").alias("tax_id"), F.col("parent_id").cast("int").alias("parent_id")).createOrReplaceTempView("_taxonomy_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(tax_id, lineage) MAX RECURSION LEVEL {most} AS (
-          SELECT {ROOT}, array({ROOT})
-          UNION ALL SELECT t.tax_id, array_append(w.lineage, t.tax_id) FROM _taxonomy_edges t JOIN walk w ON t.parent_id = w.tax_id WHERE t.tax_id <> {ROOT})
-        SELECT tax_id, lineage FROM walk""")
+    """``tax_id, lineage``: the path from the root, a level of the tree at a time; depth is bounded by ``most``, the number of taxa is not.
+
+    A recursive query would stop at a million rows, and hand all of them out from one task.
+    """
+    edges = taxonomy.select(F.col("parent_id").cast("int").alias("_up"), F.col("tax_id").cast("int").alias("_down")).where(F.col("_down") != ROOT)
+    level = taxonomy.sparkSession.range(1).select(F.lit(ROOT).alias("tax_id"), F.array(F.lit(ROOT)).alias("lineage"))
+    levels = [level]
+    for _ in range(most):
+        level = cut(edges.join(level, edges["_up"] == level["tax_id"]).select(F.col("_down").alias("tax_id"), F.array_append("lineage", F.col("_down")).alias("lineage")))
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(level)
+    raise ValueError(f"the tree has more than {most} levels or a circle")
 
 
 def common_prefix(a: Column, b: Column) -> Column:

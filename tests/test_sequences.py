@@ -52,6 +52,17 @@ def test_low_complexity(spark):
     assert one(spark, S.predicted("s"), s="ACGTTGCAACGG") == 0
 
 
+def test_filter_db_looks_at_complexity_behind_the_taxon(spark):
+    kmers = {"AAAAAAAAAAA": 5, "ACGTTGCAACG": 5, "ACGTTGCAACC": 7, "ACGTTGCAACT": 131567, "ACGTTGCAATT": None}
+    db = spark.createDataFrame(list(kmers.items()), "bases string, tax_id int").select(S.encode("bases").alias("kmer"), "tax_id")
+    names = lambda rows: {r.bases for r in rows.select(S.decode("kmer", 11).alias("bases")).collect()}
+    assert names(KD.filter_db(db, 11)) == {"ACGTTGCAACG", "ACGTTGCAACC"}
+    assert names(KD.filter_db(db, 11, 5)) == {"ACGTTGCAACG"}
+    built = db.groupBy("kmer").agg(F.max("tax_id").alias("tax_id"))
+    plan = KD.filter_db(built, 11, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length" in plan[: plan.index("Aggregate")] and "octet_length" not in plan[plan.index("Aggregate") :]
+
+
 def test_minimizer_windows(spark):
     reads = spark.createDataFrame([(1, "ACGTTGCAAC"), (2, "ACG")], "spotid int, bases string")
     rows = KD.minimizers(reads, 3, 4, "spotid").collect()

@@ -37,6 +37,25 @@ def test_taxa(spark):
     assert dict(map(tuple, TX.deepest_unambiguous(hits.where("k in ('a', 'b')"), ["k"], lin).collect())) == {"a": 2, "b": 5}
 
 
+def test_lineages_of_more_than_a_million_taxa(spark):
+    n = 1_000_100
+    leaves = spark.range(10, n).select(F.col("id").cast("int").alias("tax_id"), (F.col("id") % 3 + 2).cast("int").alias("parent_id"))
+    top = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1)], "tax_id int, parent_id int")
+    got = TX.lineages(top.union(leaves)).agg(F.count("*").alias("n"), F.count_distinct("tax_id").alias("taxa"), F.sum(F.element_at("lineage", -1).cast("long")).alias("ids"), F.sum(F.size("lineage")).alias("steps")).first()
+    assert tuple(got) == (n - 6, n - 6, sum(range(10, n)) + 10, 3 * (n - 10) + 7)
+
+
+def test_lineages_bound_depth_and_leave_out_what_the_root_does_not_reach(spark):
+    rows = [(1, 1), (2, 1), (3, 2), (4, 3), (8, 9), (9, 8), (6, 5)]  # a circle beside the tree, and a child of no one
+    tree = spark.createDataFrame(rows, "tax_id int, parent_id int")
+    assert {r.tax_id: r.lineage for r in TX.lineages(tree, 4).collect()} == {1: [1], 2: [1, 2], 3: [1, 2, 3], 4: [1, 2, 3, 4]}
+    with pytest.raises(ValueError):
+        TX.lineages(tree, 3)
+    with pytest.raises(ValueError):
+        TX.lineages(tree.union(spark.createDataFrame([(2, 4)], tree.schema)), 10)
+    assert [tuple(r) for r in TX.lineages(tree.limit(0)).collect()] == [(1, [1])]
+
+
 def test_agp_flatten_and_remap(spark):
     cols = "object string, beg long, end long, component string, cbeg long, cend long, strand int"
     agp = spark.createDataFrame([("chr", 1, 10, "s1", 1, 10, 1), ("chr", 11, 20, "s2", 1, 10, -1), ("s1", 1, 10, "c1", 5, 14, 1), ("s2", 1, 4, "c2", 1, 4, 1), ("s2", 5, 10, "c3", 1, 6, -1)], cols)
